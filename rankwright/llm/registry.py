@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "mixing", "packing"]
+MODULES = ["exact_dedup", "mixing", "packing", "licenses", "fingerprints"]
 
 
 def _all(attr: str) -> dict:
