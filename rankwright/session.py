@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +70,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers.
+
+    Nothing to do where PYTHONPATH leads to it, as an installed package or a
+    cluster's environment does; else Spark hands a zip of it to every worker.
+    """
+    root = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if app in _shipped or str(root.parent) in on_path or root.parent.name == "site-packages":
+        return
+    _shipped.add(app)
+    folder = tempfile.mkdtemp(prefix="rankwright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/rankwright.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/rankwright.zip")
