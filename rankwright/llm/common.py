@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.session import cut, shared_folder, table
+from rankwright.session import cut, shared_folder, ship, table
 
 __all__ = ["cut", "shared_folder", "table", "fold_ascii", "whole_text", "attach_groups", "small_batches"]
 
@@ -42,7 +42,8 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what a Python worker holds at once: texts can be long."""
+    """Prepare for Python workers: ship the package, bound what a worker holds at once (texts can be long)."""
+    ship(spark)
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
