@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "mixing", "packing", "licenses", "fingerprints", "quality", "language_id"]
+MODULES = ["exact_dedup", "mixing", "packing", "licenses", "fingerprints", "quality", "language_id", "chat"]
 
 
 def _all(attr: str) -> dict:
