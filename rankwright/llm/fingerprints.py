@@ -71,15 +71,15 @@ def add_kmers(rows: DataFrame, text: Column) -> DataFrame:
 def sketch(rows: DataFrame, text: Column, keys: list[str], entries: int = ENTRIES) -> DataFrame:
     """keys, ``_entries`` (null for an empty text) and ``_copies``, the rows that share the keys."""
     rows = add_kmers(rows.select(*keys, text.alias("_text")), F.col("_text")).drop("_text")
-    rows = rows.select(*keys, F.posexplode_outer("_kmers").alias("_i", "_k"))
+    rows = rows.select(*keys, F.posexplode_outer("_kmers").alias("_i", "_kmer"))
     low = F.lit((1 << POSITION_BITS) - 1)
     minima = []
     for j, c in enumerate(_permutations(entries)):
-        mixed = F.col("_k").bitwiseXOR(F.lit(c))
-        part = F.col("_k").bitwiseAND(F.lit(1 << (POSITION_BITS + 2 + j % 38))) == 0
+        mixed = F.col("_kmer").bitwiseXOR(F.lit(c))
+        part = F.col("_kmer").bitwiseAND(F.lit(1 << (POSITION_BITS + 2 + j % 38))) == 0
         minima += [F.min(F.when(part, mixed)).alias(f"_a{j}"), F.min(F.when(~part, mixed)).alias(f"_b{j}")]
     copies = F.sum(F.when(F.coalesce(F.col("_i"), F.lit(0)) == 0, 1)).alias("_copies")
-    rows = rows.groupBy(*keys).agg(copies, F.count("_k").alias("_n"), *minima)
+    rows = rows.groupBy(*keys).agg(copies, F.count("_kmer").alias("_n"), *minima)
 
     def entry(j: int) -> Column:
         a, b = F.col(f"_a{j}"), F.col(f"_b{j}")
@@ -113,7 +113,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
         docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_sha").withColumn("_range", F.spark_partition_id()),
         "ranged",
     )
-    own = F.struct("doc_id", "_sha", "_chars", "_entries")
+    own = F.struct("_k", "_chars", "_entries")
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), "_sha")
     rows = ranged.withColumn("_own", own)
     rows = rows.withColumn("_next", F.lead("_own").over(order)).withColumn("_prev", F.lag("_own").over(order))
@@ -126,45 +126,45 @@ def neighbours(docs: DataFrame) -> DataFrame:
         F.coalesce(F.lag("_last").over(along), F.last("_last").over(every)).alias("_under"),
     )
     rows = rows.join(F.broadcast(ends), "_range")
-    return rows.withColumn("_next", F.coalesce("_next", "_over")).withColumn("_prev", F.coalesce("_prev", "_under")).drop("_over", "_under", "_own", "_range")
+    back = F.coalesce("_prev", "_under")
+    return rows.select(
+        "_k", "doc_id", "_chars", "_copies", "_entries", F.coalesce("_next", "_over")["_entries"].alias("_next"),
+        back["_k"].alias("_pk"), back["_chars"].alias("_pn"),
+    )
+
+
+def row_key(doc_id: str, sha: str) -> Column:
+    """One string for doc_id, null included, and text."""
+    return F.concat_ws(":", doc_id, sha)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, _sha, _chars, _copies and _entries of every distinct (doc_id, text)."""
+    """_k, doc_id, _sha, _chars, _copies and _entries of every distinct (doc_id, text)."""
     text = whole_text()
-    return sketch(
-        docs.select("doc_id", F.sha2(text, 256).alias("_sha"), F.length(text).alias("_chars"), text.alias("text")),
-        F.col("text"), ["doc_id", "_sha", "_chars"],
-    )
+    rows = docs.select("doc_id", F.sha2(text, 256).alias("_sha"), F.length(text).alias("_chars"), text.alias("text"))
+    return sketch(rows, F.col("text"), ["doc_id", "_sha", "_chars"]).withColumn("_k", row_key("doc_id", "_sha"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = cut(neighbours(cut(fingerprints(docs), "fingerprints")), "order")
-    texts = docs.select("doc_id", F.sha2(whole_text(), 256).alias("_sha"), whole_text().alias("_text"))
+    texts = docs.select(row_key("doc_id", F.sha2(whole_text(), 256)).alias("_k"), whole_text().alias("_text"))
     half = lambda c: F.floor(c / 2).cast("int")
-    links = order.select(
-        F.col("doc_id").alias("_d"), F.col("_sha").alias("_s"), F.col("_prev.doc_id").alias("_pd"),
-        F.col("_prev._sha").alias("_ps"), F.col("_prev._chars").alias("_pn"),
-    )
-    mine = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s"))
-    heads = texts.join(links, mine).select("_pd", "_ps", F.substring(F.col("_text"), F.lit(1), half(F.col("_pn"))).alias("_head"))
-    meet = F.col("doc_id").eqNullSafe(F.col("_pd")) & (F.col("_sha") == F.col("_ps"))
+    links = order.select("_k", "_pk", "_pn")
+    heads = texts.join(links, "_k").select(F.col("_pk").alias("_k"), F.substring(F.col("_text"), F.lit(1), half(F.col("_pn"))).alias("_head"))
     n = F.length("_text")
-    edited = texts.join(heads, meet).select(
-        "doc_id", "_sha", F.concat(F.substring(F.col("_text"), F.lit(1), n - half(n)), F.col("_head")).alias("_edited")
-    )
-    edited = sketch(
-        edited.withColumn("edited_sha256", F.sha2("_edited", 256)), F.col("_edited"), ["doc_id", "_sha", "edited_sha256"]
-    ).select(F.col("doc_id").alias("_d"), F.col("_sha").alias("_s"), "edited_sha256", F.col("_entries").alias("_edited"))
-    rows = order.join(edited, mine).select(
+    edited = texts.join(heads, "_k").select("_k", F.concat(F.substring(F.col("_text"), F.lit(1), n - half(n)), F.col("_head")).alias("_edited"))
+    # grouped by the key it was joined on: no further shuffle
+    edited = sketch(edited.withColumn("edited_sha256", F.sha2("_edited", 256)), F.col("_edited"), ["_k", "edited_sha256"])
+    edited = edited.select("_k", "edited_sha256", F.col("_entries").alias("_edited"))
+    rows = order.join(edited, "_k").select(
         "doc_id",
         F.col("_chars").cast("long").alias("n_chars"),
         "edited_sha256",
         spell(F.col("_entries")).alias("fingerprint"),
         spell(F.col("_edited")).alias("edited_fingerprint"),
         likeness(F.col("_entries"), F.col("_edited")).alias("near_edited"),
-        likeness(F.col("_entries"), F.col("_next._entries")).alias("near_next"),
+        likeness(F.col("_entries"), F.col("_next")).alias("near_next"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_"),
     )
     return rows.drop("_")
