@@ -1,18 +1,47 @@
-"""The corpus pipeline: STAGES in order, each over what the one before kept."""
+"""The corpus pipeline: STAGES in order, each over all that the one before kept.
+
+Quality classifier, exact dedup, near-dedup, mixing, packing. All but the last
+return rows of ``documents``; mixing repeats a row as often as it is taken, and
+packing lays out what the mix holds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwright.llm import exact_dedup
+from rankwright.llm import exact_dedup, mixing, near_dedup, packing, quality
 from rankwright.llm.common import cut, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dedup.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source weights take them."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [("quality", good), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
+
+#: Trained models and token ids are not SQL; tests hold run() against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +51,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs = cut(docs, name)
     return docs
-
-
-#: The stages that fit and apply models are not SQL; tests hold run() against brute force.
-ORACLE_SQL = None

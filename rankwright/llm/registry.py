@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "mixing", "packing", "licenses", "fingerprints", "quality", "language_id", "chat"]
+MODULES = [
+    "language_id", "mixing", "near_dedup", "quality", "packing", "fingerprints", "pii", "exact_dedup", "chat", "licenses",
+]
 
 
 def _all(attr: str) -> dict:
