@@ -19,10 +19,7 @@ empty table gives an empty result; more columns pass untouched.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,50 +36,32 @@ TRAIN_ROWS = 4000
 CALIBRATION_ROWS = 1000
 EPOCHS = 3
 HELD_OUT = (5, 0)
-#: Words whose n-grams one worker remembers, about 60 MB.
-CACHE = 150_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-_LONG = 64
-
-
-class Grams:
-    """Distinct hashed n-grams of whole texts with their counts."""
-
-    def __init__(self) -> None:
-        self._seen: dict[str, np.ndarray] = {}
-
-    def _of(self, word: str) -> np.ndarray:
-        got = self._seen.get(word)
-        if got is None:
-            raw = np.frombuffer(f"\x02{word}\x03".encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            h, parts = np.zeros(len(raw), dtype=np.uint32), []
-            for n in NGRAMS:
-                if n > len(raw):
-                    break
-                h = h[: len(raw) - n + 1] * np.uint32(0x01000193) + raw[n - 1 :].astype(np.uint32)
-                parts.append(mix32(h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(32 - BITS))
-            got = np.concatenate(parts).astype(np.uint16 if BITS <= 16 else np.uint32)
-            if len(word) <= _LONG:
-                if len(self._seen) > CACHE:
-                    self._seen = {}
-                self._seen[word] = got
-        return got
-
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(_WORD.findall(text.lower()))
-        if not words:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        grams = [self._of(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), dtype=np.float64, count=len(words)), [len(g) for g in grams])
-        counts = np.bincount(np.concatenate(grams), weights=times, minlength=1)
-        idx = np.flatnonzero(counts)
-        return idx, counts[idx]
-
-
-@lru_cache(maxsize=1)
-def grams() -> Grams:
-    return Grams()
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed n-grams of a whole text with their counts.
+
+    All at once: runs of other characters become one boundary mark, and a
+    gram may have the mark at its ends alone.
+    """
+    marked = _OTHER.sub("\x02", f"\x02{text.lower()}\x02")
+    raw = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32, copy=False)
+    mark = raw == 2
+    h, parts = np.zeros(len(raw), dtype=np.uint32), []
+    for n in NGRAMS:
+        m = len(raw) - n + 1
+        if m <= 0:
+            break
+        h = h[:m] * np.uint32(0x01000193) + raw[n - 1 :]
+        ok = ~mark if n == 1 else np.ones(m, dtype=bool)
+        for inner in range(1, n - 1):
+            ok &= ~mark[inner : inner + m]
+        parts.append(mix32(h[ok] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(32 - BITS))
+    counts = np.bincount(np.concatenate(parts), minlength=1)
+    idx = np.flatnonzero(counts)
+    return idx, counts[idx].astype(np.float64)
 
 
 def has_letter(text: str) -> bool:
@@ -102,7 +81,7 @@ def _document_frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
         df, n = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             for text in batch["text"]:
-                df[grams().features(text or "")[0]] += 1
+                df[features(text or "")[0]] += 1
                 n += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"f": np.append(at, -1), "df": np.append(df[at], n)})
@@ -124,7 +103,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
-        idx, count = grams().features(text)
+        idx, count = features(text)
         raw = (values(idx, count, self.idf) @ self.weights[idx] + self.bias) / self.heat
         p = softmax(raw[None, :])[0]
         k = int(p.argmax())
@@ -142,7 +121,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, calibration: int = CALIBRATIO
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [grams().features(t or "") for t in batch["text"]]
+            got = [features(t or "") for t in batch["text"]]
             yield pd.DataFrame({
                 "h": batch["h"], "doc_id": batch["doc_id"], "lang": batch["lang"],
                 "f": [i.astype("<u4").tobytes() for i, _ in got], "c": [c.astype("<f4").tobytes() for _, c in got],
