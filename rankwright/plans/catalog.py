@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from rankwright.plans import retrieval
+
+_MODULES = [retrieval]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
