@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwright.plans import retrieval
+from rankwright.plans import relational, retrieval
 
-_MODULES = [retrieval]
+_MODULES = [retrieval, relational]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
