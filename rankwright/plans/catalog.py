@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwright.plans import relational, retrieval
+from rankwright.plans import relational, retrieval, texts
 
-_MODULES = [retrieval, relational]
+_MODULES = [retrieval, relational, texts]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
