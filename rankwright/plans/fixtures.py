@@ -28,7 +28,7 @@ FIXTURES: dict[str, tuple[str, list[str]]] = {
         "l_orderkey AS case_id", "l_suppkey AS finding_id", "l_returnflag IN ('R', 'A') AS hit", "l_quantity > 25e0 AS alarm",
     ]),
     "ledger": ("events", [
-        "user_id AS task_id", "event_id AS ord", "event_type AS status", "value AS tokens", "ts AS at",
+        "user_id AS task_id", "event_id AS ord", "event_type AS status", "value AS tokens", "ts AS at_ts",
     ]),
     "groups": ("customer", [
         "c_custkey AS identity_key", "c_nationkey AS guideline_id", "c_mktsegment AS label", "c_acctbal AS weight",

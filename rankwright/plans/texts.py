@@ -224,9 +224,9 @@ def state_machine(spark, d):
     return E.task_states(_states(spark, d), "task_id", "ord", "state_")
 
 
-@query("lease_expiry", sql("ledger") + " SELECT ord, round(gap - 3600, 3) AS late FROM (SELECT ord, (epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY task_id ORDER BY at))) / 1e6 AS gap FROM ledger) WHERE gap > 3600")
+@query("lease_expiry", sql("ledger") + " SELECT ord, round(gap - 3600, 3) AS late FROM (SELECT ord, (epoch_us(at_ts) - epoch_us(lag(at_ts) OVER (PARTITION BY task_id ORDER BY at_ts))) / 1e6 AS gap FROM ledger) WHERE gap > 3600")
 def lease_expiry(spark, d):
-    return E.expired_leases(fixture(spark, d, "ledger"), "task_id", "at", 3600.0).select("ord", F.round("late", 3).alias("late"))
+    return E.expired_leases(fixture(spark, d, "ledger"), "task_id", "at_ts", 3600.0).select("ord", F.round("late", 3).alias("late"))
 
 
 @query("attempt_sequence", sql("ledger") + " SELECT ord, row_number() OVER (PARTITION BY task_id ORDER BY ord) AS attempt FROM ledger")

@@ -22,6 +22,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _kind(spark: SparkSession, schema) -> str:
+    """A schema, given as a type or as column definitions, as one struct type."""
+    return (schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema).simpleString()
+
+
 def read_jsonl(spark: SparkSession, path: str, schema, missing_ok: bool = False, strict: bool = False) -> DataFrame:
     """One object a line, with ``ord`` in file order. ``strict``: a bad line is fatal. ``missing_ok``: no path, no rows."""
     if missing_ok and not _exists(spark, path):
@@ -32,7 +37,7 @@ def read_jsonl(spark: SparkSession, path: str, schema, missing_ok: bool = False,
 
 def read_jsonl_numbered(spark: SparkSession, path: str, schema) -> DataFrame:
     """Rows with ``file`` and the true ``line_no``."""
-    kind = schema.simpleString() if isinstance(schema, T.StructType) else schema
+    kind = _kind(spark, schema)
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("_n", "_t"))
     return rows.where(F.trim("_t") != "").select("file", (F.col("_n") + 1).alias("line_no"), F.from_json("_t", kind).alias("row")).select("file", "line_no", "row.*")
 
@@ -80,12 +85,12 @@ def read_records(spark: SparkSession, path: str, schema) -> DataFrame:
     """A JSON array, an envelope with records / cases / queue, or JSON lines: told by the first character and key."""
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     first = head[0][0].strip() if head else ""
-    kind = schema.simpleString() if isinstance(schema, T.StructType) else schema
+    kind = _kind(spark, schema)
     whole = spark.read.text(path, wholetext=True)
     if first.startswith("["):
         return whole.select(F.explode(F.from_json("value", f"array<{kind}>")).alias("r")).select("r.*")
     if re.match(r'^\{\s*("(records|cases|queue)"\s*:.*)?$', first, re.S):
-        envelope = F.from_json("value", ", ".join(f"{k} array<{kind}>" for k in ("records", "cases", "queue")))
+        envelope = F.from_json("value", "struct<" + ",".join(f"{k}:array<{kind}>" for k in ("records", "cases", "queue")) + ">")
         return whole.select(envelope.alias("e")).select(F.explode(F.coalesce("e.records", "e.cases", "e.queue")).alias("r")).select("r.*")
     return spark.read.schema(schema).json(path)
 
@@ -138,7 +143,7 @@ def source_tree(spark: SparkSession, root: str, suffixes: list[str], max_bytes:
         keep = keep | F.endswith(low, F.lit(s.lower()))
     for e in exclude:
         keep = keep & ~F.contains("path", F.lit(f"/{e}/"))
-    df = df.where(keep & (F.col("length") <= max_bytes)).select("path", "length", F.decode("content", F.lit("UTF-8")).alias("text"))
+    df = df.where(keep & (F.col("length") <= max_bytes)).select("path", "length", F.decode("content", "UTF-8").alias("text"))
     df = df.withColumn("prio", F.lit(1))
     if first is not None:
         hit = df.select("path").join(F.broadcast(first), F.endswith("path", "suffix"), "left_semi").withColumn("_hit", F.lit(0))
