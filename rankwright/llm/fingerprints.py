@@ -45,7 +45,7 @@ def add_kmers(rows: DataFrame, text: Column) -> DataFrame:
     """Add ``_kmers``: occurrence-numbered k-mer hashes with positions, in any order; null for empty texts."""
     trimmed = F.btrim(text, F.lit(_SPACE))
     rows = rows.withColumn("_words", F.when(trimmed != "", F.split(trimmed, r"[\x20\x09-\x0D]+")))
-    at = F.sequence(F.lit(0), F.greatest(F.size("_words") - K, F.lit(0)))
+    at = F.when(F.col("_words").isNotNull(), F.sequence(F.lit(0), F.greatest(F.size("_words") - K, F.lit(0))))
     rows = rows.withColumn("_h", F.transform(at, lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(K)])))
     mask = F.lit(-(1 << POSITION_BITS))
     rows = rows.withColumn("_p", F.transform("_h", lambda h, i: h.bitwiseAND(mask).bitwiseOR(i.cast("long")))).drop("_words")
