@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwright.plans import relational, retrieval, texts
+from rankwright.plans import evaluation, relational, retrieval, texts
 
-_MODULES = [retrieval, relational, texts]
+_MODULES = [retrieval, relational, texts, evaluation]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,3 +177,11 @@ def test_queue(spark):
     assert {r.task_id: r.status for r in out.collect()} == {"a": "queued", "b": "queued", "c": "running", "d": "queued"} and events.count() == 1
     up = E.merge_attempts(tasks.select("task_id", "priority"), spark.createDataFrame([("a", 7, "x")], "task_id string, priority int, note string"), ["task_id"], "priority")
     assert up.where("task_id = 'a'").first().note == "x" and up.count() == 4
+
+
+def test_function_extraction():
+    from rankwright.operators import code
+
+    text = 'int a(int x) {\n  if (x) { /* } */ s("}"); }\n  return 1;\n}\n// int no() {\nvoid b()\n{\n}\n'
+    assert code.functions_in(text) == [("a", 1, 4), ("b", 6, 8)]
+    assert len(code.blank_noise(text)) == len(text) and code.functions_in("") == []
