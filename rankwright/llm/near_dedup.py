@@ -5,17 +5,18 @@ the start. A text's k-mers are its runs of K words, numbered by occurrence.
 Each of ENTRIES permutations picks its two smallest k-mers, puts them back in
 text order and hashes the pair. Entries in twos are the bands; texts that
 share a band share a bucket. Small buckets give all their pairs, larger ones
-tie every member to one pivot, the text first in hash order, so no bucket is
-ever gathered or squared and a family meets the same pivot in all its buckets.
+first tie every member to one pivot, the text first in hash order, so a family
+meets the same pivot in all its buckets.
 Pairs that agree in fewer than LEAST entries go
 (a pair at Jaccard 0.8 agrees in about 25 of 40); the others are aligned.
 
 Alignment is edit distance over words, found diagonal by diagonal inside a
 band of ``(1 - SIMILARITY) * length``; texts link if one minus distance over
 the longer length reaches SIMILARITY. Each text's best pair is aligned first,
-then the pairs that still lie across components, then, while large buckets still
-hold several components, pairs of their representatives, with other pivots
-each time, until a round finds no link.
+then the pairs that still lie across components. Large buckets that still hold
+several components are then met in full, block by block: every pair of their
+texts that agrees in LEAST entries and lies across components is aligned, but
+for those that lengths or counts of words already rule out.
 
 Cases: a null text is empty; empty texts are equal to each other and near to
 nothing else; a text of fewer than K words is one k-mer; of equal or near
@@ -47,6 +48,11 @@ LEAST = 5
 SIMILARITY = 0.8
 #: Buckets of up to so many texts give all their pairs.
 SMALL = 8
+#: Large buckets are met in pairs of blocks of about so many texts.
+BLOCK = 1024
+#: Words are counted by so many remainders of their hashes, which bounds what two texts have in common from above.
+COUNTS = 256
+MOST_COUNTED = 65_535
 CACHE = 500_000
 #: Pairs up to so many have their ids broadcast (16 MB) to filter the table of words where it lies.
 BROADCAST_IDS = 1_000_000
@@ -219,9 +225,9 @@ def _buckets(texts: DataFrame) -> DataFrame:
     return texts.where(F.length("_sig") > 0).select(F.explode(keys).alias("key"), "id")
 
 
-def _pairs(rows: DataFrame, turn: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of bucket rows (key, id), and the keys of the large buckets. ``turn``: another one, other pivots."""
-    h = F.xxhash64("id", F.lit(turn)) if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
+def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) of bucket rows (key, id), and the keys of the large buckets."""
+    h = F.xxhash64("id", F.lit(0))
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", h).alias("p"))
     groups = cut(groups.where("n > 1"), "groups")
     met = attach_groups(rows, groups, "key", "n", rows.count())
@@ -273,6 +279,69 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where("_la <> _lb").drop("_la", "_lb")
 
 
+def _counted(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Number of words and counts of words by remainder of the texts ``ids`` (id)."""
+    ids = ids.select(F.col("id").alias("_row"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, counts = [], []
+            for w in batch.column(1):
+                h = np.frombuffer(w.as_buffer(), dtype="<u4")
+                sizes.append(len(h))
+                counts.append(np.minimum(np.bincount(h % COUNTS, minlength=COUNTS), MOST_COUNTED).astype("<u2").tobytes())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=("id", "_n", "_counts"))
+
+    return rows.join(ids, "_row", "left_semi").select("_row", "_words").mapInArrow(run, "id long, _n long, _counts binary")
+
+
+def meet(block: pa.Table, least: float) -> pa.Table:
+    """The promising pairs across components of two blocks (or within one) that may align."""
+    own = block["own"].to_numpy()
+    ids, label, size = (block[c].to_numpy() for c in ("id", "label", "_n"))
+    sig = np.frombuffer(b"".join(block["_sig"].to_pylist()), "<u4").reshape(-1, ENTRIES)
+    counts = np.frombuffer(b"".join(block["_counts"].to_pylist()), "<u2").reshape(-1, COUNTS)
+    lo, hi = block["lo"][0].as_py(), block["hi"][0].as_py()
+    x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    est = np.zeros((len(x), len(y)), dtype=np.uint8)
+    for j in range(ENTRIES):
+        est += sig[x, j][:, None] == sig[y, j][None, :]
+    may = (est >= LEAST) & (label[x][:, None] != label[y][None, :])
+    if lo == hi:
+        may &= ids[x][:, None] < ids[y][None, :]
+    i, j = np.nonzero(may)
+    est, i, j = est[i, j], x[i], y[j]
+    longest = np.maximum(size[i], size[j])
+    most = ((1 - least) * longest + 1e-9).astype(np.int64)
+    near = np.flatnonzero(np.abs(size[i] - size[j]) <= most)
+    open_ = [near[:0]]
+    for k in range(0, len(near), 1 << 14):
+        at = near[k : k + (1 << 14)]
+        both = np.minimum(counts[i[at]], counts[j[at]]).sum(axis=1, dtype=np.int64)
+        open_.append(at[(longest[at] - both <= most[at]) | (longest[at] > MOST_COUNTED)])
+    at = np.concatenate(open_)
+    a, b = ids[i[at]], ids[j[at]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "est": est[at].astype(np.int32)})
+
+
+def _rest(crowded: DataFrame, texts: DataFrame, rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """All promising pairs (a < b, est) across components of large buckets (key, id) that may align; none where there is one component."""
+    inside = crowded.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    inside = cut(inside.select("key", "id", F.coalesce("label", "id").alias("label")), "inside")
+    several = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    several = cut(several.where("lo < hi").select("key", "n"), "several")
+    inside = cut(attach_groups(inside, several, "key", "n", inside.count()), "several")
+    facts = _counted(inside.select("id").distinct(), rows).join(texts, "id")
+    n = F.ceil(F.col("n") / BLOCK)
+    dealt = inside.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), n)).join(facts, "id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label", "_sig", "_n", "_counts")
+    found = dealt.groupBy("key", "lo", "hi").applyInArrow(lambda block: meet(block, least), "a long, b long, est int")
+    return found.distinct()
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, class_id, text_copies, links, near) for every row of ``docs``; and the links (a, b, similarity) between text ids."""
     small_batches(docs.sparkSession)
@@ -293,20 +362,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     labels = components(links)
     links = links.unionByName(cut(_verified(_across(pairs, labels), rows, least), "aligned"))
     labels = components(links)
-    tried = pairs.select("a", "b")
     crowded = cut(attach_groups(buckets, large, "key", "n", buckets.count()).select("key", "id"), "crowded")
-    turn = 0
-    while crowded.limit(1).count():
-        turn += 1
-        inside = crowded.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
-        inside = inside.groupBy("key", F.coalesce("label", "id").alias("_l")).agg(F.min("id").alias("id"))
-        again, _ = _pairs(cut(inside.select("key", "id"), "inside"), turn)
-        again = cut(_promising(again.join(tried, ["a", "b"], "left_anti"), texts), "pairs")
-        tried = tried.unionByName(again.select("a", "b"))
-        more = cut(_verified(again, rows, least), "aligned")
-        if not more.limit(1).count():
-            break
-        links = links.unionByName(more)
+    if crowded.limit(1).count():
+        rest = _rest(crowded, texts, rows, labels, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        rest = cut(rest, "pairs")
+        best = rest.groupBy("b").agg(F.max_by("a", "est").alias("a"))
+        links = links.unionByName(cut(_verified(best, rows, least), "aligned"))
+        labels = components(links)
+        rest = rest.join(best, ["a", "b"], "left_anti")
+        links = links.unionByName(cut(_verified(_across(rest, labels), rows, least), "aligned"))
         labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     known = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")).join(degree, "id", "left")
