@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, DataFrame operations only.
 
 A cheap look for gate words sends most documents past the scanner. The rest
-are reduced to lower-case words; each rule whose keyword occurs is matched and
+are reduced to lower-case words; each rule of which a keyword occurs is matched and
 gives intervals. Detections are sorted by start, longer and then
 higher-priority ones first, and one whose interval lies inside an earlier one
 is suppressed. Everything happens in the document's own row: no shuffle.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rankwright.llm.common import fold_ascii, table, whole_text
 
-#: label, keyword, name (a regex over words), SPDX id as words, address as words
+#: label, keywords (one of them begins a word of every match), name (a regex over words), SPDX id as words, address as words
 LICENSES = [
     ("mit", "mit", "mit", "mit", "opensource org licenses mit"),
     ("apache-2.0", "apache", "apache( software)?( license)?( version)?( v)? ?2( 0)?", "apache 2 0", "apache org licenses license 2 0"),
@@ -36,13 +36,13 @@ LICENSES = [
     ("bsd-2-clause", "bsd", "(simplified bsd|bsd 2 clause|2 clause bsd)", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(new bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
-    ("0bsd", "bsd", "(zero clause bsd|bsd zero clause|0bsd)", "0bsd", "opensource org licenses 0bsd"),
+    ("0bsd", "bsd|0bsd", "(zero clause bsd|bsd zero clause|0bsd)", "0bsd", "opensource org licenses 0bsd"),
     ("isc", "isc", "isc", "isc", "opensource org licenses isc"),
-    ("mpl-1.1", "mozilla", "(mozilla public license|mpl)( version| v)? ?1 1", "mpl 1 1", "mozilla org mpl mpl 1 1"),
-    ("mpl-2.0", "mozilla", "(mozilla public license|mpl)( version| v)? ?2( 0)?", "mpl 2 0", "mozilla org mpl 2 0"),
+    ("mpl-1.1", "mozilla|mpl", "(mozilla public license|mpl)( version| v)? ?1 1", "mpl 1 1", "mozilla org mpl mpl 1 1"),
+    ("mpl-2.0", "mozilla|mpl", "(mozilla public license|mpl)( version| v)? ?2( 0)?", "mpl 2 0", "mozilla org mpl 2 0"),
     ("epl-1.0", "eclipse", "eclipse public license( version| v)? ?1( 0)?", "epl 1 0", "eclipse org legal epl v10"),
     ("epl-2.0", "eclipse", "eclipse public license( version| v)? ?2( 0)?", "epl 2 0", "eclipse org legal epl 2 0"),
-    ("cddl-1.0", "cddl", "(common development and distribution license|cddl)( version| v)? ?1?( 0)?", "cddl 1 0", "opensource org licenses cddl 1 0"),
+    ("cddl-1.0", "cddl|common", "(common development and distribution license|cddl)( version| v)? ?1?( 0)?", "cddl 1 0", "opensource org licenses cddl 1 0"),
     ("cpl-1.0", "common", "common public license( version)?( 1 0)?", "cpl 1 0", "ibm com developerworks library os cpl"),
     ("ipl-1.0", "ibm", "ibm public license( version)?( 1 0)?", "ipl 1 0", "opensource org licenses ipl 1 0"),
     ("artistic-1.0", "artistic", "artistic license( version)? 1( 0)?", "artistic 1 0", "opensource org licenses artistic 1 0"),
@@ -51,8 +51,8 @@ LICENSES = [
     ("libpng", "libpng", "libpng", "libpng", "libpng org pub png src libpng license"),
     ("bsl-1.0", "boost", "boost software license( version)?( 1 0)?", "bsl 1 0", "boost org license 1 0"),
     ("unlicense", "unlicense", "unlicense", "unlicense", "unlicense org"),
-    ("wtfpl", "wtfpl", "(wtfpl|do what the fuck you want to public license)", "wtfpl", "wtfpl net"),
-    ("cc0-1.0", "cc0", "(cc0|creative commons zero)( v| version)?( 1 0)?( universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
+    ("wtfpl", "wtfpl|fuck", "(wtfpl|do what the fuck you want to public license)", "wtfpl", "wtfpl net"),
+    ("cc0-1.0", "cc0|creative", "(cc0|creative commons zero)( v| version)?( 1 0)?( universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
     ("cc-by-3.0", "creative", "creative commons attribution( v| version)? 3 0", "cc by 3 0", "creativecommons org licenses by 3 0"),
     ("cc-by-4.0", "creative", "creative commons attribution( v| version)? 4 0", "cc by 4 0", "creativecommons org licenses by 4 0"),
     ("cc-by-sa-3.0", "creative", "creative commons attribution share ?alike( v| version)? 3 0", "cc by sa 3 0", "creativecommons org licenses by sa 3 0"),
@@ -80,13 +80,13 @@ LICENSES = [
     ("busl-1.1", "business", "business source license( version| v)?( 1 1)?", "busl 1 1", "mariadb com bsl11"),
     ("elastic-2.0", "elastic", "elastic license( version| v)?( 2 0)?", "elastic 2 0", "elastic co licensing elastic license"),
     ("odbl-1.0", "database", "open database license( version| v)?( 1 0)?", "odbl 1 0", "opendatacommons org licenses odbl"),
-    ("pddl-1.0", "pddl", "(public domain dedication and license|pddl)( version| v)?( 1 0)?", "pddl 1 0", "opendatacommons org licenses pddl"),
+    ("pddl-1.0", "pddl|dedication", "(public domain dedication and license|pddl)( version| v)?( 1 0)?", "pddl 1 0", "opendatacommons org licenses pddl"),
     ("upl-1.0", "universal", "universal permissive license( version| v)?( 1 0)?", "upl 1 0", "opensource org licenses upl"),
     ("json", "json", "json license", "json", "json org license"),
-    ("qpl-1.0", "qpl", "(q public license|qpl)( version| v)?( 1 0)?", "qpl 1 0", "opensource org licenses qpl 1 0"),
+    ("qpl-1.0", "qpl|q", "(q public license|qpl)( version| v)?( 1 0)?", "qpl 1 0", "opensource org licenses qpl 1 0"),
 ]
 
-#: label, keyword, sentence (a regex over words)
+#: label, keywords, sentence (a regex over words)
 SENTENCES = [
     ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -94,8 +94,8 @@ SENTENCES = [
     ("bsd-3-clause", "endorse", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote"),
     ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
     ("gpl", "redistribute", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl-2.0", "redistribute", "gnu general public license as published by the free software foundation (either )?version 2"),
-    ("gpl-3.0", "redistribute", "gnu general public license as published by the free software foundation (either )?version 3"),
+    ("gpl-2.0", "gnu", "gnu general public license as published by the free software foundation (either )?version 2"),
+    ("gpl-3.0", "gnu", "gnu general public license as published by the free software foundation (either )?version 3"),
     ("lgpl", "lesser", "terms of the gnu lesser general public license"),
     ("lgpl", "library", "terms of the gnu library general public license"),
     ("agpl", "affero", "terms of the gnu affero general public license"),
@@ -107,7 +107,7 @@ SENTENCES = [
     ("public-domain", "domain", "(released|placed|dedicated) (in|into|to) the public domain"),
     ("proprietary", "rights", "all rights reserved"),
     ("proprietary", "confidential", "confidential and proprietary"),
-    ("proprietary", "prohibited", "unauthori[sz]ed (copying|reproduction|use) .{0,60}?(is )?(strictly )?prohibited"),
+    ("proprietary", "unauthori", "unauthori[sz]ed (copying|reproduction|use) .{0,60}?(is )?(strictly )?prohibited"),
     ("cc", "creative", "licensed under (a |the )?creative commons"),
     ("other-permissive", "warrant", "provided as is without (any )?(express or implied )?warrant(y|ies)"),
 ]
@@ -119,9 +119,11 @@ BASE = [("mit", "mit"), ("apache", "apache"), ("gpl", "general public")]
 GATES = (
     "licens licenc copyright spdx gnu apache mozilla creative commons redistribut warrant permission hereby prohibited "
     "misrepresented unencumbered domain rights proprietary endorse advertising opensource unlicense wtfpl cc0 "
-    "eclipse boost ibm.com postgresql ruby-lang vimdoc openssl xfree86 mongodb mariadb elastic opendatacommons scripts.sil "
+    "eclipse boost developerworks postgresql ruby-lang vimdoc openssl xfree86 mongodb mariadb elastic opendatacommons scripts.sil "
     "europa cecill cddl pddl qpl"
 ).split()
+#: Gate words too short to be looked for inside others.
+WORD_GATES = ["mpl", "ofl", "ncsa"]
 
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -129,7 +131,7 @@ _BASE = " (?:" + "|".join(p for _, p in BASE) + ") (?=license )"
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """label, keyword, regex over the text's words (a blank on either side), priority (0 first), weight."""
+    """label, keywords (parted by |), regex over the text's words (a blank on either side), priority (0 first), weight."""
     out, under = [], "under (?:the )?(?:terms of )?(?:the )?"
     for label, keyword, name, spdx, address in LICENSES:
         out.append((label, "spdx", rf" spdx license identifier {spdx}(?: or later| only)?(?= )", 0, 0.99))
@@ -190,8 +192,10 @@ def scan(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for word in GATES:
         gate = gate | F.contains(low, F.lit(word))
+    for word in WORD_GATES:
+        gate = gate | (F.contains(low, F.lit(word)) & low.rlike(rf"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F]){word}"))
     table_ = F.array(*[
-        F.struct(F.lit(a).alias("label"), F.lit(f" {b}").alias("keyword"), F.lit(c).alias("regex"), F.lit(d).alias("priority"), F.lit(e).alias("weight"))
+        F.struct(F.lit(a).alias("label"), F.array(*[F.lit(f" {k}") for k in b.split("|")]).alias("keywords"), F.lit(c).alias("regex"), F.lit(d).alias("priority"), F.lit(e).alias("weight"))
         for a, b, c, d, e in rules()
     ])
     keep = [docs[c] for c in docs.columns if c not in {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}]
@@ -211,7 +215,7 @@ def scan(docs: DataFrame) -> DataFrame:
             F.col("n_words") + 1 - _spaces(F.element_at("_hits", -1)) - _spaces(F.element_at("_gaps", -1)),
         ).cast("long").alias("last_word"),
         F.when(any_base, F.array_distinct(F.transform("_hits", lambda x: label_of[x]))).otherwise(F.array().cast("array<string>")).alias("_base"),
-        F.when(F.col("_w").isNotNull(), F.filter(table_, lambda r: F.contains(F.col("_w"), r["keyword"]))).alias("_rules"),
+        F.when(F.col("_w").isNotNull(), F.filter(table_, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_w"), k)))).alias("_rules"),
         "_w",
     )
     found = F.flatten(F.transform("_rules", lambda r: _detect(F.col("_w"), r)))

@@ -1,10 +1,14 @@
 """What a shorter way would leave out, held against brute force."""
 
+import itertools
 import random
+import re
+from re import _constants as c
+from re import _parser
 
 import numpy as np
 
-from rankwright.llm import near_dedup
+from rankwright.llm import licenses, near_dedup
 
 
 def test_near_dedup_finds_pairs_under_a_frequent_passage(spark):
@@ -57,3 +61,50 @@ def test_near_dedup_meets_blocks_as_brute_force(spark, monkeypatch):
         if label[i] != label[j] and (sig[i] == sig[j]).sum() >= near_dedup.LEAST and near_dedup.similarity(words[i], words[j]) > 0
     }
     assert near and near <= got and all(label[i] != label[j] for i, j in got)
+
+
+def _spelled(tree):
+    """Every way a rule's regex can be spelled out; open-ended parts once."""
+    ways = [""]
+    for op, arg in tree:
+        if op is c.LITERAL:
+            here = [chr(arg)]
+        elif op is c.IN:
+            here = [chr(v) for o, v in arg if o is c.LITERAL]
+        elif op is c.ANY:
+            here = ["x"]
+        elif op is c.BRANCH:
+            here = [w for b in arg[1] for w in _spelled(b)]
+        elif op is c.SUBPATTERN:
+            here = _spelled(arg[3])
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            here = sorted({"".join(w) for n in {arg[0], max(arg[0], 1)} for w in itertools.product(_spelled(arg[2]), repeat=n)})
+        else:
+            assert op is c.ASSERT, op
+            here = [""]
+        ways = [a + b for a in ways for b in here]
+    return ways
+
+
+def test_license_keywords_and_gates_pass_every_alternative():
+    lost = set()
+    for label, keywords, regex, *_ in licenses.rules():
+        for text in map(str.strip, _spelled(_parser.parse(regex))):
+            assert re.search(regex, f" {text} ")
+            if not any(f" {k}" in f" {text} " for k in keywords.split("|")) or not (
+                any(g in text for g in licenses.GATES) or any(f" {g}" in f" {text}" for g in licenses.WORD_GATES)
+            ):
+                lost.add((label, text))
+    assert not lost, sorted(lost)[:20]
+
+
+def test_license_names_stand_alone(spark):
+    texts = {
+        "Do What The Fuck You Want To Public License": "wtfpl", "MPL 2.0 license": "mpl-2.0", "licensed under the MPL 1.1": "mpl-1.1",
+        "Common Development and Distribution License": "cddl-1.0", "Creative Commons Zero license": "cc0-1.0",
+        "Public Domain Dedication and License": "pddl-1.0", "Q Public License": "qpl-1.0", "0BSD license": "0bsd",
+        "GNU General Public License as published by the Free Software Foundation, version 2": "gpl-2.0",
+    }
+    df = spark.createDataFrame([(f"Notice: {t}.", v) for t, v in texts.items()], "text string, want string")
+    for r in licenses.scan(df).collect():
+        assert r.want in r.labels.split(","), r
