@@ -1,17 +1,17 @@
 """PII: patterns, then information-theoretic sanitisation of what gives them away.
 
 Base spans come from four patterns with validity checks. Each value found is a
-protected entity. Words near an entity (CONTEXT code points on either side)
-are counted with it over the whole corpus and, over all documents, by
-themselves: ``P(entity | word) = near / total``. A word's disclosure is its
-pointwise mutual information with the entity as a share of the entity's
-information content, ``1 + ln P(entity | word) / IC(entity)``: one if the word
-gives the entity away for certain, zero if it says nothing. Words seen near
-the entity in MIN_CONTEXTS different contexts (copies of a passage are one
-context) of more than one text are generalised at GENERALISE and removed at REMOVE; those
-occurrences are spans of the kind ``term``. DataFrame operations only.
-
-Cases: a null text is empty; a document without base spans is never changed;
+protected entity. Words are counted over whole documents:
+``P(entity | word) = documents with both / documents with the word``. A word's
+disclosure is its pointwise mutual information with the entity as a share of
+the entity's information content, ``1 + ln P(entity | word) / IC(entity)``: one
+if the word gives the entity away for certain, zero if it says nothing. Words
+met with the entity in MIN_CONTEXTS different contexts (CONTEXT code points on
+either side of it; copies of a passage are one context) and in more than one
+text are generalised at GENERALISE and removed at REMOVE; all their occurrences
+in all documents are spans of the kind ``term``. DataFrame operations only.
+
+Cases: a null text is empty; a document without base spans has terms only;
 spans are code points, end exclusive, and refer to the text as it stands;
 equal texts have equal spans; rows repeat as they stand; an empty table gives
 an empty result; more columns pass untouched.
@@ -35,7 +35,7 @@ PATTERNS = {
 }
 GATES = {"ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}"}
 CONTEXT = 60
-MIN_CONTEXTS = 2
+MIN_CONTEXTS = 2  # find() tells two by the least and the largest hash
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Tables of words, pairs or texts up to so many rows are broadcast; larger ones join by shuffle.
@@ -95,25 +95,37 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
 
 
 def _contexts(text: Column) -> Column:
-    """For every base span: entity, a hash of its surroundings, and the whole words there with their places."""
-    typed = "array<struct<entity:string,ctx:bigint,words:array<struct<s:int,e:int,v:string>>>>"
+    """The entities of a text, each with the least and the largest hash of its surroundings."""
 
     def around(kind: str):
         def one(x: Column) -> Column:
             at = F.greatest(x["s"] - CONTEXT, F.lit(0))
             before, after = F.substring(text, at + 1, x["s"] - at), F.substring(text, x["e"] + 1, F.lit(CONTEXT))
             value = F.lower(x["v"]) if kind == "email" else x["v"] if kind == "ip" else _digits(x["v"])
-            moved = lambda ws, by: F.transform(ws, lambda w: F.struct((w["s"] + by).alias("s"), (w["e"] + by).alias("e"), F.lower(w["v"]).alias("v")))
-            left = F.filter(intervals(before, _WORD), lambda w: (w["s"] > 0) | (at == 0))
-            right = F.filter(intervals(after, _WORD), lambda w: (w["e"] < CONTEXT) & (w["s"] > 0))
-            return F.struct(
-                F.concat(F.lit(f"{kind}:"), value).alias("entity"), F.xxhash64(before, after).alias("ctx"),
-                F.concat(moved(left, at), moved(right, x["e"])).alias("words"),
-            )
+            return F.struct(F.concat(F.lit(f"{kind}:"), value).alias("entity"), F.xxhash64(before, after).alias("ctx"))
 
         return one
 
-    return F.concat(*[F.transform(f"_{k}", around(k)) for k in KINDS]).cast(typed)
+    return F.concat(*[F.transform(f"_{k}", around(k)) for k in KINDS]).cast("array<struct<entity:string,ctx:bigint>>")
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+
+
+def _placed(hits: Column, gaps: Column, lengths: Column) -> Column:
+    """Spans of the words at the indexes ``hits`` (i, v), from the lengths of the gaps before words and of the words."""
+
+    def step(acc: Column, h: Column) -> Column:
+        n = h["i"] - acc["i"]
+        passed = lambda c: F.aggregate(F.slice(c, acc["i"] + 1, n), F.lit(0), lambda x, y: x + y)
+        at = acc["at"] + passed(gaps) + passed(lengths)
+        start = at + F.get(gaps, h["i"])
+        found = F.struct(start.alias("s"), (start + F.get(lengths, h["i"])).alias("e"), h["v"].alias("v"))
+        return F.struct(h["i"].alias("i"), at.alias("at"), F.concat(acc["out"], F.array(found)).cast(_SPAN).alias("out"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    return F.aggregate(F.array_sort(hits), start, step, lambda a: a["out"])
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -126,36 +138,45 @@ def find(docs: DataFrame) -> DataFrame:
     rows = base_spans(docs.select(*others, whole_text().alias("_text")), "_text")
     any_ = sum((F.size(f"_{k}") for k in KINDS), F.lit(0)) > 0
     spans = [f"_{k}" for k in KINDS]
-    rows = rows.withColumn("_ctx", F.when(any_, _contexts(F.col("_text")))).withColumn("_key", F.when(any_, F.sha2("_text", 256)))
-    rows = cut(rows.drop("_text"), "base")
-    near = rows.where("_key IS NOT NULL").select("_key", F.explode("_ctx").alias("_c"))
-    near = near.select("_key", "_c.entity", "_c.ctx", F.explode("_c.words").alias("_w"))
-    near = near.select("_key", "entity", "ctx", F.col("_w.s").alias("s"), F.col("_w.e").alias("e"), F.col("_w.v").alias("word"))
+    rows = rows.withColumn("_ctx", F.when(any_, F.array_distinct(_contexts(F.col("_text"))))).withColumn("_key", F.sha2("_text", 256))
+    rows = rows.withColumn("_bag", F.when(any_, F.array_distinct(_words(F.col("_text")))))
+    rows = cut(rows.drop("_text").withColumn("_row", F.monotonically_increasing_id()), "base")
     ends = [F.min("_key").alias("_lo"), F.max("_key").alias("_hi")]
-    pairs = near.groupBy("entity", "word", "ctx").agg(F.count(F.lit(1)).alias("n"), *ends).groupBy("entity", "word")
-    texts = (F.min("_lo") < F.max("_hi")).alias("texts")
-    pairs = cut(pairs.agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("near"), texts), "pairs")
-    sizes = pairs.groupBy("entity").agg(F.sum("near").alias("around"))
-    asked = cut(pairs.where((F.col("contexts") >= MIN_CONTEXTS) & F.col("texts")), "asked")
+    met = rows.where("_ctx IS NOT NULL").select("_row", "_key", F.explode("_ctx").alias("_c"))
+    met = met.groupBy("_row", "_key", "_c.entity").agg(F.min("_c.ctx").alias("_from"), F.max("_c.ctx").alias("_to"))
+    met = cut(met, "met")
+    sizes = met.groupBy("entity").agg(F.count(F.lit(1)).alias("around"), *ends, F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    # what one text or one context holds alone cannot be asked
+    sizes = cut(sizes.where("_lo < _hi AND _from < _to").select("entity", "around"), "sizes")
+    near = met.join(_bounded(sizes.select("entity")), "entity", "left_semi")
+    near = near.join(rows.where("_bag IS NOT NULL").select("_row", "_bag"), "_row").select("_key", "entity", "_from", "_to", F.explode("_bag").alias("word"))
+    pairs = near.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("near"), *ends, F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    asked = cut(pairs.where("_lo < _hi AND _from < _to").select("entity", "word", "near"), "asked")
     wanted = asked.select("word").distinct()
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(whole_text()), F.lit(_WORD), F.lit(0))).alias("word"))
+    words = docs.select(F.explode(F.array_distinct(_words(whole_text()))).alias("word"))
     totals = words.join(_bounded(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    size = docs.select(F.sum(F.length(whole_text())).alias("n")).first()["n"] or 1
+    size = rows.count()
     given = F.least(F.lit(1.0), F.col("near") / F.col("total"))
-    content = F.greatest(F.lit(1e-9), -F.ln(F.least(F.lit(1.0), F.col("around") / F.lit(max(1.0, size / 6)))))
+    content = F.greatest(F.lit(1e-9), -F.ln(F.least(F.lit(1.0), F.col("around") / F.lit(max(1.0, float(size))))))
     told = asked.join(totals, "word").join(sizes, "entity").select(
         "entity", "word", (F.lit(1.0) + F.ln(given) / content).alias("disclosure")
     )
     told = told.where(F.col("disclosure") >= GENERALISE).select(
         "entity", "word", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("v")
     )
-    told = cut(told, "told")
-    terms = near.join(_bounded(told), ["entity", "word"]).groupBy("_key", "s", "e").agg(F.max("v").alias("v"))
-    terms = terms.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "v"))).cast(_SPAN).alias("_found"))
+    told = cut(told.groupBy("word").agg(F.max("v").alias("v")), "told")
+    texts = docs.select(whole_text().alias("_text")).withColumn("_key", F.sha2("_text", 256))
+    at = texts.select("_key", F.posexplode(_words(F.col("_text"))).alias("i", "word")).join(_bounded(told), "word")
+    at = at.select("_key", "i", "v").distinct().groupBy("_key").agg(F.collect_list(F.struct("i", "v")).alias("_at"))
+    held = texts.join(_bounded(cut(at, "at")), "_key").select(
+        "_key", "_at", F.transform(F.split("_text", _WORD, -1), F.length).alias("_gaps"),
+        F.transform(F.regexp_extract_all("_text", F.lit(_WORD), F.lit(0)), F.length).alias("_lengths"),
+    )
+    terms = held.select("_key", _placed(F.col("_at"), F.col("_gaps"), F.col("_lengths")).alias("_found")).distinct()
     rows = rows.join(_bounded(cut(terms, "terms")), "_key", "left")
     taken = F.concat(*spans)
     clear = F.filter(F.coalesce("_found", F.array().cast(_SPAN)), lambda t: ~F.exists(taken, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return rows.withColumn("_term", clear).drop("_found", "_ctx", "_key")
+    return rows.withColumn("_term", clear).drop("_found", "_ctx", "_key", "_bag", "_row")
 
 
 def _listed(kinds: list[str]) -> Column:

@@ -8,7 +8,7 @@ from re import _parser
 
 import numpy as np
 
-from rankwright.llm import licenses, near_dedup
+from rankwright.llm import licenses, near_dedup, pii
 
 
 def test_near_dedup_finds_pairs_under_a_frequent_passage(spark):
@@ -108,3 +108,16 @@ def test_license_names_stand_alone(spark):
     df = spark.createDataFrame([(f"Notice: {t}.", v) for t, v in texts.items()], "text string, want string")
     for r in licenses.scan(df).collect():
         assert r.want in r.labels.split(","), r
+
+
+def test_pii_terms_go_wherever_they_stand(spark):
+    fill = "the text about some item and filler that people wrote over and over again "
+    rows = [(i, f"É Zorblatt{i}: {fill * 3} mail ref {'abcdefgh'[i]} zed@corp.example.com {fill} ZORBLATT") for i in range(6)]
+    rows += [(10 + i, f"{fill} case {i}") for i in range(40)] + [(60, f"{fill} zorblatt, {fill}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("zorblatt" not in t.lower() for t in out.values())
+    assert out[60] in (f"{fill} [TERM], {fill}", f"{fill} , {fill}") and all(out[i] == t for i, t in rows[6:46])
+    spans = {r.doc_id: [(x.s, x.e) for x in r._term] for r in pii.find(df).collect()}
+    for i, t in rows:
+        assert [m.span() for m in re.finditer("(?i)zorblatt", t)] == [x for x in spans[i] if t[slice(*x)].lower() == "zorblatt"]
