@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -199,6 +200,11 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return 0.0 if d is None else 1 - d / longest
 
 
+def _digest(text: str) -> bytes:
+    """Digest of a text's normal form."""
+    return hashlib.blake2b(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """doc_id, _text (a digest of the normal form), _sig and _words of every row."""
 
@@ -209,7 +215,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 text = text.as_py() or ""
                 h = words().of(text)
-                digests.append(hashlib.blake2b(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                digests.append(_digest(text))
                 sigs.append(sketch(h).astype("<u4").tobytes())
                 hashes.append(h.astype("<u4").tobytes())
             columns = [batch.column(0), *(pa.array(c, pa.binary()) for c in (digests, sigs, hashes))]
@@ -343,7 +349,13 @@ def _rest(crowded: DataFrame, texts: DataFrame, rows: DataFrame, labels: DataFra
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, class_id, text_copies, links, near) for every row of ``docs``; and the links (a, b, similarity) between text ids."""
+    """Rows (doc_id, class_id, text_copies, links, near, kept) for every row of ``docs``; and the links (a, b, similarity) between text ids."""
+    found, links = _classed(docs, least)
+    return found.drop("_text"), links
+
+
+def _classed(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``classes`` with the digest ``_text`` of each row's text."""
     small_batches(docs.sparkSession)
     rows = cut(_sketched(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     total = rows.count()
@@ -375,39 +387,62 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     known = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")).join(degree, "id", "left")
     known = cut(known, "known")
-    heads = known.where("links IS NOT NULL").groupBy("label").agg(F.min("rep").alias("_head"), F.count(F.lit(1)).alias("near"))
+    heads = known.where("links IS NOT NULL").groupBy("label").agg(
+        F.min("rep").alias("_head"), F.min(F.struct(F.col("rep").isNull(), "rep", "_text"))["_text"].alias("_first"), F.count(F.lit(1)).alias("near")
+    )
     known = known.join(heads, "label", "left").select(
         "_text", F.coalesce("_head", "rep").alias("class_id"), F.coalesce("near", F.lit(1)).cast("long").alias("near"),
-        "text_copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        "text_copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("_first") == F.col("_text"), F.lit(True)).alias("kept"),
     )
     slim = rows.select("doc_id", "_row", "_text")
-    return attach_groups(slim, known, "_text", "text_copies", total).drop("_text"), links
+    found = attach_groups(slim, known, "_text", "text_copies", total)
+    return found.withColumn("kept", F.col("kept") & F.col("class_id").eqNullSafe(F.col("doc_id"))), links
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _digested(packed: DataFrame) -> DataFrame:
+    """Rows (_doc) with the digest ``_text`` of their text."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield t.map(lambda x: _digest(x or ""))
+
+    return packed.withColumn("_text", F.pandas_udf(run, "binary")(F.col("_doc.text")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, the one that represents it; columns as they were.
 
-    Rows whose id no class drops pass straight through; rows that repeat a
-    representative's doc_id are reduced to one.
+    Rows of an id whose rows are all kept or all dropped are told by doc_id;
+    those of other ids, and without one, by doc_id and text. Rows that repeat
+    a representative's id and text are reduced to one.
     """
-    found, _ = classes(docs)
-    found = cut(found, "classes")
-    by_id = found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.col("class_id").eqNullSafe(F.col("doc_id"))).alias("_kept")
+    found, _ = _classed(docs)
+    found = cut(found.groupBy("doc_id", "_text").agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")), "classes")
+    by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.sum("_n").alias("_n"), F.bool_or("_kept").alias("_any"), F.bool_and("_kept").alias("_all")
+    )
+    gone = by_id.where("NOT _any").select(F.col("doc_id").alias("_id"))
+    told = cut(by_id.where("_any AND NOT (_all AND _n = 1)").select(F.col("doc_id").alias("_id")), "told")
+    plain = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    pack = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
+    open_ = docs.where(docs["doc_id"].isNull()).select(pack).unionByName(
+        docs.join(_few(told), docs["doc_id"] == told["_id"], "left_semi").select(pack)
     )
-    gone = by_id.where("NOT _kept").select(F.col("doc_id").alias("_id"))
-    twice = cut(by_id.where("_kept AND _n > 1").select(F.col("doc_id").alias("_id")), "twice")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
-    if not twice.limit(1).count():
-        return kept
-    packed = kept.join(twice, docs["doc_id"].eqNullSafe(twice["_id"]), "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    one = packed.groupBy(F.col("_doc.doc_id").alias("_id")).agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc.*")
-    return kept.join(twice, docs["doc_id"].eqNullSafe(twice["_id"]), "left_anti").unionByName(one)
+    heads = found.where("_kept").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "_n")
+    heads = heads.where("_id IS NULL").unionByName(heads.join(_few(told), "_id", "left_semi"))
+    open_ = _digested(open_).join(_few(cut(heads, "heads")), (F.col("_text") == F.col("_t")) & F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_id")))
+    once = open_.where("_n = 1").select("_doc.*")
+    more = open_.where("_n > 1").groupBy("_id", "_t").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc.*")
+    return plain.join(_few(told), docs["doc_id"] == told["_id"], "left_anti").unionByName(once).unionByName(more)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", F.col("text_copies"), "near", "links", F.col("class_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", "class_id", F.col("text_copies"), "near", "links", "kept")
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}

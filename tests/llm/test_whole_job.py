@@ -121,3 +121,11 @@ def test_pii_terms_go_wherever_they_stand(spark):
     spans = {r.doc_id: [(x.s, x.e) for x in r._term] for r in pii.find(df).collect()}
     for i, t in rows:
         assert [m.span() for m in re.finditer("(?i)zorblatt", t)] == [x for x in spans[i] if t[slice(*x)].lower() == "zorblatt"]
+
+
+def test_near_dedup_keeps_rows_of_one_id_by_their_texts(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2).upper()), (None, text(3)), (3, text(3)), (7, text(4)), (7, text(5)), (7, text(6)), (5, text(6)), (8, text(7)), (9, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.text.lower()) for r in near_dedup.keep_one(docs).collect())
+    assert got == sorted((str(i), text(k)) for i, k in [(None, 1), (None, 2), (3, 3), (7, 4), (7, 5), (5, 6), (8, 7)])
