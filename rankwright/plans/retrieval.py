@@ -66,6 +66,21 @@ def bm25_zero(spark, d):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") == 0).alias("zeros"))
 
 
+@query("bm25_top10_all", SQL["bm25_top10"].replace("WHERE item_id < 5", ""))
+def bm25_top10_all(spark, d):
+    docs = table(spark, d, "documents")
+    s = V.bm25(table(spark, d, "benchmark"), "item_id", "text", docs, "doc_id", "text")
+    return R.top_k(s, ["item_id"], "score", "doc_id", 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rn")
+
+
+@query("bm25_zero_scores_stay_all", SQL["bm25_zero_scores_stay"].replace("WHERE item_id < 3", ""))
+def bm25_zero_all(spark, d):
+    q, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    s = V.bm25(q, "item_id", "text", docs, "doc_id", "text").groupBy("item_id").agg(F.count_if(F.col("score") != 0).alias("scored"))
+    n = q.select("item_id").join(s, "item_id", "left").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    return n.select("item_id", "n", (F.col("n") - F.coalesce("scored", F.lit(0))).alias("zeros"))
+
+
 @query("corpus_statistics", r"""
 WITH dt AS (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z0-9_]+') AS ts FROM documents),
 tf AS (SELECT source, doc_id, lower(t) AS term FROM (SELECT source, doc_id, unnest(ts) AS t FROM dt) GROUP BY ALL)
