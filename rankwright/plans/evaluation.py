@@ -160,3 +160,10 @@ def functions(spark, d):
     body = F.regexp_replace("text", "[{}\"'/]", "")
     files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("int f"), F.col("doc_id").cast("string"), F.lit("(int x) {\n"), body, F.lit("\n}\n")).alias("text"))
     return code.extract_functions(files, "doc_id", "text")
+
+
+@query("order_by_external_list_all", SQL["order_by_external_list"].replace(" WHERE o_orderkey < 500", ""))
+def external_order_all(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o"))
+    w = Window.orderBy(F.asc_nulls_last("o"), "c_custkey")
+    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.row_number().over(w).alias("pos"))

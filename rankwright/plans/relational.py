@@ -342,3 +342,30 @@ def pairwise_diffs(spark, d):
     j = a.where("positive").withColumnRenamed("anchor_id", "pos_id").join(n, "case_id")
     j = R.hash_order(j, ["case_id"], ["pos_id", "neg_id"]).where("rn <= 3")
     return j.select("case_id", "pos_id", "neg_id", F.round(F.col("score_a") - F.col("na"), 4).alias("d_a"), F.round(F.col("score_b") - F.col("nb"), 4).alias("d_b"))
+
+
+# the same over whole tables; the queries above read what their SQL states
+
+
+@query("conflict_checked_keys_all", SQL["conflict_checked_keys"].replace(" WHERE c_custkey < 60", ""))
+def conflicts_all(spark, d):
+    return J.conflict_checked(t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_mktsegment"), "k")
+
+
+@query("fallback_key_join_all", SQL["fallback_key_join"].replace(" WHERE c_custkey % 2 = 0", ""))
+def fallback_all(spark, d):
+    x = t(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 3).alias("k1"), F.col("s_nationkey").alias("k2"))
+    return J.fallback_join(x, t(spark, d, "customer"), [("k1", "c_custkey"), ("k2", "c_nationkey")], "c_name").select("s_suppkey", "c_name")
+
+
+@query("semi_join_pushdown_all", SQL["semi_join_pushdown"].replace("doc_id % 97 = 3 AND ", ""))
+def semi_join_all(spark, d):
+    docs = t(spark, d, "documents")
+    return docs.select("doc_id", "source").join(docs.where("lang = 'fr'").select("source").distinct(), "source", "left_semi")
+
+
+@query("path_suffix_join_all", SQL["path_suffix_join"].replace(" WHERE page_id % 9 = 0", ""))
+def suffix_join_all(spark, d):
+    p = t(spark, d, "pages")
+    b = p.select(F.regexp_extract("url", "/([^/]+/[^/]+)$", 1).alias("q")).where("q <> ''").distinct()
+    return P.suffix_join(p.select("page_id", F.regexp_replace("url", "^http://", "").alias("p")), b, "p", "q").select("page_id", "q")

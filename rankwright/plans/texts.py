@@ -118,7 +118,7 @@ def masking(spark, d):
 
 @query("keep_list_masking")
 def keep_list(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", F.sha2(X.mask_calls(X.mask_identifiers(F.col("text"), ["the", "of", "and"])), 256).alias("h"))
+    return docs(spark, d).select("doc_id", F.sha2(X.mask_calls(X.mask_identifiers(F.col("text"), ["the", "of", "and"])), 256).alias("h"))
 
 
 @query("ordered_regex_classifier", "SELECT CASE WHEN regexp_matches(text, '[#$%&*]{3}') THEN 'junk' WHEN regexp_matches(text, '[|]') THEN 'table' WHEN regexp_matches(text, '(?i)license') THEN 'license' ELSE 'unclassified' END AS class, count(*) AS n FROM documents GROUP BY 1")
@@ -293,3 +293,14 @@ def adapter(spark, d):
 def embedder(spark, d):
     e = L.embed(docs(spark, d).select("doc_id", "text"), "text", L.hashing_encoder())
     return e.select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
+
+
+@query("token_set_stop_words_all", SQL["token_set_stop_words"].replace(" WHERE lang = 'en'", ""))
+def token_set_all(spark, d):
+    x = docs(spark, d).select("doc_id", F.explode(X.token_set(F.col("text"), ["the", "and", "that", "for", "with"])).alias("x"))
+    return x.groupBy("doc_id").agg(F.countDistinct("x").alias("n"))
+
+
+@query("identifier_masking_all", SQL["identifier_masking"].replace(" WHERE lang = 'en'", ""))
+def masking_all(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(F.regexp_replace("text", r"\.\s*[A-Za-z_][A-Za-z0-9_]*", ".MEMBER"), 256).alias("h"))
