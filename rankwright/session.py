@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_cuts: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
@@ -69,9 +74,50 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _cuts:
+        _cuts[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables cut inside go when the block ends, but for those passed to ``kept``, which stay with the block around.
+
+    What is returned from the block may read kept tables only.
+    """
+    held: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(_cuts[-1][-1])
+        return df
+
+    _cuts.append([])
+    try:
+        yield kept
+    finally:
+        paths = _cuts.pop()
+        remove(spark, [p for p in paths if p not in held])
+        if _cuts:
+            _cuts[-1].extend(held)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables cut inside, for ``remove`` when what reads them is done."""
+    _cuts.append([])
+    try:
+        yield _cuts[-1]
+    finally:
+        _cuts.pop()
+
+
 _shipped: set[str] = set()
 
 
