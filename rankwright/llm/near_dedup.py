@@ -2,27 +2,33 @@
 
 Texts are lower-cased and split at white space; equal texts are one node from
 the start. A text's k-mers are its runs of K words, numbered by occurrence.
-Each of ENTRIES permutations picks its two smallest k-mers, puts them back in
-text order and hashes the pair. Entries in twos are the bands; texts that
-share a band share a bucket. Small buckets give all their pairs, larger ones
-first tie every member to one pivot, the text first in hash order, so a family
-meets the same pivot in all its buckets.
-Pairs that agree in fewer than LEAST entries go
-(a pair at Jaccard 0.8 agrees in about 25 of 40); the others are aligned.
-
-Alignment is edit distance over words, found diagonal by diagonal inside a
-band of ``(1 - SIMILARITY) * length``; texts link if one minus distance over
-the longer length reaches SIMILARITY. Each text's best pair is aligned first,
-then the pairs that still lie across components. Large buckets that still hold
-several components are then met in full, block by block: every pair of their
-texts that agrees in LEAST entries and lies across components is aligned, but
-for those that lengths or counts of words already rule out.
+Each of ENTRIES permutations picks its LEAST_KMERS smallest k-mers, puts them
+back in text order and hashes the tuple; texts that share an entry share a
+bucket. Short texts, where a few edits spoil most runs of five, have further
+entries over shorter runs (SHORT).
+
+Alignment is edit distance d over words, found diagonal by diagonal inside a
+band; with n the words of the longer text the likeness is ``(n - d) / (n + d)``,
+what the Jaccard index is if an alignment says which words are common. Texts
+link at SIMILARITY, so at ``d <= n / 9``. Texts of fewer than nine words link
+only to equal ones. A pair at the very threshold with its edits scattered has
+about 0.385 of its runs in common, so an entry is equal with a chance of 0.057
+and one of 64 with 0.977; recall is measured in the tests.
+
+Buckets of up to SMALL texts give their pairs, larger ones tie each member to
+one pivot, the text first in hash order, so a family meets the same pivot in
+all its buckets. Each text's best pair is aligned first, then the pairs that
+still lie across components. Large buckets that still hold several components
+are then met in full, block by block: texts that lengths or counts of words
+don't rule out are brought together with their words, and each pair across
+components is aligned in the first bucket that both share, unless links found
+there have joined it already. Only links leave a block, never pairs, so no
+link between components is lost and none is repeated.
 
 Cases: a null text is empty; empty texts are equal to each other and near to
-nothing else; a text of fewer than K words is one k-mer; of equal or near
-texts the row with the smallest doc_id (nulls last) represents the class; rows
-that repeat are in one class; an empty table gives an empty result; more
-columns pass untouched.
+nothing else; of equal or near texts the row with the smallest doc_id (nulls
+last) represents the class; rows that repeat are in one class; an empty table
+gives an empty result; more columns pass untouched.
 """
 
 from __future__ import annotations
@@ -36,27 +42,31 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import attach_groups, cut, small_batches, table
-from rankwright.llm.graph import components
+from rankwright.llm.common import attach_groups, cut, scratch, small_batches, table
+from rankwright.llm.graph import Roots, components
 
 K = 5
-ENTRIES = 40
-ROWS = 2
-LEAST = 5
+ENTRIES = 64
+LEAST_KMERS = 3
+#: Texts of fewer words than the first number have, over runs of the second, as many further entries as the third says.
+SHORT = ((128, 3, 32), (24, 2, 32))
 SIMILARITY = 0.8
 #: Buckets of up to so many texts give all their pairs.
 SMALL = 8
-#: Large buckets are met in pairs of blocks of about so many texts.
+#: Large buckets are met in pairs of blocks of about so many texts and so many words.
 BLOCK = 1024
+BLOCK_WORDS = 1 << 20
 #: Words are counted by so many remainders of their hashes, which bounds what two texts have in common from above.
-COUNTS = 256
+COUNTS = 128
 MOST_COUNTED = 65_535
 CACHE = 500_000
-#: Pairs up to so many have their ids broadcast (16 MB) to filter the table of words where it lies.
+#: Tables of ids up to so many rows (16 MB) are broadcast, larger ones join by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one pivot that meet one copy of its words.
+SHARED = 512
 
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -115,20 +125,40 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """ENTRIES 32-bit order-MinHash entries; empty for an empty text."""
-    x = kmers(h)
-    if not len(x):
-        return np.empty(0, dtype=np.uint32)
-    if len(x) == 1:
-        pair = np.zeros((ENTRIES, 2), dtype=np.int64)
-    elif len(x) * ENTRIES <= 1 << 20:
-        pair = np.argpartition(x[None, :] ^ _SEEDS[:, None], 1, axis=1)[:, :2]
+def _entries(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For each seed the hash of the LEAST_KMERS k-mers it puts first, in text order."""
+    if len(x) <= LEAST_KMERS:
+        least = np.tile(np.arange(len(x)), (len(seeds), 1))
+    elif len(x) * len(seeds) <= 1 << 20:
+        least = np.argpartition((x[None, :] ^ seeds[:, None]) * _C1, LEAST_KMERS - 1, axis=1)[:, :LEAST_KMERS]
     else:
-        pair = np.array([np.argpartition(x ^ s, 1)[:2] for s in _SEEDS])
-    pair.sort(axis=1)
-    a, b = x[pair[:, 0]], x[pair[:, 1]]
-    return (mix64(a * np.uint64(0x9E3779B97F4A7C15) + b + _SEEDS) >> np.uint64(32)).astype(np.uint32)
+        least = np.array([np.argpartition((x ^ s) * _C1, LEAST_KMERS - 1)[:LEAST_KMERS] for s in seeds])
+    least.sort(axis=1)
+    out = seeds.copy()
+    for c in range(least.shape[1]):
+        out = out * np.uint64(0x100000001B3) + x[least[:, c]]
+    return mix64(out)
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The 64-bit entries of a text; none where no other text can be near."""
+    if len(h) < fewest():
+        return np.empty(0, dtype=np.uint64)
+    out = _entries(kmers(h), _SEEDS)
+    for below, k, entries in SHORT:
+        if len(h) < below:
+            out = np.r_[out, _entries(kmers(h, k), mix64(_SEEDS[:entries] + np.uint64(k)))]
+    return out
+
+
+def allowed(longest: int, least: float = SIMILARITY) -> int:
+    """The edits that two texts may differ by."""
+    return int(longest * (1 - least) / (1 + least) + 1e-9)
+
+
+def fewest(least: float = SIMILARITY) -> int:
+    """Words of the shortest text that may be near to another one."""
+    return int(np.ceil((1 + least) / (1 - least) - 1e-9)) - 1
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -192,12 +222,12 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """One minus edit distance over the longer length; 0 where that is below ``least``."""
+    """(n - d) / (n + d) for edit distance d and the longer length n; 0 where that is below ``least``."""
     longest = max(len(a), len(b))
     if not longest:
         return 1.0
-    d = distance(a, b, int((1 - least) * longest + 1e-9))
-    return 0.0 if d is None else 1 - d / longest
+    d = distance(a, b, allowed(longest, least))
+    return 0.0 if d is None else (longest - d) / (longest + d)
 
 
 def _digest(text: str) -> bytes:
@@ -206,63 +236,68 @@ def _digest(text: str) -> bytes:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, _text (a digest of the normal form), _sig and _words of every row."""
+    """doc_id, _text (a digest of the normal form), _keys and _words of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "_text", "_sig", "_words")
+        names = ("doc_id", "_text", "_keys", "_words")
         for batch in batches:
-            digests, sigs, hashes = [], [], []
+            digests, keys, hashes = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 h = words().of(text)
                 digests.append(_digest(text))
-                sigs.append(sketch(h).astype("<u4").tobytes())
+                keys.append(sketch(h).view(np.int64))
                 hashes.append(h.astype("<u4").tobytes())
-            columns = [batch.column(0), *(pa.array(c, pa.binary()) for c in (digests, sigs, hashes))]
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(hashes, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, _text binary, _sig binary, _words binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, _text binary, _keys array<long>, _words binary")
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """(key, id): one row for each text and band."""
-    part = lambda j: F.substring(F.col("_sig"), 1 + 4 * ROWS * j, 4 * ROWS)
-    keys = F.array(*[F.xxhash64(part(j), F.lit(j)) for j in range(ENTRIES // ROWS)])
-    return texts.where(F.length("_sig") > 0).select(F.explode(keys).alias("key"), "id")
+    """(key, id): one row for each text and entry."""
+    return texts.select(F.explode("_keys").alias("key"), "id")
+
+
+def _order(id_: str) -> Column:
+    return F.xxhash64(F.col(id_), F.lit(0))
 
 
 def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) of bucket rows (key, id), and the keys of the large buckets."""
-    h = F.xxhash64("id", F.lit(0))
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", h).alias("p"))
+    """Candidate pairs (a before b in hash order) with the number of buckets they share, and rows (key, id) of large buckets."""
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", _order("id")).alias("p"))
     groups = cut(groups.where("n > 1"), "groups")
-    met = attach_groups(rows, groups, "key", "n", rows.count())
-    star = met.where(F.col("n") > SMALL).select("id", F.col("p").alias("other"))
-    few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    few = few.select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("other"))
-    pairs = star.unionByName(few).where("id <> other")
-    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return pairs, groups.where(F.col("n") > SMALL).select("key", "n")
+    met = cut(attach_groups(rows, groups, "key", "n", rows.count()), "met")
+    star = met.where((F.col("n") > SMALL) & (F.col("id") != F.col("p"))).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("id").alias("ids"))
+    few = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
+    few = few.where((_order("a") < _order("b")) | ((_order("a") == _order("b")) & (F.col("a") < F.col("b"))))
+    pairs = star.unionByName(few).groupBy("a", "b").agg(F.count(F.lit(1)).alias("est"))
+    return pairs, met.where(F.col("n") > SMALL).select("key", "id")
 
 
-def _promising(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Add ``est``, the number of equal entries; pairs below LEAST go."""
-    sig = lambda c: texts.select(F.col("id").alias(c), F.col("_sig").alias(f"_s{c}"))
-    entry = lambda c, j: F.substring(F.col(f"_s{c}"), 1 + 4 * j, 4)
-    est = sum(((entry("a", j) == entry("b", j)).cast("int") for j in range(ENTRIES)), F.lit(0))
-    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", est.alias("est")).where(F.col("est") >= LEAST)
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, a written table of ids, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts align, with their similarity. Only the words of texts in a pair are shuffled."""
+    """The pairs whose texts align, with their similarity. Only words of texts in a pair are shuffled, those of a pivot in as many copies as SHARED asks for."""
+    spark = rows.sparkSession
     pairs = cut(pairs.select("a", "b"), "asked")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARED).alias("_parts")).where("_parts > 1")
+    hubs = _few(cut(hubs.select(F.col("a").alias("_hub"), "_parts"), "hubs"))
+    parts = F.coalesce("_parts", F.lit(1))
 
     def held(c: str) -> DataFrame:
-        ids = pairs.select(F.col(c).alias("_row")).distinct()
-        ids = F.broadcast(ids) if pairs.count() <= BROADCAST_IDS else ids
+        ids = _few(cut(pairs.select(F.col(c).alias("_row")).distinct(), "ids"))
         return rows.join(ids, "_row", "left_semi").select(F.col("_row").alias(c), F.col("_words").alias(f"_w{c}"))
 
-    rows = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "_wa", "_wb")
+    left = held("a").join(hubs, F.col("a") == F.col("_hub"), "left").select("a", "_wa", F.explode(F.sequence(F.lit(1), parts.cast("int"))).alias("_part"))
+    asked = pairs.join(hubs, F.col("a") == F.col("_hub"), "left").select("a", "b", (F.pmod(F.xxhash64("b"), parts) + 1).cast("int").alias("_part"))
+    # as many tasks as the session has shuffle partitions: aligning is work, however few the bytes
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = asked.join(left, ["a", "_part"]).select("a", "b", "_wa").repartition(n, "b").join(held("b").repartition(n, "b"), "b").select("a", "b", "_wa", "_wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,10 +306,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
                 s = similarity(np.frombuffer(wa.as_buffer(), dtype="<u4"), np.frombuffer(wb.as_buffer(), dtype="<u4"), least)
                 if s >= least:
                     out.append((a.as_py(), b.as_py(), s))
-            columns = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=("a", "b", "similarity"))
+            yield _links(out)
+
+    return both.mapInArrow(run, LINKS)
+
 
-    return rows.mapInArrow(run, "a long, b long, similarity double")
+LINKS = "a long, b long, similarity double"
+
+
+def _links(out: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*out)) if out else [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=("a", "b", "similarity"))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -286,121 +328,148 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _counted(ids: DataFrame, rows: DataFrame) -> DataFrame:
-    """Number of words and counts of words by remainder of the texts ``ids`` (id)."""
-    ids = ids.select(F.col("id").alias("_row"))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """Number of words, entries and counts of words by remainder of the texts ``ids`` (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, counts = [], []
-            for w in batch.column(1):
+            for w in batch.column(2):
                 h = np.frombuffer(w.as_buffer(), dtype="<u4")
                 sizes.append(len(h))
                 counts.append(np.minimum(np.bincount(h % COUNTS, minlength=COUNTS), MOST_COUNTED).astype("<u2").tobytes())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=("id", "_n", "_counts"))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), batch.column(1), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=("id", "_n", "_keys", "_counts"))
+
+    held = rows.join(_few(cut(ids.select(F.col("id").alias("_row")), "ids")), "_row", "left_semi")
+    return held.select("_row", "_keys", "_words").mapInArrow(run, "id long, _n long, _keys array<long>, _counts binary")
+
+
+def _shared(block: pa.Table) -> np.ndarray:
+    """The entries of a block's texts, a row each, zeros after the last."""
+    lists = block["_keys"].to_pylist()
+    out = np.zeros((len(lists), max(map(len, lists))), dtype=np.int64)
+    for k, x in enumerate(lists):
+        out[k, : len(x)] = x
+    return out
 
-    return rows.join(ids, "_row", "left_semi").select("_row", "_words").mapInArrow(run, "id long, _n long, _counts binary")
+
+def _cross(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of the first and of the second side of a block; within one block all are on both."""
+    own, lo, hi = block["own"].to_numpy(), block["lo"][0].as_py(), block["hi"][0].as_py()
+    return np.flatnonzero(own == lo), np.flatnonzero(own == hi)
 
 
 def meet(block: pa.Table, least: float) -> pa.Table:
-    """The promising pairs across components of two blocks (or within one) that may align."""
-    own = block["own"].to_numpy()
+    """The texts of two blocks (or one) that may align with one across components, by lengths and counts of words."""
     ids, label, size = (block[c].to_numpy() for c in ("id", "label", "_n"))
-    sig = np.frombuffer(b"".join(block["_sig"].to_pylist()), "<u4").reshape(-1, ENTRIES)
-    counts = np.frombuffer(b"".join(block["_counts"].to_pylist()), "<u2").reshape(-1, COUNTS)
-    lo, hi = block["lo"][0].as_py(), block["hi"][0].as_py()
-    x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    est = np.zeros((len(x), len(y)), dtype=np.uint8)
-    for j in range(ENTRIES):
-        est += sig[x, j][:, None] == sig[y, j][None, :]
-    may = (est >= LEAST) & (label[x][:, None] != label[y][None, :])
-    if lo == hi:
-        may &= ids[x][:, None] < ids[y][None, :]
+    keys, counts = _shared(block), np.frombuffer(b"".join(block["_counts"].to_pylist()), "<u2").reshape(-1, COUNTS)
+    x, y = _cross(block)
+    longest = np.maximum(size[x][:, None], size[y][None, :])
+    edits = longest * ((1 - least) / (1 + least)) + 1e-9
+    may = (label[x][:, None] != label[y][None, :]) & (np.abs(size[x][:, None] - size[y][None, :]) <= edits)
     i, j = np.nonzero(may)
-    est, i, j = est[i, j], x[i], y[j]
-    longest = np.maximum(size[i], size[j])
-    most = ((1 - least) * longest + 1e-9).astype(np.int64)
-    near = np.flatnonzero(np.abs(size[i] - size[j]) <= most)
-    open_ = [near[:0]]
-    for k in range(0, len(near), 1 << 14):
-        at = near[k : k + (1 << 14)]
-        both = np.minimum(counts[i[at]], counts[j[at]]).sum(axis=1, dtype=np.int64)
-        open_.append(at[(longest[at] - both <= most[at]) | (longest[at] > MOST_COUNTED)])
-    at = np.concatenate(open_)
-    a, b = ids[i[at]], ids[j[at]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "est": est[at].astype(np.int32)})
-
-
-def _rest(crowded: DataFrame, texts: DataFrame, rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """All promising pairs (a < b, est) across components of large buckets (key, id) that may align; none where there is one component."""
-    inside = crowded.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    edits, longest, i, j = edits[i, j], longest[i, j], x[i], y[j]
+    found, key = np.zeros(len(ids), dtype=bool), block["key"][0].as_py()
+    for k in range(0, len(i), 1 << 14):
+        part = slice(k, k + (1 << 14))
+        a, b = i[part], j[part]
+        both = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64)
+        ok = (longest[part] - both <= edits[part]) | (longest[part] > MOST_COUNTED)
+        a, b = a[ok], b[ok]
+        same = (keys[a] == keys[b]) & (keys[a] != 0)
+        first = keys[a, same.argmax(axis=1)] == key
+        found[a[first]] = found[b[first]] = True
+    at = np.flatnonzero(found)
+    return pa.table({"key": pa.array([key] * len(at), pa.int64()), "lo": block["lo"].take(at), "hi": block["hi"].take(at), "own": block["own"].take(at), "id": ids[at], "label": label[at]})
+
+
+def align(block: pa.Table, least: float) -> pa.Table:
+    """Links between components of two blocks (or one): the likeliest pairs first, and none that earlier links have joined."""
+    ids, label, keys = block["id"].to_numpy(), block["label"].to_numpy(), _shared(block)
+    h = [np.frombuffer(w.as_buffer(), dtype="<u4") for w in block["_words"].combine_chunks()] if len(ids) else []
+    size = np.array([len(w) for w in h])
+    x, y = _cross(block)
+    edits = np.maximum(size[x][:, None], size[y][None, :]) * ((1 - least) / (1 + least)) + 1e-9
+    i, j = np.nonzero((label[x][:, None] != label[y][None, :]) & (np.abs(size[x][:, None] - size[y][None, :]) <= edits))
+    i, j, key = x[i], y[j], block["key"][0].as_py()
+    asked = []
+    for k in range(0, len(i), 1 << 14):
+        a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        same = (keys[a] == keys[b]) & (keys[a] != 0)
+        ok = keys[a, same.argmax(axis=1)] == key
+        asked.append(np.stack([a[ok], b[ok], same[ok].sum(axis=1)]))
+    a, b, est = np.concatenate(asked, axis=1) if asked else np.zeros((3, 0), dtype=int)
+    top, out = Roots(), []
+    for k in np.argsort(-est, kind="stable"):
+        la, lb = top.of(int(label[a[k]])), top.of(int(label[b[k]]))
+        if la != lb and (s := similarity(h[a[k]], h[b[k]], least)) >= least:
+            top.join(la, lb)
+            out.append((int(ids[a[k]]), int(ids[b[k]]), s))
+    return pa.Table.from_batches([_links(out)])
+
+
+def _rest(large: DataFrame, rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Links across components of large buckets (key, id)."""
+    inside = large.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
     inside = cut(inside.select("key", "id", F.coalesce("label", "id").alias("label")), "inside")
     several = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     several = cut(several.where("lo < hi").select("key", "n"), "several")
-    inside = cut(attach_groups(inside, several, "key", "n", inside.count()), "several")
-    facts = _counted(inside.select("id").distinct(), rows).join(texts, "id")
-    n = F.ceil(F.col("n") / BLOCK)
-    dealt = inside.withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), n)).join(facts, "id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label", "_sig", "_n", "_counts")
-    found = dealt.groupBy("key", "lo", "hi").applyInArrow(lambda block: meet(block, least), "a long, b long, est int")
-    return found.distinct()
+    inside = cut(attach_groups(inside, several, "key", "n", inside.count()), "open")
+    facts = cut(_counted(inside.select("id").distinct(), rows), "facts")
+    sizes = inside.join(_few(facts.select("id", "_n")), "id").groupBy("key").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("_n") / BLOCK_WORDS)).alias("_blocks"), F.count(F.lit(1)).alias("n")
+    )
+    dealt = attach_groups(inside.drop("n"), cut(sizes, "sizes"), "key", "n", inside.count())
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("_blocks")).alias("own")
+    dealt = dealt.select("key", "id", "label", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label")
+    kind = "key long, lo long, hi long, own long, id long, label long"
+    asked = dealt.join(facts, "id").groupBy("key", "lo", "hi").applyInArrow(lambda block: meet(block, least), kind)
+    asked = cut(asked, "may")
+    held = rows.join(_few(cut(asked.select(F.col("id").alias("_row")).distinct(), "ids")), "_row", "left_semi")
+    met = asked.join(held.select(F.col("_row").alias("id"), "_keys", "_words"), "id")
+    return met.groupBy("key", "lo", "hi").applyInArrow(lambda block: align(block, least), LINKS)
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, class_id, text_copies, links, near, kept) for every row of ``docs``; and the links (a, b, similarity) between text ids."""
+    """Rows (doc_id, class_id, text_copies, near, kept) for every row of ``docs``; and links (a, b, similarity) between text ids that hold the classes together."""
     found, links = _classed(docs, least)
     return found.drop("_text"), links
 
 
 def _classed(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``classes`` with the digest ``_text`` of each row's text."""
-    small_batches(docs.sparkSession)
-    rows = cut(_sketched(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    total = rows.count()
-    groups = rows.groupBy("_text").agg(
-        F.min("_row").alias("id"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("text_copies")
-    )
-    groups = cut(groups, "texts")
-    reps = groups.select(F.col("id").alias("_row"))
-    slim = rows.select("_row", "_sig").join(reps, "_row", "left_semi")
-    texts = cut(slim.select(F.col("_row").alias("id"), "_sig"), "texts")
-    buckets = cut(_buckets(texts), "buckets")
-    pairs, large = _pairs(buckets)
-    pairs = cut(_promising(pairs, texts), "pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", "est").alias("a"))
-    links = cut(_verified(best, rows, least), "aligned")
-    labels = components(links)
-    links = links.unionByName(cut(_verified(_across(pairs, labels), rows, least), "aligned"))
-    labels = components(links)
-    crowded = cut(attach_groups(buckets, large, "key", "n", buckets.count()).select("key", "id"), "crowded")
-    if crowded.limit(1).count():
-        rest = _rest(crowded, texts, rows, labels, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        rest = cut(rest, "pairs")
-        best = rest.groupBy("b").agg(F.max_by("a", "est").alias("a"))
-        links = links.unionByName(cut(_verified(best, rows, least), "aligned"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    with scratch(spark) as kept:
+        rows = cut(_sketched(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
+        total = rows.count()
+        texts = rows.groupBy("_text").agg(
+            F.min("_row").alias("id"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("text_copies"), F.first("_keys").alias("_keys")
+        )
+        texts = cut(texts, "texts")
+        pairs, large = _pairs(_buckets(texts))
+        pairs = cut(pairs, "pairs")
+        best = pairs.groupBy("b").agg(F.max_by("a", "est").alias("a"))
+        links = cut(_verified(best, rows, least), "aligned")
         labels = components(links)
-        rest = rest.join(best, ["a", "b"], "left_anti")
-        links = links.unionByName(cut(_verified(_across(rest, labels), rows, least), "aligned"))
+        links = links.unionByName(cut(_verified(_across(pairs, labels), rows, least), "aligned"))
         labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    known = groups.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")).join(degree, "id", "left")
-    known = cut(known, "known")
-    heads = known.where("links IS NOT NULL").groupBy("label").agg(
-        F.min("rep").alias("_head"), F.min(F.struct(F.col("rep").isNull(), "rep", "_text"))["_text"].alias("_first"), F.count(F.lit(1)).alias("near")
-    )
-    known = known.join(heads, "label", "left").select(
-        "_text", F.coalesce("_head", "rep").alias("class_id"), F.coalesce("near", F.lit(1)).cast("long").alias("near"),
-        "text_copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("_first") == F.col("_text"), F.lit(True)).alias("kept"),
-    )
-    slim = rows.select("doc_id", "_row", "_text")
-    found = attach_groups(slim, known, "_text", "text_copies", total)
-    return found.withColumn("kept", F.col("kept") & F.col("class_id").eqNullSafe(F.col("doc_id"))), links
-
-
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+        if large.limit(1).count():
+            links = links.unionByName(cut(_rest(large, rows, labels, least), "aligned"))
+            labels = components(links)
+        known = texts.drop("_keys").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        known = cut(known, "known")
+        heads = known.join(labels.select(F.col("node").alias("id")), "id", "left_semi").groupBy("label").agg(
+            F.min("rep").alias("_head"), F.min(F.struct(F.col("rep").isNull(), "rep", "_text"))["_text"].alias("_first"), F.count(F.lit(1)).alias("near")
+        )
+        known = known.join(heads, "label", "left").select(
+            "_text", F.coalesce("_head", "rep").alias("class_id"), F.coalesce("near", F.lit(1)).cast("long").alias("near"),
+            "text_copies", F.coalesce(F.col("_first") == F.col("_text"), F.lit(True)).alias("kept"),
+        )
+        found = attach_groups(rows.select("doc_id", "_text"), cut(known, "known"), "_text", "text_copies", total)
+        found = found.withColumn("kept", F.col("kept") & F.col("class_id").eqNullSafe(F.col("doc_id")))
+        return kept(cut(found, "classes")), kept(cut(links, "links"))
 
 
 def _digested(packed: DataFrame) -> DataFrame:
@@ -425,9 +494,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.sum("_n").alias("_n"), F.bool_or("_kept").alias("_any"), F.bool_and("_kept").alias("_all")
     )
-    gone = by_id.where("NOT _any").select(F.col("doc_id").alias("_id"))
+    gone = _few(cut(by_id.where("NOT _any").select(F.col("doc_id").alias("_id")), "gone"))
     told = cut(by_id.where("_any AND NOT (_all AND _n = 1)").select(F.col("doc_id").alias("_id")), "told")
-    plain = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    plain = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
     pack = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
     open_ = docs.where(docs["doc_id"].isNull()).select(pack).unionByName(
         docs.join(_few(told), docs["doc_id"] == told["_id"], "left_semi").select(pack)
@@ -442,7 +511,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", F.col("text_copies"), "near", "links", "kept")
+    return found.select("doc_id", "class_id", "text_copies", "near", "kept")
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}

@@ -1,68 +1,13 @@
 """What a shorter way would leave out, held against brute force."""
 
 import itertools
-import random
 import re
 from re import _constants as c
 from re import _parser
 
-import numpy as np
-
 from rankwright.llm import licenses, near_dedup, pii
 
 
-def test_near_dedup_finds_pairs_under_a_frequent_passage(spark):
-    r = random.Random(11)
-    passage = [f"p{i}" for i in range(150)]
-    rows = []
-    for k in range(40):
-        own = [f"o{k}x{i}" for i in range(50)]
-        rows.append((2 * k, " ".join(passage + own)))
-        for i in r.sample(range(50), 30):
-            own[i] = f"e{k}x{i}"
-        rows.append((2 * k + 1, " ".join(passage + own)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    h = [near_dedup.words().of(t) for _, t in rows]
-    sig = [near_dedup.sketch(x) for x in h]
-    want = set()
-    for i in range(len(rows)):
-        for j in range(i):
-            same = sig[i] == sig[j]
-            if same.sum() >= near_dedup.LEAST and same.reshape(-1, near_dedup.ROWS).all(axis=1).any() and near_dedup.similarity(h[i], h[j]) > 0:
-                want.add((j, i))
-    assert len(want) > 30 and all(i == j + 1 for j, i in want)
-    got = {x.doc_id: x.class_id for x in near_dedup.classes(docs)[0].collect()}
-    assert {(j, i) for i in got for j in got if j < i and got[i] == got[j]} == want
-
-
-def test_near_dedup_meets_blocks_as_brute_force(spark, monkeypatch):
-    import pyarrow as pa
-
-    g = np.random.default_rng(3)
-    n = 60
-    words = [g.integers(0, 40, g.integers(20, 30)).astype("<u4") for _ in range(n)]
-    for i in range(0, n, 2):
-        words[i + 1] = np.r_[words[i][:-2], [7, 8]].astype("<u4")
-    sig = [near_dedup.sketch(w) for w in words]
-    label = g.integers(0, 30, n)
-    own = g.integers(0, 2, n)
-    count = [np.bincount(w % near_dedup.COUNTS, minlength=near_dedup.COUNTS).astype("<u2").tobytes() for w in words]
-    got = set()
-    for lo, hi in ((0, 0), (0, 1), (1, 1)):
-        at = [i for i in range(n) if own[i] in (lo, hi)]
-        block = pa.table({
-            "id": at, "label": label[at], "own": own[at], "lo": [lo] * len(at), "hi": [hi] * len(at), "_n": [len(words[i]) for i in at],
-            "_sig": [sig[i].astype("<u4").tobytes() for i in at], "_counts": [count[i] for i in at],
-        })
-        out = near_dedup.meet(block, near_dedup.SIMILARITY).to_pydict()
-        got |= set(zip(out["a"], out["b"]))
-    near = {
-        (i, j) for j in range(n) for i in range(j)
-        if label[i] != label[j] and (sig[i] == sig[j]).sum() >= near_dedup.LEAST and near_dedup.similarity(words[i], words[j]) > 0
-    }
-    assert near and near <= got and all(label[i] != label[j] for i, j in got)
-
-
 def _spelled(tree):
     """Every way a rule's regex can be spelled out; open-ended parts once."""
     ways = [""]
