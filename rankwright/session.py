@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,12 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (a local session) a temporary folder is made, set as
-    the checkpoint folder and removed when the process ends.
+    Where it is unset in a local session, as in tests, a temporary folder is
+    made, set as the checkpoint folder and removed when the process ends. On a
+    cluster it has to be set: executors do not share the driver's disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not folder:
         own = tempfile.mkdtemp(prefix="rankwright-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -64,16 +68,19 @@ def shared_folder(spark: SparkSession) -> str:
 _cuts: list[list[str]] = []
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     Ends the lineage: later stages start from files that outlive any
     executor. The row order inside a file is kept; ids made by
-    ``monotonically_increasing_id`` before the cut are fixed by it.
+    ``monotonically_increasing_id`` before the cut are fixed by it. ``by``: a
+    column of few values that gets folders, so that a filter on it reads its
+    own files alone.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if _cuts:
         _cuts[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
