@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,8 +56,10 @@ SIMILARITY = 0.8
 #: Buckets of up to so many texts give all their pairs.
 SMALL = 8
 #: Large buckets are met in pairs of blocks of about so many texts and so many words.
-BLOCK = 1024
-BLOCK_WORDS = 1 << 20
+BLOCK = 4096
+BLOCK_WORDS = 1 << 22
+#: Pairs that a block compares at once.
+TILE = 1 << 20
 #: Words are counted by so many remainders of their hashes, which bounds what two texts have in common from above.
 COUNTS = 128
 MOST_COUNTED = 65_535
@@ -126,16 +127,17 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def _entries(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """For each seed the hash of the LEAST_KMERS k-mers it puts first, in text order."""
-    if len(x) <= LEAST_KMERS:
-        least = np.tile(np.arange(len(x)), (len(seeds), 1))
-    elif len(x) * len(seeds) <= 1 << 20:
-        least = np.argpartition((x[None, :] ^ seeds[:, None]) * _C1, LEAST_KMERS - 1, axis=1)[:, :LEAST_KMERS]
-    else:
-        least = np.array([np.argpartition((x ^ s) * _C1, LEAST_KMERS - 1)[:LEAST_KMERS] for s in seeds])
-    least.sort(axis=1)
+    """For each seed the hash of the LEAST_KMERS k-mers it puts first, in text order. Positions ride in the low bits of the permuted hashes."""
+    n = len(x)
+    low = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    at, take, step = np.arange(n, dtype=np.uint64), min(LEAST_KMERS, n), max(1, (1 << 15) // n)
+    least = []
+    for k in range(0, len(seeds), step):  # so many seeds at a time as stay in the cache
+        order = (((x[None, :] ^ seeds[k : k + step, None]) * _C1) & ~low) | at
+        least.append((np.partition(order, take - 1, axis=1)[:, :take] & low).astype(np.int64))
+    least = np.sort(np.concatenate(least), axis=1)
     out = seeds.copy()
-    for c in range(least.shape[1]):
+    for c in range(take):
         out = out * np.uint64(0x100000001B3) + x[least[:, c]]
     return mix64(out)
 
@@ -161,11 +163,11 @@ def fewest(least: float = SIMILARITY) -> int:
     return int(np.ceil((1 + least) / (1 - least) - 1e-9)) - 1
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two multisets."""
-    ua, ub = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(ua[0], ub[0], assume_unique=True, return_indices=True)
-    return int(np.minimum(ua[1][ia], ub[1][ib]).sum())
+def _shared_most(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the size of the intersection of two multisets of hashes: counts by remainder."""
+    bins = np.uint64(1 << max(10, 3 + max(len(a), len(b)).bit_length()))
+    counts = (np.bincount((x & (bins - np.uint64(1))).astype(np.int64), minlength=int(bins)) for x in (a, b))
+    return int(np.minimum(*counts).sum())
 
 
 def _runs(a: np.ndarray, q: int) -> np.ndarray:
@@ -173,52 +175,66 @@ def _runs(a: np.ndarray, q: int) -> np.ndarray:
     out = h[: len(a) - q + 1]
     for j in range(1, q):
         out = out * np.uint64(0x100000001B3) + h[j : len(a) - q + 1 + j]
-    return out
+    return out ^ (out >> np.uint64(29))
+
+
+def _hopeless(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether more than ``most`` edits are sure: an edit spoils one word, and at most q runs of q words."""
+    longest = max(len(a), len(b))
+    for q in (1, 3):
+        if min(len(a), len(b)) >= q and longest - q + 1 - _shared_most(_runs(a, q), _runs(b, q)) > q * most:
+            return True
+    return False
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two arrays if at most ``most``, else None: furthest reach along each diagonal of the band."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
+    """Edit distance of two arrays if at most ``most``, else None.
+
+    The band of ``most`` rows on either side of the diagonal is one integer of
+    ``2 * most + 1`` bits a column, its differences to the row above held as
+    bit vectors, so a column costs a few operations on integers.
+    """
+    if abs(len(a) - len(b)) > most:
         return None
-    both = min(n, m)
+    both = min(len(a), len(b))
     head = int(np.argmax(np.r_[a[:both] != b[:both], True]))
     a, b, both = a[head:], b[head:], both - head
     tail = int(np.argmax(np.r_[a[::-1][:both] != b[::-1][:both], True]))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     n, m = len(a), len(b)
     if not n or not m:
-        return n + m if n + m <= most else None
-    if max(n, m) - _common(a, b) > most:
+        return n + m
+    if not most or _hopeless(a, b, most):
         return None
-    for q in (2, 3):  # an edit spoils at most q runs of q words
-        ga, gb = _runs(a, q), _runs(b, q)
-        if len(ga) and len(gb) and max(len(ga), len(gb)) - _common(ga, gb) > q * most:
+    rows: dict[int, list[int]] = {}
+    for i, word in enumerate(a.tolist()):
+        rows.setdefault(word, []).append(i + most + 1)
+    # a frequent word has its rows as bits; few words are so frequent that this takes much room
+    often = max(8, n >> 6)
+    bits = {w: sum(1 << r for r in at) for w, at in rows.items() if len(at) > often}
+    mask, top = (1 << (2 * most + 1)) - 1, 1 << (2 * most)
+    up, down, score = ((1 << (most + 1)) - 1) << most, 0, min(most, n)
+    for j, word in enumerate(b.tolist(), 1):
+        if word in bits:
+            same = (bits[word] >> j) & mask
+        else:
+            same = 0
+            for r in rows.get(word, ()):
+                if 0 <= r - j <= 2 * most:
+                    same |= 1 << (r - j)
+        diagonal = (((((same & up) + up) ^ up) & mask) | same | down)
+        right = down | ((diagonal | up) ^ mask)
+        left = diagonal & up
+        if j + most <= n:  # along the lower edge of the band
+            score += not diagonal & top
+        else:  # along the last row
+            at = n - j + most
+            score += ((right >> at) & 1) - ((left >> at) & 1)
+        if score > most + (m - max(j, n - most)):
             return None
-    ends: dict[int, list[int]] = {}
-
-    def slide(k: int, i: int) -> int:
-        """From a[i], b[i + k]: where the diagonal first differs."""
-        if k not in ends:
-            lo, hi = max(0, -k), min(n, m - k)
-            ends[k] = (np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo).tolist() + [hi]
-        return ends[k][bisect_left(ends[k], i)]
-
-    reach = {0: slide(0, 0)}
-    for e in range(most + 1):
-        if reach.get(m - n, -1) >= n:
-            return e
-        new = {}
-        for k in range(-e - 1, e + 2):
-            if not -n <= k <= m:
-                continue
-            at = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            if at < max(0, -k):
-                continue
-            at = min(at, n, m - k)
-            new[k] = slide(k, at) if at < min(n, m - k) else at
-        reach = new
-    return None
+        diagonal >>= 1
+        up, down = left | ((diagonal | right) ^ mask), diagonal & right
+    return score if score <= most else None
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
@@ -359,22 +375,26 @@ def _cross(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own == lo), np.flatnonzero(own == hi)
 
 
+def _open(label: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across components whose lengths allow a link, in tiles."""
+    share = (1 - least) / (1 + least)
+    for k in range(0, len(x), step := max(1, TILE // max(1, len(y)))):
+        part = x[k : k + step]
+        p, q = size[part][:, None], size[y][None, :]
+        i, j = np.nonzero((label[part][:, None] != label[y][None, :]) & (np.abs(p - q) <= np.maximum(p, q) * share + 1e-9))
+        for at in range(0, len(i), 1 << 14):
+            yield part[i[at : at + (1 << 14)]], y[j[at : at + (1 << 14)]]
+
+
 def meet(block: pa.Table, least: float) -> pa.Table:
     """The texts of two blocks (or one) that may align with one across components, by lengths and counts of words."""
     ids, label, size = (block[c].to_numpy() for c in ("id", "label", "_n"))
     keys, counts = _shared(block), np.frombuffer(b"".join(block["_counts"].to_pylist()), "<u2").reshape(-1, COUNTS)
-    x, y = _cross(block)
-    longest = np.maximum(size[x][:, None], size[y][None, :])
-    edits = longest * ((1 - least) / (1 + least)) + 1e-9
-    may = (label[x][:, None] != label[y][None, :]) & (np.abs(size[x][:, None] - size[y][None, :]) <= edits)
-    i, j = np.nonzero(may)
-    edits, longest, i, j = edits[i, j], longest[i, j], x[i], y[j]
     found, key = np.zeros(len(ids), dtype=bool), block["key"][0].as_py()
-    for k in range(0, len(i), 1 << 14):
-        part = slice(k, k + (1 << 14))
-        a, b = i[part], j[part]
+    for a, b in _open(label, size, *_cross(block), least):
+        longest = np.maximum(size[a], size[b])
         both = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64)
-        ok = (longest[part] - both <= edits[part]) | (longest[part] > MOST_COUNTED)
+        ok = (longest - both <= longest * ((1 - least) / (1 + least)) + 1e-9) | (longest > MOST_COUNTED)
         a, b = a[ok], b[ok]
         same = (keys[a] == keys[b]) & (keys[a] != 0)
         first = keys[a, same.argmax(axis=1)] == key
@@ -387,14 +407,9 @@ def align(block: pa.Table, least: float) -> pa.Table:
     """Links between components of two blocks (or one): the likeliest pairs first, and none that earlier links have joined."""
     ids, label, keys = block["id"].to_numpy(), block["label"].to_numpy(), _shared(block)
     h = [np.frombuffer(w.as_buffer(), dtype="<u4") for w in block["_words"].combine_chunks()] if len(ids) else []
-    size = np.array([len(w) for w in h])
-    x, y = _cross(block)
-    edits = np.maximum(size[x][:, None], size[y][None, :]) * ((1 - least) / (1 + least)) + 1e-9
-    i, j = np.nonzero((label[x][:, None] != label[y][None, :]) & (np.abs(size[x][:, None] - size[y][None, :]) <= edits))
-    i, j, key = x[i], y[j], block["key"][0].as_py()
+    size, key = np.array([len(w) for w in h]), block["key"][0].as_py()
     asked = []
-    for k in range(0, len(i), 1 << 14):
-        a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+    for a, b in _open(label, size, *_cross(block), least):
         same = (keys[a] == keys[b]) & (keys[a] != 0)
         ok = keys[a, same.argmax(axis=1)] == key
         asked.append(np.stack([a[ok], b[ok], same[ok].sum(axis=1)]))
@@ -424,11 +439,13 @@ def _rest(large: DataFrame, rows: DataFrame, labels: DataFrame, least: float) ->
     dealt = dealt.select("key", "id", "label", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label")
     kind = "key long, lo long, hi long, own long, id long, label long"
-    asked = dealt.join(facts, "id").groupBy("key", "lo", "hi").applyInArrow(lambda block: meet(block, least), kind)
-    asked = cut(asked, "may")
+    # blocks are work however few their bytes, so they spread over as many tasks as the session has shuffle partitions
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(n, "key", "lo", "hi").groupBy("key", "lo", "hi")
+    asked = cut(spread(dealt.join(facts, "id")).applyInArrow(lambda block: meet(block, least), kind), "may")
     held = rows.join(_few(cut(asked.select(F.col("id").alias("_row")).distinct(), "ids")), "_row", "left_semi")
     met = asked.join(held.select(F.col("_row").alias("id"), "_keys", "_words"), "id")
-    return met.groupBy("key", "lo", "hi").applyInArrow(lambda block: align(block, least), LINKS)
+    return spread(met).applyInArrow(lambda block: align(block, least), LINKS)
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
