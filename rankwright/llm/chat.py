@@ -1,17 +1,20 @@
 """Chat formatting in budgeted, turn-aligned windows.
 
 Turns get token counts; prefix sums of them along each conversation say where
-a turn starts, and ``start // budget`` is its window, so every turn lies whole
-in exactly one. A window opens with the conversation's system turn and, up to
-``history`` tokens, the turns before it; both are repeats. Assistant turns are
-the targets: their text is under the loss mask in their own window and masked
-where it is repeated.
+a turn starts and ends. Cells of ``budget`` tokens cut that line: the turns
+that lie inside a cell are one window, and a turn that crosses a cell's end is
+a window of its own, so own turns never go beyond the budget unless a single
+turn does. Before its own turns a window holds the conversation's system turn,
+always and whole, and the history: the turns just before, as many as fit
+``history`` tokens in a row; a turn that does not fit ends it. Both are
+repeats. Assistant turns are the targets: their text is under the loss mask in
+their own window and masked where it is repeated.
 
 The prefix sums are two-pass: conversations are dealt out by ranges of
 (conv_id, turn), summed inside each range, and the ranges' totals, a row for
 each conversation that crosses a range border, are carried over. So one
 conversation of any length spreads over many tasks, and a window gathers a
-bounded group: a budget, a history, a system turn and the last turn's overrun.
+bounded group: a budget or one turn, a history and a system turn.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings
 inside roles and texts are broken up by an escape character and come back
@@ -103,21 +106,27 @@ def _placed(turns: DataFrame, vocabulary: str) -> DataFrame:
 
 def format_chat(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Windows: conv_id, window, formatted text, repeats (leading repeated turns) and loss spans [start, end) in code points."""
-    placed = cut(_placed(turns, vocabulary), "placed").withColumn("window", F.floor(F.col("_start") / budget))
-    turn = F.struct("_nth", "role", "text", F.lit(False).alias("again")).alias("_turn")
-    own = placed.select("conv_id", "window", turn)
-    again = F.struct("_nth", "role", "text", F.lit(True).alias("again")).alias("_turn")
+    placed = _placed(turns, vocabulary)
+    cell = F.floor(F.col("_start") / budget)
+    crosses = F.col("_start") + F.col("_tokens") > (cell + 1) * budget
+    placed = cut(placed.withColumn("window", 2 * cell + crosses.cast("long")), "placed")
+    turn = lambda again: F.struct("_nth", "role", "text", F.lit(again).alias("again")).alias("_turn")
+    own = placed.select("conv_id", "window", turn(False))
     system = (F.col("_nth") == 0) & (F.col("role") == "system")
-    late = placed.where((F.col("_start") >= (F.col("window") + 1) * budget - history) & ~system)
-    before = late.select("conv_id", (F.col("window") + 1).alias("window"), again)
-    windows = placed.select("conv_id", "window").distinct().where("window > 0")
+    windows = placed.groupBy("conv_id", "window").agg(F.min("_start").alias("_first"))
+    # a turn meets the windows that begin in the cells it may be history for: at most two begin in one cell
+    near = windows.select(F.col("conv_id").alias("_id"), "window", "_first", F.floor(F.col("_first") / budget).alias("_cell"))
+    late = placed.where(~system & (F.col("_tokens") <= history)).drop("window")
+    late = late.withColumn("_cell", F.explode(F.sequence(cell, F.floor((F.col("_start") + history) / budget))))
+    late = late.join(near, F.col("conv_id").eqNullSafe(F.col("_id")) & (late["_cell"] == near["_cell"]))
+    late = late.where((F.col("_start") < F.col("_first")) & (F.col("_first") <= F.col("_start") + history))
+    before = late.select("conv_id", "window", turn(True))
     share = F.floor(F.col("window") / SYSTEM_SHARE)
     reach = windows.groupBy("conv_id").agg(F.max("window").alias("_last"))
-    heads = placed.where(system).select("conv_id", again).join(reach.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")))
-    heads = heads.select(F.col("conv_id").alias("_id"), "_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / SYSTEM_SHARE))).alias("_share"))
-    heads = windows.join(heads, F.col("conv_id").eqNullSafe(F.col("_id")) & (share == F.col("_share"))).select("conv_id", "window", "_turn")
+    heads = placed.where(system).select("conv_id", turn(True), F.col("window").alias("_own")).join(reach.withColumnRenamed("conv_id", "_id"), F.col("conv_id").eqNullSafe(F.col("_id")))
+    heads = heads.select(F.col("conv_id").alias("_id"), "_turn", "_own", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / SYSTEM_SHARE))).alias("_share"))
+    heads = windows.join(heads, F.col("conv_id").eqNullSafe(F.col("_id")) & (share == F.col("_share"))).where("window > _own").select("conv_id", "window", "_turn")
     groups = own.unionByName(before).unionByName(heads).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("_turn")).alias("_turns"))
-    groups = groups.where(F.exists("_turns", lambda t: ~t["again"]))
 
     @F.pandas_udf("formatted string, repeats int, loss array<struct<start:long,end:long>>")
     def rendered(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
