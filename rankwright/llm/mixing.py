@@ -2,15 +2,18 @@
 
 Every document gets a rate: how often its words are to be taken. Rates start
 from one, stay as close to it as relative entropy (weighted by words) allows,
-and meet one token constraint a source: ``sum(size * rate) = target``. The
-convex dual has one multiplier a source, ``rate = exp(lambda)``; its Hessian
-is diagonal, so Newton's iterations run side by side on the table of sources,
-whose token sums are aggregated from all documents. Rates are then rounded
-into whole copies: everyone gets ``floor(rate)``, and the documents that come
-first in the order of a hash of doc_id get one more until the source's
-remaining words are spent, to within half a document. The point where that
-ends is found by prefix sums over hash ranges and, inside the one range that
-holds it, over documents; no task ever gets a whole source.
+and meet the token constraints of all sources together: for each source
+``sum(size * rate) = target``. The convex dual has one multiplier a source and
+the document's rate is ``exp(lambda)``. Newton's method solves it: in every
+iteration all documents are tilted by the multipliers so far and their tilted
+tokens summed by source, which is gradient and Hessian (a document counts for
+one source, so the Hessian is diagonal); it ends with the step
+after every constraint is met to TOLERANCE. Rates are then rounded into whole copies: everyone gets
+``floor(rate)``, and the documents that come first in the order of a hash of
+doc_id get one more until the source's remaining words are spent, to within
+half a document. The point where that ends is found by prefix sums over hash
+ranges and, inside the one range that holds it, over documents; no task ever
+gets a whole source.
 
 Cases: a null text has size 0; a null source is a source of its own, sorted
 last; rows that share a doc_id share one decision; sources without words get
@@ -24,12 +27,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import cut, table, whole_text
+from rankwright.llm.common import attach_groups, cut, table, whole_text
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-NEWTON_STEPS = 100
+#: Relative error at which a constraint counts as met, and steps after which the search gives up.
+TOLERANCE = 1e-9
+NEWTON_STEPS = 200
 #: Hash order: 52 bits of SHA-256 of the doc_id.
 HASH_BITS = 52
 #: Source tables up to so many rows are broadcast, larger ones join by shuffle.
@@ -69,26 +74,44 @@ def targets(sources: DataFrame) -> DataFrame:
     ).drop("_w", "_cap", "_full")
 
 
-def tilt(sources: DataFrame) -> DataFrame:
-    """Add ``lambda`` and ``rate``: Newton on the dual, started from no tilt.
+def tilt(slim: DataFrame, sources: DataFrame, bounded: bool, total: int) -> DataFrame:
+    """Add ``lambda`` and ``rate`` to ``sources``: Newton on the dual over the documents ``slim``, started from no tilt.
 
-    Gradient ``S exp(lambda) - T``, Hessian ``S exp(lambda)``.
+    With the tilted tokens ``m = sum(size * exp(lambda))`` of a source the
+    gradient is ``m - target`` and the Hessian ``m``. Sources without words or
+    target have no constraint and rate 0.
     """
-    step = lambda at, _: at - F.lit(1.0) + F.col("target") / (F.col("source_size") * F.exp(at))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
     open_ = (F.col("source_size") > 0) & (F.col("target") > 0)
-    return sources.withColumn("lambda", F.when(open_, solved)).withColumn(
-        "rate", F.coalesce(F.exp("lambda"), F.lit(0.0))
-    )
-
-
-def _meet(rows: DataFrame, sources: DataFrame, columns: list[str], bounded: bool) -> DataFrame:
-    part = sources.select(F.col("source").alias("_s"), *columns)
-    return rows.join(F.broadcast(part) if bounded else part, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-
-
-def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Sizes of all documents; one row a source with target, rate and the rounding rule.
+    state = cut(sources.withColumn("lambda", F.when(open_, F.lit(0.0))), "dual")
+    for _ in range(NEWTON_STEPS):
+        now = state.where("lambda IS NOT NULL").select("source", "lambda", "_rows")
+        rows = _meet(slim.select("source", "size"), now, ["lambda"], bounded, total)
+        sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.exp("lambda")).alias("_m")).withColumnRenamed("source", "_s")
+        step = state.join(F.broadcast(sums) if bounded else sums, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        step = step.withColumn("_off", F.abs(F.col("_m") / F.col("target") - 1)).withColumn("lambda", F.col("lambda") - 1 + F.col("target") / F.col("_m"))
+        state = cut(step.drop("_m"), "dual")
+        worst = state.agg(F.max("_off")).first()[0]
+        state = state.drop("_off")
+        if worst is None or worst <= TOLERANCE:
+            break
+    else:
+        raise ArithmeticError(f"constraints are off by {worst} after {NEWTON_STEPS} steps")
+    # the order in which tasks' sums meet shows in the last digits alone: reruns agree
+    return state.withColumn("lambda", F.round("lambda", 12)).withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
+
+
+def _meet(rows: DataFrame, sources: DataFrame, columns: list[str], bounded: bool, total: int) -> DataFrame:
+    """Rows with columns of their source: by broadcast, or, if sources are many, the large ones by broadcast and the rest by shuffle."""
+    if bounded:
+        part = F.broadcast(sources.select(F.col("source").alias("_s"), *columns))
+        return rows.join(part, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    key = F.struct(F.col("source"))
+    part = sources.select(key.alias("_s"), "_rows", *columns)
+    return attach_groups(rows.withColumn("_s", key), part, "_s", "_rows", total).drop("_s", "_rows")
+
+
+def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool, int]:
+    """Sizes of all documents; one row a source with target, rate and the rounding rule; whether sources are few; rows in all.
 
     A document gets ``_base`` copies, and one more if its draw is at most ``_cutoff``.
     """
@@ -96,19 +119,19 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         docs.select("doc_id", "source", words(whole_text()).alias("size"), draw().alias("_u")), "sizes"
     )
     total = slim.count()
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    src = tilt(targets(sums))
+    sums = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), "sums")
+    bounded = sums.count() <= BROADCAST_SOURCES
+    src = tilt(slim, targets(sums), bounded, total)
     src = src.withColumn("_base", F.floor(F.col("rate") + 1e-9).cast("long")).withColumn(
         "_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_base") * F.col("source_size"))
     )
     src = cut(src, "sources")
-    bounded = src.count() <= BROADCAST_SOURCES
     bits = HASH_BITS - min(24, max(8, math.ceil(math.log2(total / 4096 + 1))))
     ranged = slim.withColumn("_r", F.shiftright("_u", bits))
     sums = ranged.groupBy("source", "_r").agg(F.sum("size").alias("_sum"))
     upto = Window.partitionBy("source").orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
-    edge = _meet(sums, src, ["_rest"], bounded).where(
+    edge = _meet(sums, src, ["_rest"], bounded, total).where(
         (F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_sum"))
     )
     edge = edge.select(F.col("source").alias("_s"), F.col("_r").alias("_er"), "_before", "_rest")
@@ -128,7 +151,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     )
     ends = ends.withColumnRenamed("source", "_s2")
     src = src.join(ends, F.col("source").eqNullSafe(F.col("_s2")), "left").drop("_s2")
-    return slim, cut(src.withColumn("_cutoff", F.coalesce("_cutoff", F.lit(-1).cast("long"))), "rule"), bounded
+    return slim, cut(src.withColumn("_cutoff", F.coalesce("_cutoff", F.lit(-1).cast("long"))), "rule"), bounded, total
 
 
 def copies() -> Column:
@@ -137,8 +160,8 @@ def copies() -> Column:
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, rate and copies of every document."""
-    slim, src, bounded = plan(docs)
-    rows = _meet(slim, src, ["source_size", "target", "rate", "_base", "_cutoff"], bounded)
+    slim, src, bounded, total = plan(docs)
+    rows = _meet(slim, src, ["source_size", "target", "rate", "_base", "_cutoff"], bounded, total)
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", "rate", copies().alias("copies"),
         (F.col("size") * copies()).alias("taken"),
@@ -147,9 +170,9 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix: each row of ``docs`` as often as it is taken, columns as they were."""
-    _, src, bounded = plan(docs)
+    _, src, bounded, total = plan(docs)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "source", draw().alias("_u"))
-    rows = _meet(rows, src, ["_base", "_cutoff"], bounded).where(copies() > 0)
+    rows = _meet(rows, src, ["_base", "_cutoff"], bounded, total).where(copies() > 0)
     return rows.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), copies()))).select("_doc.*")
 
 
