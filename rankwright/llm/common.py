@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankwright.session import cut, scratch, shared_folder, ship, table
 
-__all__ = ["cut", "scratch", "shared_folder", "table", "fold_ascii", "whole_text", "attach_groups", "small_batches"]
+__all__ = ["cut", "scratch", "shared_folder", "table", "fold_ascii", "whole_text", "attach_groups", "matches", "small_batches"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Groups with more than one in so many of all rows are hot: there are at most so many of them.
@@ -41,6 +43,31 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     )
 
 
+#: Matches gathered before they are set aside, so that a text with n of them costs about 128 n copies and not n * n / 2.
+_CHUNK = 256
+
+
+def matches(text: Column, pattern: Column, item: Callable[[Column, Column, Column], Column], kind: str) -> Column:
+    """All matches of a regex as an array of ``item(start, end, value)``: the gaps between matches and the matches, summed up."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+    none, lists = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        full = F.size(acc["now"]) >= _CHUNK
+        now = F.when(full, none).otherwise(acc["now"])
+        found = F.array(item(start, end, x["hit"])).cast(f"array<{kind}>")
+        return F.struct(
+            F.coalesce(end, acc["at"]).alias("at"),
+            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.when(x["hit"].isNull(), now).otherwise(F.concat(now, found)).alias("now"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), lists.alias("done"), none.alias("now"))
+    return F.aggregate(pairs, start, step, lambda a: F.concat(F.flatten(a["done"]), a["now"]))
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Prepare for Python workers: ship the package, bound what a worker holds at once (texts can be long)."""
     ship(spark)

@@ -2,9 +2,10 @@
 
 A cheap look for gate words sends most documents past the scanner. The rest
 are reduced to lower-case words; each rule of which a keyword occurs is matched and
-gives intervals. Detections are sorted by start, longer and then
-higher-priority ones first, and one whose interval lies inside an earlier one
-is suppressed. Everything happens in the document's own row: no shuffle.
+gives intervals. Detections are passed in the order of start, longer ones
+first: one whose interval lies inside that of the one that stands is
+suppressed, and of two that overlap in part the one of better priority stands.
+Everything happens in the document's own row: no shuffle.
 
 Rules: four kinds (SPDX tag, address, grant sentence, bare name) for each
 license of LICENSES, and hand-written sentences of license texts.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import fold_ascii, table, whole_text
+from rankwright.llm.common import fold_ascii, matches, table, whole_text
 
 #: label, keywords (one of them begins a word of every match), name (a regex over words), SPDX id as words, address as words
 LICENSES = [
@@ -125,6 +126,7 @@ GATES = (
 #: Gate words too short to be looked for inside others.
 WORD_GATES = ["mpl", "ofl", "ncsa"]
 
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BASE = " (?:" + "|".join(p for _, p in BASE) + ") (?=license )"
@@ -148,41 +150,50 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-_FOUND = "array<struct<s:int,e:int,p:int,label:string,weight:double>>"
-
-
 def _detect(words: Column, rule: Column) -> Column:
-    """All intervals of one rule: what lies between matches and the matches themselves, summed up."""
-    pairs = F.arrays_zip(
-        F.split(words, rule["regex"], -1).alias("gap"), F.regexp_extract_all(words, rule["regex"], F.lit(0)).alias("hit")
-    )
+    """All intervals of one rule."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        found = F.struct(start.alias("s"), (-end).alias("e"), rule["priority"].alias("p"), rule["label"].alias("label"), rule["weight"].alias("weight"))
-        return F.struct(
-            F.coalesce(end, acc["at"]).alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).cast(_FOUND).alias("out"),
-        )
+    def item(start: Column, end: Column, _: Column) -> Column:
+        return F.struct(start.alias("s"), (-end).alias("e"), rule["priority"].alias("p"), rule["label"].alias("label"), rule["weight"].alias("weight"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return matches(words, rule["regex"], item, "struct<s:int,e:int,p:int,label:string,weight:double>")
 
 
 def _resolve(found: Column) -> Column:
-    """Suppress contained intervals; the labels and the best weight of what stays."""
+    """The labels and the best weight of the detections that stand.
+
+    Detections are passed in the order of start, longer ones first. One that
+    lies inside the one that stands is suppressed; of two that overlap in part
+    the one of better priority stands, the earlier on ties.
+    """
+    none = F.array().cast("array<string>")
+
+    def close(acc: Column) -> tuple[Column, Column]:
+        shut = acc["end"] < 0
+        labels = F.when(shut, acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(acc["label"])))
+        return labels, F.greatest(acc["score"], acc["weight"])
 
     def step(acc: Column, d: Column) -> Column:
+        apart, wins = d["s"] >= acc["end"], d["p"] < acc["p"]
         inside = -d["e"] <= acc["end"]
+        new = apart | (wins & ~inside)
+        labels, score = close(acc)
+        pick = lambda a, b: F.when(new, a).otherwise(b)
         return F.struct(
-            F.greatest(acc["end"], -d["e"]).alias("end"),
-            F.when(inside, acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(d["label"]))).alias("labels"),
-            F.when(inside, acc["score"]).otherwise(F.greatest(acc["score"], d["weight"])).alias("score"),
+            pick(-d["e"], acc["end"]).alias("end"), pick(d["p"], acc["p"]).alias("p"), pick(d["label"], acc["label"]).alias("label"),
+            pick(d["weight"], acc["weight"]).alias("weight"), F.when(apart, labels).otherwise(acc["labels"]).alias("labels"),
+            F.when(apart, score).otherwise(acc["score"]).alias("score"),
         )
 
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-    return F.aggregate(F.array_sort(found), start, step)
+    start = F.struct(
+        F.lit(-1).alias("end"), F.lit(99).alias("p"), F.lit("").alias("label"), F.lit(0.0).alias("weight"), none.alias("labels"), F.lit(0.0).alias("score")
+    )
+
+    def end(acc: Column) -> Column:
+        labels, score = close(acc)
+        return F.struct(labels.alias("labels"), score.alias("score"))
+
+    return F.aggregate(F.array_sort(found), start, step, end)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -198,15 +209,15 @@ def scan(docs: DataFrame) -> DataFrame:
         F.struct(F.lit(a).alias("label"), F.array(*[F.lit(f" {k}") for k in b.split("|")]).alias("keywords"), F.lit(c).alias("regex"), F.lit(d).alias("priority"), F.lit(e).alias("weight"))
         for a, b, c, d, e in rules()
     ])
-    keep = [docs[c] for c in docs.columns if c not in {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}]
+    keep = [docs[c] for c in docs.columns if c not in RESULTS]
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(fold_ascii(text), _BREAKS, " ")), F.lit(" "))
-    rows = docs.select(*keep, F.regexp_count(text, F.lit(_RAW_WORD)).cast("long").alias("n_words"), F.when(gate, words).alias("_w"))
+    rows = docs.select(F.struct(*keep).alias("_doc"), F.regexp_count(text, F.lit(_RAW_WORD)).cast("long").alias("n_words"), F.when(gate, words).alias("_w"))
     rows = rows.withColumn("_gaps", F.split("_w", _BASE, -1)).withColumn("_hits", F.regexp_extract_all("_w", F.lit(_BASE), F.lit(0)))
     n = F.coalesce(F.size("_hits"), F.lit(0))
     any_base = F.col("_w").isNotNull() & (n > 0)
     label_of = F.create_map(*[F.lit(x) for label, phrase in BASE for x in (f" {phrase} ", label)])
     rows = rows.select(
-        *[F.col(c.name if hasattr(c, "name") else c) for c in rows.columns[: len(keep)]],
+        "_doc",
         "n_words",
         F.when(any_base, n).otherwise(0).cast("long").alias("n_base"),
         F.when(any_base, _spaces(F.get("_gaps", F.lit(0)))).cast("long").alias("first_word"),
@@ -223,7 +234,7 @@ def scan(docs: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.array_sort(c), ",")
     none = F.array().cast("array<string>")
     return rows.select(
-        *rows.columns[: len(keep)], "n_words", "n_base", "first_word", "last_word",
+        "_doc.*", "n_words", "n_base", "first_word", "last_word",
         joined(F.col("_base")).alias("base_labels"),
         joined(F.array_union(F.col("_base"), F.coalesce(F.col("_out.labels"), none))).alias("labels"),
         F.greatest(F.coalesce(F.col("_out.score"), F.lit(0.0)), F.when(F.col("n_base") > 0, 0.7).otherwise(0.0)).alias("score"),

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import cut, table, whole_text
+from rankwright.llm.common import cut, matches, table, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The four patterns with possessive loops, which cannot back up and need no deep stack. A start inside a run of the
@@ -45,20 +45,9 @@ _WORD = r"\p{L}++"
 
 
 def intervals(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value): the gaps between matches and the matches, summed up."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(
-            F.coalesce(end, acc["at"]).alias("at"),
-            F.when(x["hit"].isNull(), acc["out"]).otherwise(
-                F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["hit"].alias("v"))))
-            ).cast(_SPAN).alias("out"),
-        )
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda a: a["out"])
+    """All matches as (start, end, value)."""
+    item = lambda s, e, v: F.struct(s.alias("s"), e.alias("e"), v.alias("v"))
+    return matches(text, F.lit(pattern), item, "struct<s:int,e:int,v:string>")
 
 
 def _digits(v: Column) -> Column:
@@ -133,9 +122,9 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Add to each row of ``docs`` (without its text): ``_email`` ... ``_phone`` and ``_term`` (s, e, v = action)."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    rows = base_spans(docs.select(*others, whole_text().alias("_text")), "_text")
+    """Each row of ``docs`` (without its text) with ``_email`` ... ``_phone`` and ``_term`` (s, e, v = action); columns of these names are replaced."""
+    others = [docs[c] for c in docs.columns if c not in {"text", "_term", *(f"_{k}" for k in KINDS)}]
+    rows = base_spans(docs.select(F.struct(*others).alias("_doc"), whole_text().alias("_text")), "_text")
     any_ = sum((F.size(f"_{k}") for k in KINDS), F.lit(0)) > 0
     spans = [f"_{k}" for k in KINDS]
     rows = rows.withColumn("_ctx", F.when(any_, F.array_distinct(_contexts(F.col("_text"))))).withColumn("_key", F.sha2("_text", 256))
@@ -154,7 +143,10 @@ def find(docs: DataFrame) -> DataFrame:
     asked = cut(pairs.where("_lo < _hi AND _from < _to").select("entity", "word", "near"), "asked")
     wanted = asked.select("word").distinct()
     words = docs.select(F.explode(F.array_distinct(_words(whole_text()))).alias("word"))
-    totals = words.join(_bounded(wanted), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # words are counted on the task that reads them, and only the wanted ones if those can be told there
+    words = words.join(F.broadcast(wanted), "word", "left_semi") if few else words
+    totals = words.groupBy("word").agg(F.count(F.lit(1)).alias("total"))
     size = rows.count()
     given = F.least(F.lit(1.0), F.col("near") / F.col("total"))
     content = F.greatest(F.lit(1e-9), -F.ln(F.least(F.lit(1.0), F.col("around") / F.lit(max(1.0, float(size))))))
@@ -176,7 +168,7 @@ def find(docs: DataFrame) -> DataFrame:
     rows = rows.join(_bounded(cut(terms, "terms")), "_key", "left")
     taken = F.concat(*spans)
     clear = F.filter(F.coalesce("_found", F.array().cast(_SPAN)), lambda t: ~F.exists(taken, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return rows.withColumn("_term", clear).drop("_found", "_ctx", "_key", "_bag", "_row")
+    return rows.select("_doc.*", *spans, clear.alias("_term"))
 
 
 def _listed(kinds: list[str]) -> Column:
