@@ -14,7 +14,8 @@ Cases: null is empty; an empty text has the fingerprint ``-`` and is like
 another empty text alone; a text of fewer than K words is one k-mer; rows that
 repeat a doc_id are ordered by the hash of their text, null ids first, and
 equal rows count as one document with as many result rows; one document is its
-own next; an empty table gives an empty result.
+own next; k-mers beyond the 2**24th of a text all count as standing there; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def add_kmers(rows: DataFrame, text: Column) -> DataFrame:
     at = F.when(F.col("_words").isNotNull(), F.sequence(F.lit(0), F.greatest(F.size("_words") - K, F.lit(0))))
     rows = rows.withColumn("_h", F.transform(at, lambda i: F.xxhash64(*[F.get("_words", i + j) for j in range(K)])))
     mask = F.lit(-(1 << POSITION_BITS))
-    rows = rows.withColumn("_p", F.transform("_h", lambda h, i: h.bitwiseAND(mask).bitwiseOR(i.cast("long")))).drop("_words")
+    rows = rows.withColumn("_p", F.transform("_h", lambda h, i: h.bitwiseAND(mask).bitwiseOR(F.least(i, F.lit((1 << POSITION_BITS) - 1)).cast("long")))).drop("_words")
     # only where k-mers repeat: sort by hash and position, number each run
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     rows = rows.withColumn("_s", F.when(repeats, F.sort_array("_p"))).drop("_h")
@@ -152,6 +153,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda c: F.floor(c / 2).cast("int")
     links = order.select("_k", "_pk", "_pn")
     heads = texts.join(links, "_k").select(F.col("_pk").alias("_k"), F.substring(F.col("_text"), F.lit(1), half(F.col("_pn"))).alias("_head"))
+    heads = heads.groupBy("_k").agg(F.first("_head").alias("_head"))  # rows that repeat give one head
     n = F.length("_text")
     edited = texts.join(heads, "_k").select("_k", F.concat(F.substring(F.col("_text"), F.lit(1), n - half(n)), F.col("_head")).alias("_edited"))
     # grouped by the key it was joined on: no further shuffle

@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=["lang_pred", "score"])
 
     keep = [docs[c] for c in docs.columns if c not in {"lang_pred", "score"}]
-    return docs.select(*keep, predicted("text").alias("_p")).select("*", "_p.*").drop("_p")
+    return docs.select(F.struct(*keep).alias("_doc"), predicted("text").alias("_p")).select("_doc.*", "_p.*")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
