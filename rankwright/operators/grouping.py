@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,3 +50,34 @@ def weighted_recombination(df: DataFrame, mean: str, count: str) -> DataFrame:
 
 def per_bucket_limit(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+
+
+def ordered_digest(df: DataFrame, key: str, id_: str, text: str, out: str = "fingerprint") -> DataFrame:
+    """SHA-256 over (id, length in bytes, bytes), each closed by NUL, of a key's rows in the order of their ids.
+
+    A digest in order is one stream, so a key's rows pass through one task;
+    they are read off a sorted partition and never held together. Null ids and
+    texts are empty.
+    """
+    kind = dict(df.dtypes)[key]
+    name = F.coalesce(F.col(id_).cast("string"), F.lit("")).alias("_id")
+    rows = df.select(F.col(key).alias("_key"), F.col(id_).alias("_ord"), name, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = rows.repartition("_key").sortWithinPartitions("_key", F.col("_ord").asc_nulls_first(), "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(value, digest) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([value], batch.schema.field(0).type), pa.array([digest.hexdigest()])], names=[key, out])
+
+        now, digest = None, None
+        for batch in batches:
+            for value, id_value, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if digest is None or value != now:
+                    if digest is not None:
+                        yield row(now, digest)
+                    now, digest = value, hashlib.sha256()
+                data = body.encode("utf-8", "replace")
+                digest.update(b"%b\0%d\0%b\0" % (id_value.encode("utf-8", "replace"), len(data), data))
+        if digest is not None:
+            yield row(now, digest)
+
+    return rows.select("_key", "_id", "_text").mapInArrow(run, f"`{key}` {kind}, {out} string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankwright.session import cut
+
 #: Scores are compared at so many decimals, so that every engine orders near-ties alike.
 SCORE_DIGITS = 9
 
@@ -102,3 +104,17 @@ def hash_order(df: DataFrame, by: list[str], parts: list[str], out: str = "rn")
 def rank_delta(df: DataFrame, by: str, run: str, rn: str) -> DataFrame:
     """Previous run's rank less this one's: positive is better."""
     return df.withColumn("delta", F.lag(rn).over(Window.partitionBy(by).orderBy(run)) - F.col(rn))
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Row numbers from 1 in a total order over all rows, without sorting them in one task.
+
+    Rows are range-partitioned and written; each range is numbered by itself
+    and the ranges' sizes, one row each, are summed up before it.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn(out, nth).join(F.broadcast(sizes), "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")

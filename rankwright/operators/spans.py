@@ -64,21 +64,104 @@ def nearest_symbol(rows: DataFrame, by: list[str], line: str, symbol: str, back:
     return rows.withColumn("nearest", F.last(symbol, ignorenulls=True).over(w))
 
 
+#: Lines of a bin; a span lies in one bin for every so many of its lines.
+BIN = 64
+
+
+def _bounds(s: Column, e: Column, dialect: str) -> tuple[Column, Column, Column]:
+    """Lower and upper bound of a span as the dialect reads it, null where it meets nothing; and whether it meets everything."""
+    no = F.lit(False)
+    if dialect == "zero":
+        return F.coalesce(s, F.lit(0)), F.coalesce(e, F.lit(0)), no
+    if dialect == "strict":
+        known = s.isNotNull() & e.isNotNull()
+        return F.when(known, s), F.when(known, e), no
+    if dialect == "wildcard":
+        s = F.coalesce(s, F.lit(0))
+        return s, F.when(F.coalesce(e, F.lit(0)) <= 0, s).otherwise(e), s <= 0
+    if dialect == "repair":
+        known = (s > 0) & (e > 0)
+        return F.when(known, F.least(s, e)), F.when(known, F.greatest(s, e)), no
+    raise ValueError(dialect)
+
+
+def _swept(cand: DataFrame, truth: DataFrame, file: list[str], dialect: str) -> DataFrame:
+    """Each distinct candidate span with the farthest end of truth that begins in time (_reach), the next beginning (_next), and flags.
+
+    Spans of a file are distinct first, so a file has as many rows as it has
+    different spans however often they repeat, and one sorted pass along the
+    file answers for all: no pairs.
+    """
+    c, t = cand.select(*file, "s", "e").distinct(), truth.select(*file, "ts", "te").distinct()
+    for f in file:
+        c, t = c.where(F.col(f).isNotNull()), t.where(F.col(f).isNotNull())
+    lo, hi, every = _bounds(F.col("s"), F.col("e"), dialect)
+    c = c.select(*file, "s", "e", lo.alias("_lo"), hi.alias("_hi"), every.alias("_all"), F.lit(1).alias("_kind"), hi.alias("_at"))
+    lo, hi, every = _bounds(F.col("ts"), F.col("te"), dialect)
+    t = t.select(*file, lo.alias("_lo"), hi.alias("_hi"), every.alias("_all"), F.lit(0).alias("_kind"), lo.alias("_at"))
+    t = t.where("_all OR _lo <= _hi")
+    line = c.unionByName(t, allowMissingColumns=True)
+    along, whole = Window.partitionBy(*file).orderBy("_at", "_kind"), Window.partitionBy(*file)
+    is_truth = (F.col("_kind") == 0) & (F.col("_lo") <= F.col("_hi"))
+    line = line.withColumn("_reach", F.max(F.when(is_truth, F.col("_hi"))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("_next", F.min(F.when(is_truth, F.col("_lo"))).over(along.rowsBetween(1, Window.unboundedFollowing)))
+    line = line.withColumn("_any", F.max(F.when(F.col("_kind") == 0, F.col("_all"))).over(whole))
+    line = line.withColumn("_met", F.coalesce((F.col("_lo") <= F.col("_hi")) & (F.col("_reach") >= F.col("_lo")), F.lit(False)))
+    return line.where("_kind = 1 AND _any IS NOT NULL")
+
+
+def _same(file: list[str], left: DataFrame) -> Column:
+    """The condition that joins candidates to spans renamed by ``_named``."""
+    on = F.lit(True)
+    for c in [*file, "s", "e"]:
+        on = on & left[c].eqNullSafe(F.col(f"_of_{c}"))
+    return on
+
+
+def _named(file: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"_of_{c}") for c in [*file, "s", "e"]]
+
+
 def overlap_join(cand: DataFrame, truth: DataFrame, file: list[str], dialect: str = "zero", how: str = "left_semi") -> DataFrame:
-    """Candidates (s, e) that meet a truth span (ts, te) of the same file: a hash join with a residual condition."""
-    on = overlaps(F.col("s"), F.col("e"), F.col("ts"), F.col("te"), dialect)
-    for c in file:
-        on = on & (cand[c] == truth[c])
-    return cand.join(truth, on, how)
+    """Candidates (s, e) that meet (``left_semi``) or don't meet (``left_anti``) a truth span (ts, te) of the same file."""
+    hits = _swept(cand, truth, file, dialect).where("_met OR _all OR _any").select(*_named(file))
+    return cand.join(hits, _same(file, cand), how)
+
+
+def closest_truth(cand: DataFrame, truth: DataFrame, file: list[str]) -> DataFrame:
+    """Candidates of files with truth, with ``exact`` (a span overlaps) and ``closest`` (lines to the nearest one, 0 if it overlaps)."""
+    near = _swept(cand, truth, file, "strict")
+    gap = F.when(F.col("_met"), 0).otherwise(F.least(F.col("_lo") - F.col("_reach"), F.col("_next") - F.col("_hi")))
+    near = near.select(*_named(file), F.col("_met").alias("exact"), gap.alias("closest"))
+    return cand.join(near, _same(file, cand)).drop(*[f"_of_{c}" for c in [*file, "s", "e"]])
+
+
+def span_pairs(cand: DataFrame, truth: DataFrame, file: str) -> DataFrame:
+    """Pairs of overlapping spans (s, e) and (ts, te) of a file: an equi-join on bins of lines, each pair taken in its first common bin."""
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BIN), F.floor(F.col(hi) / BIN)))
+    c = cand.where("s <= e").withColumn("_bin", bins("s", "e"))
+    t = truth.where("ts <= te").withColumn("_bin", bins("ts", "te"))
+    first = F.col("_bin") == F.greatest(F.floor(F.col("s") / BIN), F.floor(F.col("ts") / BIN))
+    return c.join(t, [file, "_bin"]).where(first & (F.greatest("s", "ts") <= F.least("e", "te"))).drop("_bin")
 
 
 def best_overlap(cand: DataFrame, funcs: DataFrame, file: str, key: str) -> DataFrame:
-    """Of the functions a span meets: largest overlap, nearest midpoint, smallest span, then first."""
-    j = cand.join(funcs.withColumnRenamed(file, "_f"), (F.col(file) == F.col("_f")) & (F.greatest("s", "ts") <= F.least("e", "te")))
+    """Of the functions a span meets: largest overlap, nearest midpoint, smallest span, then first. Decided once for each distinct span."""
+    funcs = funcs.groupBy(file, "ts", "te").agg(F.min("fid").alias("fid"))
+    j = span_pairs(cand.select(file, "s", "e").distinct(), funcs, file)
     common = F.least("e", "te") - F.greatest("s", "ts") + 1
     mid = F.abs(F.col("s") + F.col("e") - F.col("ts") - F.col("te"))
-    w = Window.partitionBy(key).orderBy(common.desc(), mid, F.col("te") - F.col("ts"), "fid")
-    return j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_f")
+    best = j.groupBy(file, "s", "e").agg(F.min(F.struct((-common).alias("c"), mid.alias("m"), (F.col("te") - F.col("ts")).alias("n"), "fid", "ts", "te")).alias("_b"))
+    return cand.join(best, [file, "s", "e"]).select(*[cand[c] for c in cand.columns], "_b.fid", "_b.ts", "_b.te")
+
+
+def start_or_overlap(cand: DataFrame, truth: DataFrame, file: str, value: str) -> DataFrame:
+    """Candidates with the least ``value`` of the truth spans that begin where they begin or overlap them: two equi-joins for the two ways."""
+    spans = cand.select(file, "s", "e").distinct()
+    truth = truth.groupBy(file, "ts", "te").agg(F.min(value).alias(value))
+    start = spans.join(truth.select(file, F.col("ts").alias("s"), value), [file, "s"]).select(file, "s", "e", value)
+    both = start.unionByName(span_pairs(spans, truth, file).select(file, "s", "e", value))
+    return cand.join(both.groupBy(file, "s", "e").agg(F.min(value).alias(value)), [file, "s", "e"])
 
 
 def suffixes(path: Column) -> Column:

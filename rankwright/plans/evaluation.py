@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankwright.operators import code
+from rankwright.operators import grouping as G
 from rankwright.operators import joins as J
+from rankwright.operators import ranking as R
+from rankwright.operators import spans as P
 from rankwright.plans.fixtures import fixture, sql
 from rankwright.session import table
 
@@ -67,11 +70,11 @@ def rank_free(spark, d):
     return _nested(spark, d).select("case_id", F.sha2(F.array_join(F.transform(plain, lambda x: x["anchor_id"]), ","), 256).alias("h"))
 
 
-@query("order_by_external_list", "SELECT c_custkey, row_number() OVER (ORDER BY o NULLS LAST, c_custkey) AS pos FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, min(o_orderkey) AS o FROM orders WHERE o_orderkey < 500 GROUP BY 1) USING (c_custkey)")
+@query("order_by_external_list", "SELECT c_custkey, row_number() OVER (ORDER BY o NULLS LAST, c_custkey) AS pos FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, min(o_orderkey) AS o FROM orders GROUP BY 1) USING (c_custkey)")
 def external_order(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 500").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o"))
-    w = Window.orderBy(F.asc_nulls_last("o"), "c_custkey")
-    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.row_number().over(w).alias("pos"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o"))
+    c = table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left")
+    return R.numbered(c, [F.asc_nulls_last("o"), F.col("c_custkey")], "pos").select("c_custkey", "pos")
 
 
 @query("exploded_item_counts", "SELECT item, count(*) AS n FROM (SELECT unnest([o_orderstatus, o_orderpriority]) AS item FROM orders) GROUP BY 1")
@@ -91,11 +94,10 @@ def grid(spark, d):
     return s.groupBy("track").agg(F.max("hits").alias("hits"), F.max_by("alpha", F.struct("hits", -F.col("alpha"))).alias("alpha"))
 
 
-@query("disjunctive_match_join", sql("anchors", "truth") + """ SELECT anchor_id, min(truth_id) AS truth_id FROM anchors JOIN truth ON file = tfile AND (s = ts OR (ts IS NOT NULL AND te IS NOT NULL AND greatest(s, ts) <= least(e, te))) WHERE disc < 0.02 GROUP BY anchor_id""")
+@query("disjunctive_match_join", sql("anchors", "truth") + """ SELECT anchor_id, min(truth_id) AS truth_id FROM anchors JOIN truth ON file = tfile AND (s = ts OR (ts IS NOT NULL AND te IS NOT NULL AND greatest(s, ts) <= least(e, te))) GROUP BY anchor_id""")
 def disjunctive(spark, d):
     b = fixture(spark, d, "truth").withColumnRenamed("tfile", "file")
-    hit = (F.col("s") == F.col("ts")) | (F.col("ts").isNotNull() & F.col("te").isNotNull() & (F.greatest("s", "ts") <= F.least("e", "te")))
-    return fixture(spark, d, "anchors").where("disc < 0.02").join(b, "file").where(hit).groupBy("anchor_id").agg(F.min("truth_id").alias("truth_id"))
+    return P.start_or_overlap(fixture(spark, d, "anchors"), b, "file", "truth_id").select("anchor_id", "truth_id")
 
 
 @query("labelled_table_lookup", _R + """, u AS (SELECT identity_key, 'left' AS label, left_rank AS r FROM ranks WHERE identity_key % 3 > 0 UNION ALL SELECT identity_key, 'right', right_rank FROM ranks WHERE identity_key % 4 > 0)
@@ -150,20 +152,18 @@ def diagnostics(spark, d):
         F.count("r").alias("joined"), (F.count(F.lit(1)) - F.count("r")).alias("missing"), hits.alias("hits"), F.round(hits / F.greatest(F.count("r"), F.lit(1)), 6).alias("rate"))
 
 
-@query("content_fingerprint", "SELECT source, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
+@query("content_fingerprint", "SELECT source, sha256(string_agg(concat(CAST(doc_id AS VARCHAR), chr(0), CAST(strlen(text) AS VARCHAR), chr(0), text, chr(0)), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
 def fingerprint(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ""), 256).alias("fingerprint"))
+    return G.ordered_digest(table(spark, d, "documents"), "source", "doc_id", "text")
 
 
-@query("function_extraction", "SELECT doc_id, 'f' || CAST(doc_id AS VARCHAR) AS symbol, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + 3 AS INTEGER) AS end_line FROM documents")
+@query("function_extraction")
 def functions(spark, d):
+    return code.extract_functions(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("function_extraction_wrapped", "SELECT doc_id, 'f' || CAST(doc_id AS VARCHAR) AS symbol, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + 3 AS INTEGER) AS end_line FROM documents")
+def functions_wrapped(spark, d):
     body = F.regexp_replace("text", "[{}\"'/]", "")
     files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("int f"), F.col("doc_id").cast("string"), F.lit("(int x) {\n"), body, F.lit("\n}\n")).alias("text"))
     return code.extract_functions(files, "doc_id", "text")
-
-
-@query("order_by_external_list_all", SQL["order_by_external_list"].replace(" WHERE o_orderkey < 500", ""))
-def external_order_all(spark, d):
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o"))
-    w = Window.orderBy(F.asc_nulls_last("o"), "c_custkey")
-    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.row_number().over(w).alias("pos"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankwright.operators import metrics as M
 from rankwright.operators import ranking as R
 from rankwright.operators import retrieval as V
+from rankwright.operators import search as D
 from rankwright.plans.fixtures import fixture, sql
 from rankwright.session import table
 
@@ -37,50 +38,39 @@ sc AS (SELECT item_id, doc_id, {tcorpus} sum(qf * ln(1 + (n - df + 0.5e0) / (df
 """
 
 
-@query("bm25_top10", _BM25.format(corpus="", tcorpus="", group="", njoin="CROSS JOIN n", qfilter="WHERE item_id < 5") + """
+@query("bm25_top10", _BM25.format(corpus="", tcorpus="", group="", njoin="CROSS JOIN n", qfilter="") + """
 SELECT item_id, doc_id, round(score, 6) AS score, rn FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM sc) WHERE rn <= 10""")
 def bm25_top10(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 5")  # the feature: a report for the first five passages
-    s = V.bm25(q, "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
-    return R.top_k(s, ["item_id"], "score", "doc_id", 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rn")
+    s = D.bm25_top_k(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text", 10)
+    return s.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rn")
 
 
 @query("bm25_per_repo", _BM25.format(corpus="source,", tcorpus="source,", group="GROUP BY source", njoin="JOIN n USING (source)", qfilter="") + """
 SELECT item_id, source, doc_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY round(score, 9) DESC, doc_id) AS rn FROM sc) WHERE rn = 1""")
 def bm25_per_repo(spark, d):
-    s = V.bm25(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text", ["source"])
-    return R.top_k(s, ["item_id", "source"], "score", "doc_id", 1).select("item_id", "source", "doc_id", F.round("score", 6).alias("score"))
+    s = D.bm25_top_k(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text", 1, "source")
+    return s.select("item_id", "source", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_zero_scores_stay", _BM25.format(corpus="", tcorpus="", group="", njoin="CROSS JOIN n", qfilter="WHERE item_id < 3") + """,
-pool AS (SELECT item_id, doc_id FROM (SELECT item_id FROM benchmark WHERE item_id < 3), (SELECT doc_id FROM documents))
+@query("bm25_zero_scores_stay", _BM25.format(corpus="", tcorpus="", group="", njoin="CROSS JOIN n", qfilter="") + """,
+pool AS (SELECT item_id, doc_id FROM (SELECT item_id FROM benchmark), (SELECT doc_id FROM documents))
 SELECT item_id, count(*) AS n, count(*) FILTER (coalesce(score, 0) = 0) AS zeros FROM pool LEFT JOIN sc USING (item_id, doc_id) GROUP BY item_id""")
 def bm25_zero(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 3")  # a stated query set
-    docs = table(spark, d, "documents")
-    s = V.bm25(q, "item_id", "text", docs, "doc_id", "text")
-    pool = docs.select("doc_id").crossJoin(F.broadcast(q.select("item_id")))
-    return V.with_zero_scores(s, pool, ["item_id", "doc_id"]).groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") == 0).alias("zeros"))
-
-
-@query("bm25_top10_all", SQL["bm25_top10"].replace("WHERE item_id < 5", ""))
-def bm25_top10_all(spark, d):
-    docs = table(spark, d, "documents")
-    s = V.bm25(table(spark, d, "benchmark"), "item_id", "text", docs, "doc_id", "text")
-    return R.top_k(s, ["item_id"], "score", "doc_id", 10).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rn")
-
-
-@query("bm25_zero_scores_stay_all", SQL["bm25_zero_scores_stay"].replace("WHERE item_id < 3", ""))
-def bm25_zero_all(spark, d):
     q, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    s = V.bm25(q, "item_id", "text", docs, "doc_id", "text").groupBy("item_id").agg(F.count_if(F.col("score") != 0).alias("scored"))
+    s = D.bm25_scored(q, "item_id", "text", docs, "doc_id", "text")
     n = q.select("item_id").join(s, "item_id", "left").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
     return n.select("item_id", "n", (F.col("n") - F.coalesce("scored", F.lit(0))).alias("zeros"))
 
 
+@query("bm25_pair_scores", _BM25.format(corpus="", tcorpus="", group="", njoin="CROSS JOIN n", qfilter="") + """
+SELECT item_id, count(*) AS pairs, round(sum(score), 3) AS total, round(max(score), 6) AS best FROM sc GROUP BY item_id""")
+def bm25_pairs(spark, d):
+    s = V.bm25(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
+    return s.groupBy("item_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 6).alias("best"))
+
+
 @query("corpus_statistics", r"""
 WITH dt AS (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z0-9_]+') AS ts FROM documents),
 tf AS (SELECT source, doc_id, lower(t) AS term FROM (SELECT source, doc_id, unnest(ts) AS t FROM dt) GROUP BY ALL)
@@ -96,14 +86,13 @@ _COS = """
 WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v),
 p AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, q.label = c.label AS positive, list_dot_product(q.v, c.v) AS score
-  FROM u q JOIN u c ON q.vec_id % 25 = 0 AND q.vec_id <> c.vec_id)"""
+  FROM u q JOIN u c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)"""
 
 
-def _cosine(spark, d):
-    u = table(spark, d, "embeddings").select("vec_id", "label", V.l2_normalize(F.col("embedding")).alias("v"))
-    q = u.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("v").alias("qv"))  # the query set
-    p = u.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    return p.select("query_id", F.col("vec_id").alias("cand_id"), (F.col("ql") == F.col("label")).alias("positive"), V.dot(F.col("qv"), F.col("v")).alias("score"))
+def _vectors(spark, d):
+    """The query set, every row whose id is divisible by 100, and all rows."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
+    return v.where("id % 100 = 0"), v
 
 
 @query("dense_first_positive_rank", _COS + """
@@ -111,22 +100,20 @@ SELECT query_id, first_rank, n, round((first_rank - 1) / greatest(n - 1, 1), 6)
   SELECT query_id, min(rn) FILTER (positive) AS first_rank, count(*) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, cand_id) AS rn FROM p) GROUP BY query_id)""")
 def dense_first(spark, d):
-    r = R.rank(_cosine(spark, d), ["query_id"], "score", "cand_id")
-    f = R.first_positive(r, ["query_id"], "rn", "positive", "cand_id", "score")
+    f = D.dense_first_positive(*_vectors(spark, d))
     return f.select("query_id", "first_rank", "n", F.round(R.normalized_rank(F.col("first_rank"), F.col("n")), 6).alias("normalized_rank"))
 
 
 @query("dense_top5", _COS + """
 SELECT query_id, cand_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, cand_id) AS rn FROM p) WHERE rn <= 5""")
 def dense_top5(spark, d):
-    return R.top_k(_cosine(spark, d), ["query_id"], "score", "cand_id", 5).select("query_id", "cand_id", "rn")
+    return D.dense_top_k(*_vectors(spark, d), 5).select("query_id", "cand_id", "rn")
 
 
 @query("best_query_per_candidate", _COS + """
 SELECT cand_id, arg_max(query_id, [round(score, 9), CAST(-query_id AS DOUBLE)]) AS query_id, round(max(score), 6) AS score FROM p GROUP BY cand_id""")
 def best_query(spark, d):
-    p = _cosine(spark, d).withColumn("case", F.lit(1))
-    return V.best_query(p, "case", "cand_id", "score", "query_id", "query_id").select("cand_id", F.col("query").alias("query_id"), F.round("score", 6).alias("score"))
+    return D.dense_best_query(*_vectors(spark, d)).select("cand_id", "query_id", F.round("score", 6).alias("score"))
 
 
 @query("centroid_similarity", """

@@ -37,9 +37,9 @@ def tokenize(spark, d):
     return x.select("doc_id", F.size("t").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("h"))
 
 
-@query("token_set_stop_words", r"SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.\-]*'), lambda x: len(x) >= 3 AND x NOT IN ('the', 'and', 'that', 'for', 'with'))) AS x FROM documents WHERE lang = 'en') GROUP BY doc_id")
+@query("token_set_stop_words", r"SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.\-]*'), lambda x: len(x) >= 3 AND x NOT IN ('the', 'and', 'that', 'for', 'with'))) AS x FROM documents) GROUP BY doc_id")
 def token_set(spark, d):
-    x = docs(spark, d).where("lang = 'en'").select("doc_id", F.explode(X.token_set(F.col("text"), ["the", "and", "that", "for", "with"])).alias("x"))
+    x = docs(spark, d).select("doc_id", F.explode(X.token_set(F.col("text"), ["the", "and", "that", "for", "with"])).alias("x"))
     return x.groupBy("doc_id").agg(F.countDistinct("x").alias("n"))
 
 
@@ -111,9 +111,9 @@ def sigmoid(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(X.sigmoid(F.col("s_acctbal") / 3000), 9).alias("p"))
 
 
-@query("identifier_masking", r"SELECT doc_id, sha256(regexp_replace(text, '\.\s*[A-Za-z_][A-Za-z0-9_]*', '.MEMBER', 'g')) AS h FROM documents WHERE lang = 'en'")
+@query("identifier_masking", r"SELECT doc_id, sha256(regexp_replace(text, '\.\s*[A-Za-z_][A-Za-z0-9_]*', '.MEMBER', 'g')) AS h FROM documents")
 def masking(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", F.sha2(F.regexp_replace("text", r"\.\s*[A-Za-z_][A-Za-z0-9_]*", ".MEMBER"), 256).alias("h"))
+    return docs(spark, d).select("doc_id", F.sha2(F.regexp_replace("text", r"\.\s*[A-Za-z_][A-Za-z0-9_]*", ".MEMBER"), 256).alias("h"))
 
 
 @query("keep_list_masking")
@@ -284,23 +284,14 @@ def directory_groups(spark, d):
 @query("query_residual_adapter")
 def adapter(spark, d):
     g = np.random.default_rng(5)
-    w = (g.normal(size=(16, 64)) / 8, np.zeros(16), g.normal(size=(64, 16)) / 4, np.zeros(64))
+    w = (g.normal(size=(16, 64)) / 8, g.normal(size=16), g.normal(size=(64, 16)) / 4, g.normal(size=64))
     e = L.residual_adapter(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", *w)
-    return e.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return e.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("adapted"))
 
 
-@query("embedder_protocol")
+@query("embedder_protocol", """WITH w AS (SELECT doc_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents)),
+b AS (SELECT doc_id, h % 64 AS pos, sum(CASE WHEN h >= 2147483648 THEN 1e0 ELSE -1e0 END) AS v FROM w GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY 1)
+SELECT doc_id, pos, round(v / norm, 6) AS value FROM b JOIN n USING (doc_id) WHERE v <> 0""")
 def embedder(spark, d):
     e = L.embed(docs(spark, d).select("doc_id", "text"), "text", L.hashing_encoder())
-    return e.select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
-
-
-@query("token_set_stop_words_all", SQL["token_set_stop_words"].replace(" WHERE lang = 'en'", ""))
-def token_set_all(spark, d):
-    x = docs(spark, d).select("doc_id", F.explode(X.token_set(F.col("text"), ["the", "and", "that", "for", "with"])).alias("x"))
-    return x.groupBy("doc_id").agg(F.countDistinct("x").alias("n"))
-
-
-@query("identifier_masking_all", SQL["identifier_masking"].replace(" WHERE lang = 'en'", ""))
-def masking_all(spark, d):
-    return docs(spark, d).select("doc_id", F.sha2(F.regexp_replace("text", r"\.\s*[A-Za-z_][A-Za-z0-9_]*", ".MEMBER"), 256).alias("h"))
+    return e.select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value <> 0").select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))

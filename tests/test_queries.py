@@ -37,7 +37,7 @@ def test_query(spark, sf, db, name):
         pd.testing.assert_frame_equal(norm(got), norm(want))
 
 
-def test_entry(spark):
+def test_entry(spark, sf):
     import __spark_entry__ as entry
 
-    assert len(entry.entry(spark).collect()) == 50
+    assert len(entry.entry(spark).collect()) == 10 * spark.read.parquet(f"{sf}/benchmark.parquet").count()
