@@ -423,26 +423,26 @@ def align(block: pa.Table, least: float) -> pa.Table:
     return pa.Table.from_batches([_links(out)])
 
 
-def _rest(large: DataFrame, rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+def _rest(large: DataFrame, texts: DataFrame, rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Links across components of large buckets (key, id)."""
-    inside = large.join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
-    inside = cut(inside.select("key", "id", F.coalesce("label", "id").alias("label")), "inside")
-    several = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    several = cut(several.where("lo < hi").select("key", "n"), "several")
-    inside = cut(attach_groups(inside, several, "key", "n", inside.count()), "open")
-    facts = cut(_counted(inside.select("id").distinct(), rows), "facts")
-    sizes = inside.join(_few(facts.select("id", "_n")), "id").groupBy("key").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("_n") / BLOCK_WORDS)).alias("_blocks"), F.count(F.lit(1)).alias("n")
+    facts = texts.select(F.col("id").alias("_of"), "_n").join(labels.select(F.col("node").alias("_of"), "label"), "_of", "left")
+    inside = large.join(cut(facts, "facts"), F.col("id") == F.col("_of"), "left")
+    inside = cut(inside.select("key", "id", "_n", F.coalesce("label", "id").alias("label")), "inside")
+    several = inside.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("_n") / BLOCK_WORDS)).alias("_blocks"),
     )
-    dealt = attach_groups(inside.drop("n"), cut(sizes, "sizes"), "key", "n", inside.count())
+    several = cut(several.where("lo < hi").select("key", "n", "_blocks"), "several")
+    dealt = attach_groups(inside.select("key", "id", "label"), several, "key", "n", inside.count())
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("_blocks")).alias("own")
     dealt = dealt.select("key", "id", "label", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label")
+    dealt = cut(dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label"), "dealt")
+    counted = cut(_counted(dealt.select("id").distinct(), rows), "counts")
     kind = "key long, lo long, hi long, own long, id long, label long"
     # blocks are work however few their bytes, so they spread over as many tasks as the session has shuffle partitions
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = lambda df: df.repartition(n, "key", "lo", "hi").groupBy("key", "lo", "hi")
-    asked = cut(spread(dealt.join(facts, "id")).applyInArrow(lambda block: meet(block, least), kind), "may")
+    asked = cut(spread(dealt.join(counted, "id")).applyInArrow(lambda block: meet(block, least), kind), "may")
     held = rows.join(_few(cut(asked.select(F.col("id").alias("_row")).distinct(), "ids")), "_row", "left_semi")
     met = asked.join(held.select(F.col("_row").alias("id"), "_keys", "_words"), "id")
     return spread(met).applyInArrow(lambda block: align(block, least), LINKS)
@@ -462,7 +462,8 @@ def _classed(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Dat
         rows = cut(_sketched(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
         total = rows.count()
         texts = rows.groupBy("_text").agg(
-            F.min("_row").alias("id"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("text_copies"), F.first("_keys").alias("_keys")
+            F.min("_row").alias("id"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("text_copies"),
+            F.first("_keys").alias("_keys"), F.max(F.octet_length("_words") / 4).cast("long").alias("_n"),
         )
         texts = cut(texts, "texts")
         pairs, large = _pairs(_buckets(texts))
@@ -473,9 +474,9 @@ def _classed(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Dat
         links = links.unionByName(cut(_verified(_across(pairs, labels), rows, least), "aligned"))
         labels = components(links)
         if large.limit(1).count():
-            links = links.unionByName(cut(_rest(large, rows, labels, least), "aligned"))
+            links = links.unionByName(cut(_rest(large, texts, rows, labels, least), "aligned"))
             labels = components(links)
-        known = texts.drop("_keys").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        known = texts.drop("_keys", "_n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         known = cut(known, "known")
         heads = known.join(labels.select(F.col("node").alias("id")), "id", "left_semi").groupBy("label").agg(
             F.min("rep").alias("_head"), F.min(F.struct(F.col("rep").isNull(), "rep", "_text"))["_text"].alias("_first"), F.count(F.lit(1)).alias("near")
