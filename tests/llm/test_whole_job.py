@@ -15,7 +15,7 @@ def _spelled(tree):
         if op is c.LITERAL:
             here = [chr(arg)]
         elif op is c.IN:
-            here = [chr(v) for o, v in arg if o is c.LITERAL]
+            here = [chr(v) if o is c.LITERAL else chr(v[0]) for o, v in arg]  # one of a range
         elif op is c.ANY:
             here = ["x"]
         elif op is c.BRANCH:
