@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,30 @@ def ordered_digest(df: DataFrame, key: str, id_: str, text: str, out: str = "fin
             yield row(now, digest)
 
     return rows.select("_key", "_id", "_text").mapInArrow(run, f"`{key}` {kind}, {out} string")
+
+
+def numeric_totals(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Count and sum of the values that are numbers; others are skipped."""
+    v = F.col(value).try_cast("double")
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"))
+
+
+def call_counts(ledger: DataFrame, key: str, tokens: str, completed: Column, receipts: DataFrame) -> DataFrame:
+    """Calls (all) and tokens (completed ones) of each key, and whether it has a receipt."""
+    g = ledger.groupBy(key).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(F.when(completed, F.col(tokens))), F.lit(0.0)).alias("tokens"))
+    return g.join(receipts.select(key).distinct().withColumn("_r", F.lit(True)), key, "left").withColumn("verified", F.col("_r").isNotNull()).drop("_r")
+
+
+def progress(ledger: DataFrame, key: str, ord_: str, status: str) -> DataFrame:
+    """Each key's last status, number of attempts and their history in order."""
+    g = ledger.groupBy(key).agg(F.max_by(status, ord_).alias(status), F.count(F.lit(1)).alias("attempts"), F.array_sort(F.collect_list(F.struct(ord_, status))).alias("_h"))
+    return g.select(key, status, "attempts", F.array_join(F.transform("_h", lambda x: x[status]), ">").alias("history"))
+
+
+def method_rows(methods: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """One row a method: cases and hits."""
+    out = None
+    for name, (df, hit) in methods.items():
+        one = df.agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
+        out = one if out is None else out.unionByName(one)
+    return out

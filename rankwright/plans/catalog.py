@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwright.plans import evaluation, relational, retrieval, texts
+from rankwright.plans import evaluation, relational, retrieval, reviews, texts
 
-_MODULES = [retrieval, relational, texts, evaluation]
+_MODULES = [retrieval, relational, texts, evaluation, reviews]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,12 @@ FIXTURES: dict[str, tuple[str, list[str]]] = {
     "ledger": ("events", [
         "user_id AS task_id", "event_id AS ord", "event_type AS status", "value AS tokens", "ts AS at_ts",
     ]),
+    "boundaries": ("supplier", [
+        "s_suppkey AS b_id", "s_nationkey AS guideline_id", "concat('b', CAST(s_suppkey AS VARCHAR(20))) AS label",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'promote_boundary' WHEN s_suppkey % 3 = 1 THEN 'needs_more_evidence' ELSE 'reject_boundary' END AS decision",
+        "s_acctbal AS bal", "s_suppkey * 3 AS r1", "s_suppkey * 5 + 1 AS r2", "s_suppkey * 7 + 2 AS r3",
+    ]),
+    "cases": ("customer", ["c_custkey AS identity", "c_nationkey AS guideline_id", "c_mktsegment AS mechanism", "c_acctbal AS bal"]),
     "groups": ("customer", [
         "c_custkey AS identity_key", "c_nationkey AS guideline_id", "c_mktsegment AS label", "c_acctbal AS weight",
     ]),
