@@ -476,12 +476,13 @@ def _classed(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Dat
         if large.limit(1).count():
             links = links.unionByName(cut(_rest(large, texts, rows, labels, least), "aligned"))
             labels = components(links)
-        known = texts.drop("_keys", "_n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        known = cut(known, "known")
-        heads = known.join(labels.select(F.col("node").alias("id")), "id", "left_semi").groupBy("label").agg(
+        known = cut(texts.drop("_keys", "_n").join(labels.withColumnRenamed("node", "id"), "id", "left"), "known")
+        linked = known.where("label IS NOT NULL")
+        heads = linked.groupBy("label").agg(
             F.min("rep").alias("_head"), F.min(F.struct(F.col("rep").isNull(), "rep", "_text"))["_text"].alias("_first"), F.count(F.lit(1)).alias("near")
         )
-        known = known.join(heads, "label", "left").select(
+        linked = attach_groups(linked, cut(heads, "heads"), "label", "near", texts.count())
+        known = linked.unionByName(known.where("label IS NULL"), allowMissingColumns=True).select(
             "_text", F.coalesce("_head", "rep").alias("class_id"), F.coalesce("near", F.lit(1)).cast("long").alias("near"),
             "text_copies", F.coalesce(F.col("_first") == F.col("_text"), F.lit(True)).alias("kept"),
         )
