@@ -74,3 +74,10 @@ def best_query(scores: DataFrame, case: str, cand: str, score: str, query: str,
 
 def rank_in(df: DataFrame, by: list[str], score: str, tie: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(F.round(score, 9).desc(), F.col(tie)))
+
+
+def cached_vectors(queries: DataFrame, cache: DataFrame, query_id: str, cache_id: str) -> DataFrame:
+    """Each query with its cached vector and a state: ok, ``missing``, or ``stale`` where the fingerprint of the text differs."""
+    c = cache.withColumnRenamed("fingerprint", "_f")
+    rows = queries.join(c, queries[query_id] == c[cache_id], "left")
+    return rows.withColumn("state", F.when(F.col(cache_id).isNull(), "missing").when(~F.col("fingerprint").eqNullSafe(F.col("_f")), "stale").otherwise("ok")).drop("_f")

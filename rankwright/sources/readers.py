@@ -10,7 +10,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,25 +27,43 @@ def _kind(spark: SparkSession, schema) -> str:
     return (schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema).simpleString()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1), ord (over all files in path order) and value of every line, blank ones included.
+
+    Files are read by splits, so one large file spreads over many tasks. A
+    line's place in its split comes from the order in which the task reads it;
+    the splits' sizes, one row each, are summed up along the files.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    parts = rows.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file", "_block", "_first", before(Window.partitionBy("file")).alias("_base"), before(Window.partitionBy()).alias("_all"))  # one row a split
+    place = F.col("_at") - F.col("_first")
+    rows = rows.join(F.broadcast(parts), ["file", "_block"])
+    return rows.select("file", (place + F.col("_base") + 1).alias("line_no"), (place + F.col("_all")).alias("ord"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema, missing_ok: bool = False, strict: bool = False) -> DataFrame:
-    """One object a line, with ``ord`` in file order. ``strict``: a bad line is fatal. ``missing_ok``: no path, no rows."""
+    """One object a line, with ``ord`` in path and file order. ``strict``: a bad line is fatal. ``missing_ok``: no path, no rows."""
     if missing_ok and not _exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("ord", F.lit(None).cast("long"))
-    df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    row = F.from_json("value", _kind(spark, schema), {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+    return lines.select(row.alias("row"), "ord").select("row.*", "ord")
 
 
 def read_jsonl_numbered(spark: SparkSession, path: str, schema) -> DataFrame:
     """Rows with ``file`` and the true ``line_no``."""
-    kind = _kind(spark, schema)
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("_n", "_t"))
-    return rows.where(F.trim("_t") != "").select("file", (F.col("_n") + 1).alias("line_no"), F.from_json("_t", kind).alias("row")).select("file", "line_no", "row.*")
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
+    return rows.select("file", "line_no", F.from_json("value", _kind(spark, schema)).alias("row")).select("file", "line_no", "row.*")
 
 
 def strict_json(spark: SparkSession, path: str) -> DataFrame:
     """line_no, ok, reason: repeated keys, NaN or Infinity, blank rows and non-objects are refused."""
     ship(spark)
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "text"))
+    rows = numbered_lines(spark, path).select("line_no", F.col("value").alias("text"))
 
     def check(text: str) -> str | None:
         def pairs(items):
@@ -67,7 +85,7 @@ def strict_json(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             reason = [check(t) for t in b["text"]]
-            yield pd.DataFrame({"line_no": b["line_no"] + 1, "ok": [r is None for r in reason], "reason": reason})
+            yield pd.DataFrame({"line_no": b["line_no"].astype("int32"), "ok": [r is None for r in reason], "reason": reason})
 
     return rows.mapInPandas(run, "line_no int, ok boolean, reason string")
 
@@ -86,12 +104,12 @@ def read_records(spark: SparkSession, path: str, schema) -> DataFrame:
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     first = head[0][0].strip() if head else ""
     kind = _kind(spark, schema)
-    whole = spark.read.text(path, wholetext=True)
     if first.startswith("["):
-        return whole.select(F.explode(F.from_json("value", f"array<{kind}>")).alias("r")).select("r.*")
+        return spark.read.schema(schema).option("multiLine", True).json(path)
     if re.match(r'^\{\s*("(records|cases|queue)"\s*:.*)?$', first, re.S):
-        envelope = F.from_json("value", "struct<" + ",".join(f"{k}:array<{kind}>" for k in ("records", "cases", "queue")) + ">")
-        return whole.select(envelope.alias("e")).select(F.explode(F.coalesce("e.records", "e.cases", "e.queue")).alias("r")).select("r.*")
+        envelope = ", ".join(f"{k} array<{kind}>" for k in ("records", "cases", "queue"))
+        whole = spark.read.schema(envelope).option("multiLine", True).json(path)
+        return whole.select(F.explode(F.coalesce("records", "cases", "queue")).alias("r")).select("r.*")
     return spark.read.schema(schema).json(path)
 
 
@@ -103,7 +121,7 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str], sep: str =
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     """KEY=value lines of each file as rows; the last value of a key wins."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    rows = numbered_lines(spark, path).select("file", F.col("line_no").alias("n"), F.col("value").alias("line"))
     rows = rows.where(F.col("line").rlike("^[A-Z_]+=")).select("file", "n", F.regexp_extract("line", "^([A-Z_]+)=(.*)$", 1).alias("key"), F.regexp_extract("line", "^([A-Z_]+)=(.*)$", 2).alias("value"))
     return rows.groupBy("file", "key").agg(F.max_by("value", "n").alias("value"))
 
@@ -230,3 +248,103 @@ def parse_budgets(value: str) -> list[int]:
 def nested(doc: str, *paths: str, kind: str = "string") -> Column:
     """First value that is neither null nor empty among VARIANT paths."""
     return F.coalesce(*[F.nullif(F.try_variant_get(doc, p, kind), F.lit("")) for p in paths])
+
+
+def named_files(rows: DataFrame, root: str) -> str:
+    """Write one file a row (name, text) below ``root`` through Hadoop's file systems, from the driver: for a few small files; returns ``root``."""
+    spark = rows.sparkSession
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    for r in rows.toLocalIterator():
+        at = path(f"{root}/{r['name']}")
+        out = at.getFileSystem(conf).create(at)
+        out.write(bytearray(r["text"].encode()))
+        out.close()
+    return root
+
+
+def query_catalog(spark: SparkSession, root: str, suffix: str, fields: dict[str, str], tag: str, require: str | None = None, exclude: str | None = None) -> DataFrame:
+    """Files of a tree below a language's directory with metadata by regex: path, language, a column for each of ``fields``, and ``tags``, sorted.
+
+    A file without a tag is no entry; ``require`` and ``exclude`` are parts of a path.
+    """
+    files = source_tree(spark, root, [suffix], 1 << 24)
+    rest = F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    tags = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(tag), F.lit(1))))
+    out = files.select("path", F.get(F.split(rest, "/"), F.lit(0)).alias("language"), *[F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias(k) for k, p in fields.items()], tags.alias("tags"))
+    out = out.where(F.size("tags") > 0)
+    out = out.where(F.contains("path", F.lit(require))) if require else out
+    return out.where(~F.contains("path", F.lit(exclude))) if exclude else out
+
+
+def read_tracks(spark: SparkSession, path: str, stop: list[str]) -> DataFrame:
+    """track and text of a line-based YAML file: items ``track_id: x`` with a folded ``text_key: >-`` scalar.
+
+    Lines after the text's key belong to it until a blank line or one that
+    begins with a key of ``stop``. A repeated track counts by its last text.
+    """
+    rows = numbered_lines(spark, path).withColumn("_s", F.trim("value"))
+    item, key = r'^(?:- )?track_id:\s*"?(.*?)"?$', r'^guideline_text:\s*(.*)$'
+    end = F.col("_s") == ""
+    for word in stop:
+        end = end | F.startswith("_s", F.lit(word))
+    w = Window.partitionBy("file").orderBy("line_no")
+    rows = rows.withColumn("_track", F.last(F.when(F.col("_s").rlike(item), F.struct("line_no", F.regexp_extract("_s", item, 1).alias("id"))), ignorenulls=True).over(w))
+    # what was seen last of: a text's key (1) or an end (0) says whether a line belongs to a text
+    mark = F.when(F.col("_s").rlike(key), 1).when(end | F.col("_s").rlike(item), 0)
+    rows = rows.withColumn("_on", F.last(mark, ignorenulls=True).over(w))
+    text = F.when(F.col("_s").rlike(key), F.regexp_extract("_s", key, 1)).otherwise(F.col("_s"))
+    rows = rows.where("_on = 1 AND _track IS NOT NULL").withColumn("_t", F.trim(F.regexp_replace(text, '^"|"$', ""))).where("NOT _t IN ('', '>-', '>', '|-', '|')")
+    texts = rows.groupBy("file", "_track").agg(F.array_sort(F.collect_list(F.struct("line_no", "_t"))).alias("_l"))
+    texts = texts.select(F.col("_track.id").alias("track"), F.struct("file", "_track.line_no").alias("_o"), F.array_join(F.transform("_l", lambda x: x["_t"]), " ").alias("text"))
+    return texts.groupBy("track").agg(F.max_by("text", "_o").alias("text"))
+
+
+def read_outputs(expected: DataFrame, path: str, item: str, schema) -> DataFrame:
+    """Model outputs ``<item>.json`` below ``path`` as data: item, state (parsed, missing_output, parse_error) and doc.
+
+    A fenced or prose-wrapped object counts from its first brace to its last.
+    """
+    spark = expected.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    body = F.regexp_extract(F.decode("content", "UTF-8"), r"(?s)(\{.*\})", 1)
+    doc = F.from_json(body, _kind(spark, schema))
+    ok = F.try_parse_json(body).isNotNull() & (body != "")
+    found = files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("_item"), F.when(ok, doc).alias("doc"), ok.alias("_ok"))
+    rows = expected.join(found, F.col(item).cast("string") == F.col("_item"), "left")
+    state = F.when(F.col("_item").isNull(), "missing_output").when(F.coalesce("_ok", F.lit(False)), "parsed").otherwise("parse_error")
+    return rows.select(*expected.columns, state.alias("state"), "doc")
+
+
+def read_release(spark: SparkSession, root: str, payload, queue=None) -> DataFrame:
+    """Payloads that ``root/index.json`` lists (items with file_name), from ``root/guidelines``; a missing file is an error when read.
+
+    ``queue``: the schema of ``root/review_queue.jsonl``, whose rows follow as review_only.
+    """
+    index = spark.read.schema("items array<struct<file_name:string>>").option("multiLine", True).json(f"{root}/index.json")
+    listed = index.select(F.explode("items.file_name").alias("file_name")).where("coalesce(file_name, '') <> ''")
+    files = spark.read.schema(payload).option("multiLine", True).json(f"{root}/guidelines").withColumn("_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    rows = listed.join(files, F.col("file_name") == F.col("_file"), "left")
+    message = F.concat(F.lit("missing guideline payload: "), F.col("file_name"))
+    rows = rows.withColumn("_file", F.when(F.col("_file").isNull(), F.raise_error(message).cast("string")).otherwise(F.col("_file"))).where("_file IS NOT NULL")
+    rows = rows.drop("_file").withColumn("status", F.lit("released"))
+    if queue is None:
+        return rows
+    more = spark.read.schema(queue).json(f"{root}/review_queue.jsonl")
+    return rows.unionByName(more.withColumn("status", F.lit("review_only")), allowMissingColumns=True)
+
+
+def result_statistics(runs: DataFrame, root: str, key: str, counters: dict[str, str]) -> DataFrame:
+    """Counters of optional files ``<key>/results.json`` and the validity of its label responses.
+
+    ``counters``: column -> JSON path. Label responses are ``<key>/labels/*.txt``, valid if they hold a JSON list, plain or in one fence.
+    """
+    spark = runs.sparkSession
+    at = lambda k: F.element_at(F.split("path", "/"), k)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "UTF-8").alias("text"))
+    doc = files.where(at(-1) == "results.json").select(at(-2).alias("_k"), F.try_parse_json("text").alias("_d"))
+    body = F.regexp_replace(F.trim("text"), r"(?s)^```json\n(.*)\n```$", "$1")
+    labels = files.where((at(-2) == "labels") & F.endswith("path", F.lit(".txt"))).select(at(-3).alias("_l"), F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("ARRAY"), F.lit(False)).alias("_v"))
+    labels = labels.groupBy("_l").agg(F.count(F.lit(1)).alias("labels"), F.count_if(~F.col("_v")).alias("invalid_labels"))
+    k = F.col(key).cast("string")
+    rows = runs.join(doc, k == F.col("_k"), "left").join(labels, k == F.col("_l"), "left")
+    return rows.select(*runs.columns, *[F.try_variant_get("_d", p, "bigint").alias(c) for c, p in counters.items()], F.coalesce("labels", F.lit(0)).alias("labels"), F.coalesce("invalid_labels", F.lit(0)).alias("invalid_labels"))
