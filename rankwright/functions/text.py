@@ -103,6 +103,11 @@ def sha1_id(parts: list[Column], length: int = 12) -> Column:
     return F.substring(F.sha1(F.concat_ws("::", *[p.cast("string") for p in parts])), 1, length)
 
 
+def canonical_hash(**fields: Column) -> Column:
+    """SHA-256 of a record as compact JSON with its keys in order; null fields are left out."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+
+
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 

@@ -43,6 +43,10 @@ def release_gate(df: DataFrame, by: str, member: str, supported: str) -> DataFra
     return g.withColumn("blockers", blockers)
 
 
+#: A lexicon of up to so many words is broadcast; a larger one joins by shuffle.
+BROADCAST_WORDS = 200_000
+
+
 def lexicon_scores(items: DataFrame, key: str, tokens: str, lexicon: DataFrame) -> DataFrame:
     """Weighted keyword score of each (item, mechanism).
 
@@ -50,11 +54,14 @@ def lexicon_scores(items: DataFrame, key: str, tokens: str, lexicon: DataFrame)
     where one of its required words is absent. Items meet the lexicon by word,
     an equi-join on the lexicon's few words.
     """
+    known = lexicon.select("word").distinct()
+    few = known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    side = F.broadcast if few else (lambda df: df)
     words = items.select(key, F.explode(F.array_distinct(tokens)).alias("word"))
-    hit = words.join(F.broadcast(lexicon), "word")  # a hand-written lexicon
+    hit = words.join(side(lexicon), "word")
     need = lexicon.where("required").groupBy("mechanism_id").agg(F.countDistinct("word").alias("_need"))
     s = hit.groupBy(key, "mechanism_id").agg(F.sum("weight").alias("score"), F.count_if("required").alias("_have"))
-    s = s.join(F.broadcast(need), "mechanism_id", "left")
+    s = s.join(side(need), "mechanism_id", "left")
     return s.select(key, "mechanism_id", F.when(F.coalesce("_need", F.lit(0)) > F.col("_have"), 0.0).otherwise(F.col("score")).alias("score"))
 
 
@@ -64,11 +71,6 @@ def attribute(scores: DataFrame, key: str) -> DataFrame:
     return scores.where("score > 0").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def uncovered_remainder(clusters: DataFrame, members: str, covered: str) -> DataFrame:
-    """Members that no sub-pattern claims."""
-    return clusters.withColumn("remainder", F.array_except(members, F.flatten(covered)))
-
-
 def multiset_difference(sent: DataFrame, back: DataFrame) -> DataFrame:
     """Ids sent but not returned, and returned but not sent, repeats counted."""
     a = sent.exceptAll(back).withColumn("side", F.lit("missing"))

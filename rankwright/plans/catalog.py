@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwright.plans import connectors, evaluation, relational, retrieval, reviews, texts
+from rankwright.plans import connectors, evaluation, relational, retrieval, reviews, scalars, texts
 
-_MODULES = [retrieval, relational, texts, evaluation, reviews, connectors]
+_MODULES = [retrieval, relational, texts, evaluation, reviews, connectors, scalars]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
