@@ -6,7 +6,7 @@ frequencies are counted over *all* documents to learn from, in one distributed
 pass whose partial sums are at most 2**BITS rows a task; a document's values
 are ``(1 + ln tf) * idf`` at unit length. FTRL with elastic-net penalties
 trains on a sample of at most TRAIN_ROWS of them, those with the smallest hash
-of their id; CALIBRATION_ROWS others fix the temperature of the softmax. All
+of their id among those of up to TRAIN_CHARS characters; CALIBRATION_ROWS others fix the temperature of the softmax. All
 documents, whole, are scored with the broadcast weights (2**BITS floats a
 language). ``score`` is the calibrated likelihood of the predicted language.
 
@@ -34,6 +34,8 @@ BITS = 16
 NGRAMS = (1, 2, 3, 4)
 TRAIN_ROWS = 4000
 CALIBRATION_ROWS = 1000
+#: Documents of up to so many characters make up the sample, which bounds what the driver holds; frequencies come from all.
+TRAIN_CHARS = 100_000
 EPOCHS = 3
 HELD_OUT = (5, 0)
 UNKNOWN = "und"
@@ -129,7 +131,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, calibration: int = CALIBRATIO
 
     # ids first, then only their texts: at most rows + calibration of them, so they broadcast
     order = ["h", F.col("doc_id").asc_nulls_first(), "_t"]
-    keyed = known.withColumn("h", F.xxhash64("doc_id")).withColumn("_t", F.xxhash64("text", "lang"))
+    keyed = known.where(F.length("text") <= TRAIN_CHARS).withColumn("h", F.xxhash64("doc_id")).withColumn("_t", F.xxhash64("text", "lang"))
     picked = keyed.select("h", "doc_id", "_t").orderBy(*order).limit(rows + calibration).select("h", "_t").distinct()
     found = keyed.join(F.broadcast(picked), ["h", "_t"]).select("h", "doc_id", "text", "lang")
     got = found.mapInPandas(run, "h long, doc_id long, lang string, f binary, c binary").orderBy("h", "doc_id", "lang", "f").limit(rows + calibration).collect()

@@ -179,7 +179,8 @@ def _listed(kinds: list[str]) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_listed(KINDS), 256).alias("base_sha256"), _listed([*KINDS, "term"]).alias("spans"))
+    both = [sum((F.size(f"_{k}") for k in KINDS), F.lit(0)).cast("long").alias("n_base"), F.size("_term").cast("long").alias("n_terms")]
+    return found.select("doc_id", *counts, F.sha2(_listed(KINDS), 256).alias("base_sha256"), _listed([*KINDS, "term"]).alias("spans"), *both)
 
 
 def redacted(text: Column, spans: Column) -> Column:

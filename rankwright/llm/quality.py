@@ -5,7 +5,8 @@ features; a pair of one word twice is one feature whatever the word. A
 document's values are ``1 + ln(count)``, scaled to just under unit length
 (SMOOTH holds short texts back). Weights come from follow-the-regularised-leader updates over a sample
 of at most TRAIN_ROWS labelled documents (those of the smallest hash of their
-id, so the sample does not depend on partitions); every document, whole, is
+id, so the sample does not depend on partitions; of those the ones of up to
+TRAIN_CHARS characters are learned from); every document, whole, is
 then scored as a sparse dot product with the broadcast weights (2**BITS
 floats).
 
@@ -33,6 +34,8 @@ from rankwright.llm.ftrl import Ftrl, mix32
 
 BITS = 18
 TRAIN_ROWS = 6000
+#: Longer documents are not learned from, which bounds what the driver holds.
+TRAIN_CHARS = 100_000
 EPOCHS = 4
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
@@ -85,7 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     known = known.groupBy("doc_id").agg(F.max("quality").alias("_y"))
     # at most ``rows`` ids: small enough to broadcast
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y")
+    found = docs.select("doc_id", "text").where(F.length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS)
+    found = found.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
