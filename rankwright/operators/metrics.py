@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,17 +29,8 @@ def nearest_rank(rank: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {rank})")
 
 
-def coverage_budget(rank: str, share: float) -> Column:
-    """Smallest rank budget that covers ceil(N * share) of all cases, else null."""
-    ranks = F.array_sort(F.collect_list(rank))
-    need = F.ceil(F.count(F.lit(1)) * F.lit(share)).cast("int")
-    return F.when(F.size(ranks) >= need, F.get(ranks, need - 1))
-
-
 def coverage_budgets(df: DataFrame, rank: str, shares: list[float], by: list[str] = ()) -> DataFrame:
-    """The same for many cases: counts by rank and prefix sums, no list of all ranks."""
-    from pyspark.sql import Window
-
+    """Smallest rank budget that covers ceil(N * share) of all cases, else null: counts by rank and prefix sums, no list of all ranks."""
     per = df.groupBy(*by, rank).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy(F.col(rank).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
