@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.session import cut, scratch, shared_folder, ship, table
+from rankwright.session import cut, scratch, shared_folder, ship, spread, table
 
-__all__ = ["cut", "scratch", "shared_folder", "table", "fold_ascii", "whole_text", "attach_groups", "matches", "small_batches"]
+__all__ = ["cut", "scratch", "shared_folder", "spread", "table", "fold_ascii", "whole_text", "attach_groups", "matches", "small_batches"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Groups with more than one in so many of all rows are hot: there are at most so many of them.

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import small_batches, table
+from rankwright.llm.common import small_batches, spread, table
 from rankwright.llm.ftrl import Ftrl, mix32, softmax, temperature
 from rankwright.llm.quality import held_out
 
@@ -88,7 +88,7 @@ def _document_frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pd.DataFrame({"f": np.append(at, -1), "df": np.append(df[at], n)})
 
-    rows = known.select("text").mapInPandas(run, "f long, df long").groupBy("f").agg(F.sum("df").alias("df")).collect()
+    rows = spread(known.select("text")).mapInPandas(run, "f long, df long").groupBy("f").agg(F.sum("df").alias("df")).collect()
     df, n = np.zeros(size), 0
     for f, c in rows:  # at most 2**BITS + 1 rows
         if f < 0:
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=["lang_pred", "score"])
 
     keep = [docs[c] for c in docs.columns if c not in {"lang_pred", "score"}]
-    return docs.select(F.struct(*keep).alias("_doc"), predicted("text").alias("_p")).select("_doc.*", "_p.*")
+    return spread(docs).select(F.struct(*keep).alias("_doc"), predicted("text").alias("_p")).select("_doc.*", "_p.*")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

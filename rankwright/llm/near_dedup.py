@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import attach_groups, cut, scratch, small_batches, table
+from rankwright.llm.common import attach_groups, cut, scratch, small_batches, spread, table
 from rankwright.llm.graph import Roots, components
 
 K = 5
@@ -267,7 +267,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(hashes, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, _text binary, _keys array<long>, _words binary")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, _text binary, _keys array<long>, _words binary")
 
 
 def _buckets(texts: DataFrame) -> DataFrame:

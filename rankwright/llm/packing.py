@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import cut, small_batches, table
+from rankwright.llm.common import cut, small_batches, spread, table
 from rankwright.llm.tokens import VOCABULARY, encoder
 
 WINDOW = 4096
@@ -83,7 +83,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset and the ids (32-bit little-endian)."""
     small_batches(docs.sparkSession)
     coded = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(vocabulary, end), _PASS_ONE),
+        spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_encode(vocabulary, end), _PASS_ONE),
         "tokens",
     )
     totals = coded.groupBy("_task").agg(F.sum("doc_tokens").alias("_n"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import small_batches, table
+from rankwright.llm.common import small_batches, spread, table
 from rankwright.llm.ftrl import Ftrl, mix32
 
 BITS = 18
@@ -126,7 +126,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "scor
                 raw[k] = bias + w[idx].astype(np.float64) @ x
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(raw, -35, 35))))
 
-    return docs.withColumn(column, scored("text"))
+    return spread(docs).withColumn(column, scored("text"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
