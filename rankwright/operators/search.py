@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rankwright.functions.text import tokens
 from rankwright.operators import ranking as R
 from rankwright.operators.retrieval import K1, B
-from rankwright.session import cut, ship
+from rankwright.session import cut, ship, spread
 
 #: Postings (query, term) or vectors of queries that are broadcast at once: about 16 MB of either.
 BLOCK_POSTINGS = 500_000
@@ -86,7 +86,7 @@ def _bm25_scan(queries: DataFrame, query_id: str, query_text: str, docs: DataFra
     q = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("term"))
     q = cut(q.groupBy(query_id, "term").agg(F.count(F.lit(1)).cast("double").alias("qf")), "queries")
     rows = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), (F.coalesce(F.col(corpus).cast("string"), F.lit("")) if corpus else F.lit("")).alias("_corpus"))
-    out = []
+    rows, out = spread(rows), []
     for block in _blocks(q, query_id, BLOCK_POSTINGS):
         asked = spark.createDataFrame([(t,) for t in {r.term for r in block} | {""}], "term string")  # at most a block's terms
         toks = rows.select("_corpus", tokens(F.col("_text")).alias("_t"))

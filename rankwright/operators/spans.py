@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankwright.functions.text import lines
+from rankwright.session import spread
 
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column, dialect: str) -> Column:
@@ -42,7 +43,7 @@ def distance(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 def windows(df: DataFrame, key: list[str], text: str, width: int = 80, stride: int = 40) -> DataFrame:
     """Overlapping line windows (1-based, inclusive); the one that reaches the end is the last."""
-    rows = df.select(*key, lines(F.col(text)).alias("_l")).where(F.size("_l") > 0)
+    rows = spread(df.select(*key, text)).select(*key, lines(F.col(text)).alias("_l")).where(F.size("_l") > 0)
     n = F.size("_l")
     starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda s: (s == 0) | (s + width - stride < n))
     rows = rows.select(*key, "_l", F.explode(starts).alias("_s"))

@@ -65,6 +65,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer tasks than there are, as a file of one row group has; else as it is.
+
+    For operators with much work a row; large tables have tasks enough and are never shuffled by this.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 _cuts: list[list[str]] = []
 
 
