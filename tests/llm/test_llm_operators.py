@@ -382,6 +382,6 @@ def test_license_rules_and_suppression(spark):
     df = spark.createDataFrame([(k, t) for k, t in texts.items()], "want string, text string")
     for r in licenses.scan(df).collect():
         assert r.labels == r.want and (r.score > 0) == (r.want != "")
-    assert 200 <= len(licenses.rules()) < 400
+    assert len(licenses.rules()) >= 200
     for label, keyword, regex, *_ in licenses.rules():
         re.compile(regex)
