@@ -20,30 +20,6 @@ def term_stats(docs: DataFrame, doc_id: str, text: str, corpus: list[str] = ())
     return tf, df, size
 
 
-def bm25(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, text: str, corpus: list[str] = ()) -> DataFrame:
-    """Scores of (query, document) pairs that share a term: an equi-join on terms, the postings form.
-
-    Only the queries' terms leave the documents' side: queries are few and
-    their terms are semi-joined before any shuffle.
-    """
-    q = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("term"))
-    q = q.groupBy(query_id, "term").agg(F.count(F.lit(1)).cast("double").alias("qf"))
-    tf, df, size = term_stats(docs, doc_id, text, corpus)
-    asked = q.select("term").distinct()
-    tf, df = tf.join(asked, "term", "left_semi"), df.join(asked, "term", "left_semi")
-    rows = tf.join(df, [*corpus, "term"])
-    rows = rows.join(size, list(corpus)) if corpus else rows.crossJoin(F.broadcast(size))  # one row
-    rows = rows.join(q, "term")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * ((1 - B) + B * F.col("len") / F.col("avgdl")))
-    return rows.groupBy(query_id, doc_id, *corpus).agg(F.sum(part).alias("score"))
-
-
-def with_zero_scores(scores: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
-    """Pool pairs without a shared term stay in the ranking with score 0."""
-    return pool.join(scores, keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -65,13 +41,6 @@ def centroid(df: DataFrame, by: list[str], vec: str) -> DataFrame:
     return mean.select(*by, l2_normalize(F.transform("_v", lambda p: p["_m"])).alias("centroid"))
 
 
-def best_query(scores: DataFrame, case: str, cand: str, score: str, query: str, ord_: str) -> DataFrame:
-    """Each candidate's best query; the first query wins ties."""
-    return scores.groupBy(case, cand).agg(
-        F.max(score).alias("score"), F.max_by(query, F.struct(F.round(score, 9), -F.col(ord_))).alias("query")
-    )
-
-
 def cached_vectors(queries: DataFrame, cache: DataFrame, query_id: str, cache_id: str) -> DataFrame:
     """Each query with its cached vector and a state: ok, ``missing``, or ``stale`` where the fingerprint of the text differs."""
     c = cache.withColumnRenamed("fingerprint", "_f")

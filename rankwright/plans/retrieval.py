@@ -64,13 +64,6 @@ def bm25_zero(spark, d):
     return n.select("item_id", "n", (F.col("n") - F.coalesce("scored", F.lit(0))).alias("zeros"))
 
 
-@query("bm25_pair_scores", _BM25.format(corpus="", tcorpus="", group="", njoin="CROSS JOIN n", qfilter="") + """
-SELECT item_id, count(*) AS pairs, round(sum(score), 3) AS total, round(max(score), 6) AS best FROM sc GROUP BY item_id""")
-def bm25_pairs(spark, d):
-    s = V.bm25(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
-    return s.groupBy("item_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 6).alias("best"))
-
-
 @query("corpus_statistics", r"""
 WITH dt AS (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z0-9_]+') AS ts FROM documents),
 tf AS (SELECT source, doc_id, lower(t) AS term FROM (SELECT source, doc_id, unnest(ts) AS t FROM dt) GROUP BY ALL)
@@ -174,6 +167,12 @@ def top3(spark, d):
     return R.top_k(fixture(spark, d, "anchors"), ["case_id"], "score_a", "anchor_id", 3).select("case_id", "anchor_id", "rn")
 
 
+@query("first_positive_rank", _A + f", r AS (SELECT *, {_RN.format('round(score_b, 9)')} AS rn FROM anchors) SELECT case_id, min(rn) FILTER (positive) AS first_rank, arg_min(anchor_id, rn) FILTER (positive) AS first_id, count(*) AS n FROM r GROUP BY case_id")
+def first_positive(spark, d):
+    r = R.rank(fixture(spark, d, "anchors"), ["case_id"], "score_b", "anchor_id")
+    return R.first_positive(r, ["case_id"], "rn", "positive", "anchor_id", "score_b").select("case_id", "first_rank", "first_id", "n")
+
+
 @query("zscore_fusion", _A + """, z AS (SELECT case_id, anchor_id, score_a, score_b, avg(score_a) OVER w AS ma, stddev_pop(score_a) OVER w AS sa,
   avg(score_b) OVER w AS mb, stddev_pop(score_b) OVER w AS sb FROM anchors WINDOW w AS (PARTITION BY case_id))
 SELECT anchor_id, round(CASE WHEN sa <= 1e-12 THEN 0 ELSE (score_a - ma) / sa END + CASE WHEN sb <= 1e-12 THEN 0 ELSE (score_b - mb) / sb END, 5) AS z FROM z""")
