@@ -37,3 +37,30 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, empty):
+    for docs in (odd, empty):
+        start = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = cut(stage(spark, docs, sf), name)
+            assert out.columns == docs.columns
+            n = out.count()
+            assert n <= start * (2 if name == "mixing" else 1)
+            # the classifier may refuse all odd rows: each later stage also sees them all
+            docs = out if n else docs
+        pieces = cut(corpus_pipeline.STAGES[-1][1](spark, docs, sf), "packing")
+        assert pieces.where("start = 0").count() == docs.count() and (start > 0 or pieces.count() == 0)
+
+
+def test_a_stage_clears_what_the_one_before_wrote_for_itself(spark, sf):
+    docs = table(spark, sf, "documents")
+    near = dict(corpus_pipeline.STAGES)["near_dedup"]
+    mixed = dict(corpus_pipeline.STAGES)["mixing"]
+    kept = cut(near(spark, docs, sf), "kept")
+    left = list(corpus_pipeline._left)
+    assert left
+    n = cut(mixed(spark, kept, sf), "mixed").count()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert n and not any(hadoop(p).getFileSystem(conf).exists(hadoop(p)) for p in left) and kept.count()
