@@ -40,6 +40,8 @@ GENERALISE = 0.8
 REMOVE = 0.95
 #: Tables of words, pairs or texts up to so many rows are broadcast; larger ones join by shuffle.
 BROADCAST_ROWS = 200_000
+#: ... and with at most so many spans in them (about 64 MB).
+BROADCAST_SPANS = 2_000_000
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 _WORD = r"\p{L}++"
 
@@ -102,13 +104,27 @@ def _words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
 
 
+def _placed(hits: Column, gaps: Column, lengths: Column) -> Column:
+    """Spans of the words at the indexes ``hits`` (i, v), from the lengths of the gaps before words and of the words."""
+
+    def step(acc: Column, h: Column) -> Column:
+        n = h["i"] - acc["i"]
+        passed = lambda c: F.aggregate(F.slice(c, acc["i"] + 1, n), F.lit(0), lambda x, y: x + y)
+        at = acc["at"] + passed(gaps) + passed(lengths)
+        start = at + F.get(gaps, h["i"])
+        found = F.struct(start.alias("s"), (start + F.get(lengths, h["i"])).alias("e"), h["v"].alias("v"))
+        return F.struct(h["i"].alias("i"), at.alias("at"), F.concat(acc["out"], F.array(found)).cast(_SPAN).alias("out"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    return F.aggregate(F.array_sort(hits), start, step, lambda a: a["out"])
+
+
 def _bounded(df: DataFrame, spans: str | None = None) -> DataFrame:
-    """``df`` to be broadcast if it has at most BROADCAST_ROWS rows, or as many elements in its arrays ``spans``."""
-    if spans:
-        n = df.agg(F.coalesce(F.sum(F.size(spans) + 1), F.lit(0))).first()[0]
-    else:
-        n = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    """``df`` to be broadcast if it has at most BROADCAST_ROWS rows and, in its arrays ``spans``, BROADCAST_SPANS elements."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few and spans:
+        few = df.agg(F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()[0] <= BROADCAST_SPANS
+    return F.broadcast(df) if few else df
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -147,11 +163,14 @@ def find(docs: DataFrame) -> DataFrame:
         "entity", "word", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("v")
     )
     told = cut(told.groupBy("word").agg(F.max("v").alias("v")), "told")
-    # every word with its place, in the row of its text; only the disclosing ones leave it
-    placed = matches(whole_text(), F.lit(_WORD), lambda s, e, v: F.struct(s.alias("s"), e.alias("e"), F.lower(v).alias("v")), "struct<s:int,e:int,v:string>")
-    at = docs.select(F.sha2(whole_text(), 256).alias("_key"), F.explode(placed).alias("_p")).select("_key", "_p.s", "_p.e", F.col("_p.v").alias("word"))
-    at = at.join(_bounded(told), "word").select("_key", "s", "e", "v").distinct()
-    terms = at.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "v"))).cast(_SPAN).alias("_found"))
+    texts = docs.select(whole_text().alias("_text")).withColumn("_key", F.sha2("_text", 256))
+    at = texts.select("_key", F.posexplode(_words(F.col("_text"))).alias("i", "word")).join(_bounded(told), "word")
+    at = at.select("_key", "i", "v").distinct().groupBy("_key").agg(F.collect_list(F.struct("i", "v")).alias("_at"))
+    held = texts.join(_bounded(cut(at, "at"), "_at"), "_key").select(
+        "_key", "_at", F.transform(F.split("_text", _WORD, -1), F.length).alias("_gaps"),
+        F.transform(F.regexp_extract_all("_text", F.lit(_WORD), F.lit(0)), F.length).alias("_lengths"),
+    )
+    terms = held.select("_key", _placed(F.col("_at"), F.col("_gaps"), F.col("_lengths")).alias("_found")).distinct()
     rows = rows.join(_bounded(cut(terms, "terms"), "_found"), "_key", "left")
     taken = F.concat(*spans)
     clear = F.filter(F.coalesce("_found", F.array().cast(_SPAN)), lambda t: ~F.exists(taken, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
