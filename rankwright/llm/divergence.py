@@ -36,6 +36,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +138,13 @@ def _still(buckets: DataFrame, best: DataFrame | None, top: int) -> DataFrame:
     return buckets.join(kth, GROUP, "left").where("_kth IS NULL OR _bound >= _kth").drop("_kth")
 
 
-def _one_sided(postings: DataFrame, groups: DataFrame) -> DataFrame:
+def _one_sided(postings: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
     """lang, i, j, value: what the terms of each one source give against the bases of all others, i < j."""
     hist = postings.groupBy("lang", "i", "p").agg(F.count(F.lit(1)).alias("h")).withColumn("v", F.lit(0).cast("long"))
     # the terms that neither has, by the base: -|i| from each side and V once
     base = groups.select("lang", "i", F.col("b").alias("p"), (-F.col("terms")).alias("h"), "v")
     hist = hist.unionByName(base).withColumn("_salt", F.pmod(F.xxhash64("i", "p"), F.lit(SALTS)))
-    tiles = groups.groupBy("lang", F.floor(F.col("i") / TILE).alias("_tile")).agg(F.collect_list(F.struct("i", "b")).alias("_others"))
+    tiles = groups.groupBy("lang", F.floor(F.col("i") / tile).alias("_tile")).agg(F.collect_list(F.struct("i", "b")).alias("_others"))
     tiles = tiles.select("lang", "_others", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
     met = hist.join(tiles, ["lang", "_salt"]).select("lang", "i", "p", "h", "v", F.explode("_others").alias("_o")).where("_o.i <> i")
     value = (F.col("h") + F.when(F.col("i") < F.col("_o.i"), F.col("v")).otherwise(0)) * f_of(F.col("p"), F.col("_o.b"))
@@ -154,15 +155,15 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def shared_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared_sums(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
     """From lists of a term's sources, sorted by tile, to one matrix of corrections for each tile."""
-    now, m = None, np.zeros((TILE, TILE), np.int64)
+    now, m = None, np.zeros((tile, tile), np.int64)
 
     def flush() -> Iterator[pa.RecordBatch]:
         i, j = np.nonzero(m)
         if now is not None and len(i):
             lang, lo, hi = now
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array((i + lo * TILE).astype(np.int32)), pa.array((j + hi * TILE).astype(np.int32)), pa.array(m[i, j])], ["lang", "i", "j", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array((i + lo * tile).astype(np.int32)), pa.array((j + hi * tile).astype(np.int32)), pa.array(m[i, j])], ["lang", "i", "j", "value"])
         m[:] = 0
 
     for batch in batches:
@@ -191,34 +192,34 @@ def shared_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
                 x, y = e, e + d
                 if lo != hi:
-                    apart = (n[x] // TILE) != (n[y] // TILE)
+                    apart = (n[x] // tile) != (n[y] // tile)
                     x, y = x[apart], y[apart]
                 value = _f(p[x], p[y]) - _f(p[x], b[y]) - _f(b[x], p[y]) + _f(b[x], b[y])
-                np.add.at(m, (n[x] - lo * TILE, n[y] - hi * TILE), value)
+                np.add.at(m, (n[x] - lo * tile, n[y] - hi * tile), value)
             at = stop
     yield from flush()
 
 
-def pair_values(postings: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(postings: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     """lang, i, j, value for every two sources of a language, i < j by number."""
     ship(postings.sparkSession)
-    tile = F.floor(F.col("i") / TILE).cast("int")
-    spots = postings.select("lang", "term", "i", "p", "b", tile.alias("_a"), F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / TILE).cast("int"))).alias("_b"))
+    own = F.floor(F.col("i") / tile).cast("int")
+    spots = postings.select("lang", "term", "i", "p", "b", own.alias("_a"), F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / tile).cast("int"))).alias("_b"))
     spots = spots.select("lang", "term", F.least("_a", "_b").alias("_lo"), F.greatest("_a", "_b").alias("_hi"), F.struct("i", "p", "b").alias("_x"))
     lists = spots.groupBy("lang", "_lo", "_hi", "term").agg(F.array_sort(F.collect_list("_x")).alias("_list")).where("size(_list) > 1")
     lists = lists.select("lang", "_lo", "_hi", "_list").sortWithinPartitions("lang", "_lo", "_hi")
-    both = lists.mapInArrow(shared_sums, "lang string, i int, j int, value long")
-    return both.unionByName(_one_sided(postings, groups)).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    both = lists.mapInArrow(partial(shared_sums, tile=tile), "lang string, i int, j int, value long")
+    return both.unionByName(_one_sided(postings, groups, tile)).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, top: int = TOP, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def audit(docs: DataFrame, top: int = TOP, least: int = LEAST_DOCUMENTS, tile: int = TILE) -> DataFrame:
     """lang, source, part, item, value, rank: other sources by distance (``pair``) and terms that stand out (``term``)."""
     with scratch(docs.sparkSession) as kept:
         counts = cut(term_counts(docs, least), "counts")
         groups = cut(group_table(docs, counts), "groups")
         postings = cut(postings_of(counts, groups), "postings")
         terms = top_terms(postings, top).select(*GROUP, F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
-        sums = pair_values(postings, groups)
+        sums = pair_values(postings, groups, tile)
         both = sums.select("lang", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("_x"), "value").select("lang", "_x.i", "_x.j", "value")
         names = groups.select("lang", "i", "source")
         ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "i").orderBy(F.col("value").desc(), "j")))  # numbers are in the order of names

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "language_id", "mixing", "near_dedup", "quality", "packing", "fingerprints", "pii", "exact_dedup", "chat", "licenses",
-    "divergence", "centroids",
+    "divergence", "media", "centroids",
 ]
 
 
