@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankwright.functions import text as X
 from rankwright.operators import learned as L
+from rankwright.operators import lexicon as P
 from rankwright.operators import ranking as R
 from rankwright.operators import review as V
 from rankwright.plans.fixtures import fixture, sql
@@ -196,6 +197,61 @@ def lexicon(spark, d):
     items = docs(spark, d).select("doc_id", X.tokens(F.col("text")).alias("tokens"))
     return V.attribute(V.lexicon_scores(items, "doc_id", "tokens", lex), "doc_id").select("doc_id", "mechanism_id", "score")
 
+_PHRASES = [
+    ("license_grant", "software_license_terms", ["license", "mit license", "version 2.0", "released under the"], ["apache license"], [["license", "licence"], ["mit", "apache license", "released under"]]),
+    ("contact", "contact_detail call", ["call", "@", "555"], ["+1 ("], []),
+    ("prose", "the_running_tion", ["of the", "shly", "edly", "in the and"], ["and in the"], [["of the", "de la"]]),
+    ("romance", "lengua_el_los", ["de la", "los", "ción", "los"], ["de los", "que"], [["de la", "que"], ["del", "les", "las"]]),
+    ("never", "the", ["of the"], [], [["no such phrase", " "], ["of the"]]),
+]
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+def _lexicon_sql(entries: str, needs: str) -> str:
+    """Scores by their definition; ``e``: mechanism_id, phrase, shown, weight, need and ``n``: mechanism_id, groups."""
+    stop = ", ".join(map(_QUOTED, P.STOP_WORDS))
+    return f"""WITH e AS ({entries}), n AS ({needs}),
+d AS (SELECT doc_id, lower(text) AS t, list_filter(regexp_extract_all(lower(text), '{P.TOKEN}'), lambda x: len(x) >= 3 AND x NOT IN ({stop})) AS w FROM documents),
+h AS (SELECT doc_id, e.* FROM d JOIN e ON CASE WHEN regexp_matches(phrase, '[^a-z0-9]') THEN contains(t, phrase) ELSE list_contains(w, phrase) END)
+SELECT doc_id, mechanism_id, CAST(sum(weight) AS DOUBLE) AS score, coalesce(string_agg(DISTINCT shown, '|' ORDER BY shown), '') AS matches
+FROM h JOIN n USING (mechanism_id) GROUP BY doc_id, mechanism_id HAVING count(DISTINCT need) = max(groups)"""
+
+
+def _phrase_entries() -> str:
+    rows = []
+    for m, family, keywords, aliases, required in _PHRASES:
+        rows += [(m, k, _QUOTED(k), 3 if " " in k or "." in k else 1, "NULL") for k in keywords] + [(m, a, _QUOTED(a), 4, "NULL") for a in aliases]
+        rows += [(m, t, "NULL", 0.25, "NULL") for t in sorted(set(family.replace("_", " ").split())) if len(t) >= 3 and t not in P.STOP_WORDS]
+        rows += [(m, g, "NULL", 0, i) for i, group in enumerate(required) for g in group if g.strip()]
+    return "SELECT * FROM (VALUES " + ", ".join(f"({_QUOTED(m)}, {_QUOTED(p)}, {s}, {w}, {n})" for m, p, s, w, n in rows) + ") t(mechanism_id, phrase, shown, weight, need)"
+
+
+@query("phrase_lexicon_scores", _lexicon_sql(_phrase_entries(), "SELECT * FROM (VALUES " + ", ".join(f"('{m[0]}', {len(m[4])})" for m in _PHRASES) + ") t(mechanism_id, groups)"))
+def phrase_scores(spark, d):
+    s = P.mechanism_scores(docs(spark, d), "doc_id", "text", P.lexicon_of(spark, _PHRASES))
+    return s.withColumn("matches", F.array_join("matches", "|"))
+
+
+@query("phrase_lexicon_best", "SELECT doc_id, mechanism_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, mechanism_id) AS place FROM (" + SQL["phrase_lexicon_scores"] + ") WHERE score >= 4) WHERE place = 1")
+def phrase_best(spark, d):
+    s = P.mechanism_scores(docs(spark, d), "doc_id", "text", P.lexicon_of(spark, _PHRASES))
+    return P.ranked_mechanisms(s, "doc_id", 4.0).where("place = 1").select("doc_id", "mechanism_id", "score")
+
+
+_WORDS = "string_split(text, ' ')"
+
+
+@query("phrase_lexicon_passages", _lexicon_sql(
+    f"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS m, lower(array_to_string({_WORDS}[1:3], ' ')) AS a, array_to_string({_WORDS}[1:3], ' ') AS a_shown, lower(array_to_string({_WORDS}[4:6], ' ')) AS b, array_to_string({_WORDS}[1:8], ' ') AS c FROM benchmark)
+    SELECT m AS mechanism_id, a AS phrase, a_shown AS shown, 3 AS weight, NULL AS need FROM b UNION ALL SELECT m, lower(c), c, 4, NULL FROM b UNION ALL SELECT m, a, NULL, 0, 0 FROM b UNION ALL SELECT m, b, NULL, 0, 0 FROM b""",
+    "SELECT CAST(item_id AS VARCHAR) AS mechanism_id, 1 AS groups FROM benchmark"))
+def phrase_passages(spark, d):
+    """A lexicon that grows with the data: the beginnings of the benchmark's passages."""
+    words = F.split("text", " ")
+    join = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    lex = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("mechanism_id"), F.lit("").alias("family"), F.array(join(1, 3)).alias("keywords"), F.array(join(1, 8)).alias("aliases"), F.array(F.array(join(1, 3), join(4, 3))).alias("required"))
+    return P.mechanism_scores(docs(spark, d), "doc_id", "text", lex).withColumn("matches", F.array_join("matches", "|"))
+
 
 @query("multiset_difference", "(SELECT o_custkey AS id, 'missing' AS side FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)) UNION ALL (SELECT o_custkey, 'extra' FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1 EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0))")
 def multiset(spark, d):
