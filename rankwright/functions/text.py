@@ -134,18 +134,6 @@ def lines(t: Column) -> Column:
     ).otherwise(parts)
 
 
-def mask_identifiers(t: Column, keep: list[str]) -> Column:
-    """Identifiers but those of the keep list become SYM: one negative look-ahead, no UDF."""
-    words = "|".join(keep)
-    return F.regexp_replace(t, rf"\b(?!(?:{words})\b)[A-Za-z_][A-Za-z0-9_]*", "SYM")
-
-
-def mask_calls(t: Column) -> Column:
-    """Members and calls by their shape: ``.name`` becomes .MEMBER, ``name(`` becomes CALL(."""
-    t = F.regexp_replace(t, r"\.\s*[A-Za-z_][A-Za-z0-9_]*", ".MEMBER")
-    return F.regexp_replace(t, r"\b[A-Za-z_][A-Za-z0-9_]*\s*\(", "CALL(")
-
-
 def is_filled(x: Column) -> Column:
     return x.isNotNull() & ~F.lower(F.trim(x)).isin("", "n/a", "na", "todo", "tbd", "none")
 

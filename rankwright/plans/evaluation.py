@@ -10,7 +10,7 @@ from rankwright.operators import grouping as G
 from rankwright.operators import joins as J
 from rankwright.operators import ranking as R
 from rankwright.operators import spans as P
-from rankwright.plans.fixtures import fixture, sql
+from rankwright.plans.fixtures import BLOCK, fixture, source_file, sql
 from rankwright.session import table
 
 QUERIES, SQL = {}, {}
@@ -157,13 +157,31 @@ def fingerprint(spark, d):
     return G.ordered_digest(table(spark, d, "documents"), "source", "doc_id", "text")
 
 
-@query("function_extraction")
+#: The functions of the source files made from documents: a method for each line, what it runs, and what that holds.
+_FILES = "SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents"
+_CODE = "'" + chr(10).join(BLOCK).replace("'", "''") + "'"
+_HELD = "'" + BLOCK[2].replace("'", "''") + "'"
+
+
+@query("function_extraction", f"""WITH x AS ({_FILES}), f AS (
+SELECT doc_id, concat('f', i) AS symbol, 7 * i - 4 AS a, 7 * i + 1 AS z, replace({_CODE}, '@', CAST(i AS VARCHAR)) AS code FROM x UNION ALL
+SELECT doc_id, unnest(['run', concat('g', i)]), 7 * i - 2, 7 * i - 2, replace({_HELD}, '@', CAST(i AS VARCHAR)) FROM x)
+SELECT doc_id, symbol, 'method_declaration' AS kind, CAST(a AS INTEGER) AS start_line, CAST(z AS INTEGER) AS end_line, sha256(code) AS code FROM f""")
 def functions(spark, d):
-    return code.extract_functions(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    files = table(spark, d, "documents").select("doc_id", source_file(F.col("text")).alias("text"))
+    return code.extract_functions(files, "doc_id", "text").withColumn("code", F.sha2("code", 256))
+
+
+@query("function_extraction_by_language", f"WITH x AS ({_FILES}) SELECT doc_id, concat('f', i) AS symbol, CAST(7 * i - 4 AS INTEGER) AS start_line, CAST(7 * i + 1 AS INTEGER) AS end_line FROM x WHERE doc_id % 3 < 2 UNION ALL SELECT doc_id, concat('f', i), CAST(7 * i - 7 AS INTEGER), CAST(7 * i + 1 AS INTEGER) FROM x WHERE i > 1 AND doc_id % 3 = 0")
+def functions_by_language(spark, d):
+    """In Java a signature may follow other statements of the lines it is joined from: the return before each method begins one too."""
+    path = F.concat(F.lit("src/m"), F.get(F.array(F.lit(".java"), F.lit(".cc"), F.lit(".py")), (F.col("doc_id") % 3).cast("int")))
+    files = table(spark, d, "documents").select("doc_id", source_file(F.col("text")).alias("text"), path.alias("path"))
+    return code.extract_functions(files, "doc_id", "text", "path").select("doc_id", "symbol", "start_line", "end_line")
 
 
 @query("function_extraction_wrapped", "SELECT doc_id, 'f' || CAST(doc_id AS VARCHAR) AS symbol, 1 AS start_line, CAST(length(text) - length(replace(text, chr(10), '')) + 3 AS INTEGER) AS end_line FROM documents")
 def functions_wrapped(spark, d):
     body = F.regexp_replace("text", "[{}\"'/]", "")
     files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("int f"), F.col("doc_id").cast("string"), F.lit("(int x) {\n"), body, F.lit("\n}\n")).alias("text"))
-    return code.extract_functions(files, "doc_id", "text")
+    return code.extract_functions(files, "doc_id", "text").select("doc_id", "symbol", "start_line", "end_line")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankwright.session import table
 
@@ -50,3 +51,17 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sql(*names: str) -> str:
     """The same as a WITH list."""
     return "WITH " + ", ".join(f"{n} AS (SELECT {', '.join(FIXTURES[n][1])} FROM {FIXTURES[n][0]})" for n in names)
+
+
+#: A text as a source file: a function of so many lines for each of its lines, which stands there as a comment; @ is the line's number.
+BLOCK = [
+    "  public static int f@(int a, String b) {", "    if (a > 0) { b = \"}{\"; } /* } */", "    run(new R() { void g@() { x('{'); } });",
+    "    while (a-- > 0) { }", "    return os.path(a, b);", "  }",
+]
+
+
+def source_file(text: Column) -> Column:
+    def block(line: Column, i: Column) -> Column:
+        return F.concat(F.lit("  // "), line, F.lit("\n"), F.replace(F.lit("\n".join(BLOCK)), F.lit("@"), (i + 1).cast("string")))
+
+    return F.concat(F.lit("class T {\n"), F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), block), "\n"), F.lit("\n}\n"))

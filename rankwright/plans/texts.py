@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from rankwright.functions import text as X
 from rankwright.operators import learned as L
 from rankwright.operators import lexicon as P
+from rankwright.operators import masking as M
 from rankwright.operators import ranking as R
 from rankwright.operators import review as V
-from rankwright.plans.fixtures import fixture, sql
+from rankwright.plans.fixtures import fixture, source_file, sql
 from rankwright.session import table
 from rankwright.sources.readers import nested
 from rankwright.streaming import ledger as E
@@ -119,7 +120,32 @@ def masking(spark, d):
 
 @query("keep_list_masking")
 def keep_list(spark, d):
-    return docs(spark, d).select("doc_id", F.sha2(X.mask_calls(X.mask_identifiers(F.col("text"), ["the", "of", "and"])), 256).alias("h"))
+    """Every text as prose and as a source file: members, calls and commands stay."""
+    both = docs(spark, d).select("doc_id", F.explode(F.array("text", source_file(F.col("text")))).alias("t"))
+    return both.select("doc_id", F.sha2(M.mask_api_shape("t"), 256).alias("h"))
+
+
+#: Words with any $ between them, and what lies between words.
+_SEGMENT = r"[\p{L}\p{N}_]+(?:\$+[\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+"
+_KEPT = ", ".join(f"'{w}'" for w in M.KEEP)
+
+
+def _masked(t: str, keep: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({t}, '{_SEGMENT}'), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_$]*') AND {keep} THEN 'ID' ELSE x END), '')"
+
+
+@query("symbol_masking", f"SELECT doc_id, sha256({_masked('text', f'x NOT IN ({_KEPT})')}) AS h FROM documents")
+def symbol_masking(spark, d):
+    return docs(spark, d).select("doc_id", F.sha2(M.mask_symbols(F.col("text")), 256).alias("h"))
+
+
+_MIXED = "regexp_replace(text, ' (t|a)h', ' x_y see CWE-79 http://a.b/c?d a/b.c toDo \\1h', 'g')"
+
+
+@query("query_symbol_masking", "SELECT doc_id, sha256(" + _masked(rf"regexp_replace(regexp_replace(regexp_replace({_MIXED}, 'https?://[^\s]+', 'URL', 'g'), '(?i)\b(?:CVE|CWE)-\d+(?:-\d+)?\b', 'ID', 'g'), '\b(?:[A-Za-z0-9_.+-]+/)+[A-Za-z0-9_.+-]+\b', 'PATH', 'g')", "(regexp_matches(x, '[_0-9$]') OR regexp_matches(x, '[a-z][A-Z]'))") + ") AS h FROM documents")
+def query_symbol_masking(spark, d):
+    t = F.regexp_replace("text", " (t|a)h", " x_y see CWE-79 http://a.b/c?d a/b.c toDo $1h")
+    return docs(spark, d).select("doc_id", F.sha2(M.mask_query_symbols(t), 256).alias("h"))
 
 
 @query("ordered_regex_classifier", "SELECT CASE WHEN regexp_matches(text, '[#$%&*]{3}') THEN 'junk' WHEN regexp_matches(text, '[|]') THEN 'table' WHEN regexp_matches(text, '(?i)license') THEN 'license' ELSE 'unclassified' END AS class, count(*) AS n FROM documents GROUP BY 1")

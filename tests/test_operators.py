@@ -183,5 +183,5 @@ def test_function_extraction():
     from rankwright.operators import code
 
     text = 'int a(int x) {\n  if (x) { /* } */ s("}"); }\n  return 1;\n}\n// int no() {\nvoid b()\n{\n}\n'
-    assert code.functions_in(text) == [("a", 1, 4), ("b", 6, 8)]
+    assert code.functions_of("x.c", text) == [("a", "function", 1, 4), ("b", "function", 6, 8)]
     assert len(code.blank_noise(text)) == len(text) and code.functions_in("") == []

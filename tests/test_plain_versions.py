@@ -1,50 +1,9 @@
 """Queries that SQL cannot express, against plain Python."""
 
-import hashlib
-import re
-
 import pytest
 
-from rankwright.operators import code
 from rankwright.operators import learned as L
-from rankwright.plans import catalog
 from rankwright.sources import readers
-from rankwright.session import table
-
-
-def test_keep_list_masking(spark, sf):
-    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
-    got = {r.doc_id: r.h for r in catalog.queries()["keep_list_masking"](spark, sf).collect()}
-    for i, t in texts.items():
-        t = re.sub(r"\b(?!(?:the|of|and)\b)[A-Za-z_][A-Za-z0-9_]*", "SYM", t)
-        t = re.sub(r"(?a)\.\s*[A-Za-z_][A-Za-z0-9_]*", ".MEMBER", t)
-        t = re.sub(r"\b[A-Za-z_][A-Za-z0-9_]*\s*\(", "CALL(", t)
-        assert got[i] == hashlib.sha256(t.encode()).hexdigest()
-
-
-def test_functions_with_strings_comments_and_nesting(spark):
-    text = """// int ghost(int a) { return 1; }
-int one(int a, char *b) {
-  if (a) { /* } */ b = "}{"; }
-  while (a > 0) { a--; }
-  return '}';
-}
-
-static void two(void (*f)(int)) const {
-  for (;;) { f(1); }
-}
-int open_end(int x) {
-  x = 1;
-"""
-    rows = spark.createDataFrame([(1, text), (2, None), (3, "no code"), (4, "a(b) { if (x) { } }")], "k int, t string")
-    got = sorted((r.k, r.symbol, r.start_line, r.end_line) for r in code.extract_functions(rows, "k", "t").collect())
-    assert got == [(1, "one", 2, 6), (1, "open_end", 11, 12), (1, "two", 8, 10), (4, "a", 1, 1)]
-
-
-def test_function_extraction_reads_the_texts_as_they_are(spark, sf):
-    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
-    got = sorted((r.doc_id, r.symbol, r.start_line, r.end_line) for r in catalog.queries()["function_extraction"](spark, sf).collect())
-    assert got == sorted((i, *f) for i, t in texts.items() for f in code.functions_in(t))
 
 
 def test_pairwise_training_against_gradient_descent(spark):
