@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankwright.operators import code
+from rankwright.operators import grid as grids
 from rankwright.operators import grouping as G
 from rankwright.operators import joins as J
 from rankwright.operators import ranking as R
@@ -94,6 +95,28 @@ def grid(spark, d):
     return s.groupBy("track").agg(F.max("hits").alias("hits"), F.max_by("alpha", F.struct("hits", -F.col("alpha"))).alias("alpha"))
 
 
+_LANES = """WITH x AS (SELECT CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 83 + 1 END AS bm25, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 31) % 67 + 1 END AS embedding,
+CASE WHEN o_orderstatus = 'F' THEN NULL ELSE (o_orderkey * 17) % 41 + 1 END AS residual FROM orders), r AS (SELECT bm25 AS x, embedding AS y, residual AS z, count(*) AS n FROM x GROUP BY ALL),
+t AS (SELECT k, b AS bm25, e AS embedding, k - b - e AS residual FROM (SELECT unnest([1, 10, 40]) AS k), range(0, 41) a(b), range(0, 41) c(e) WHERE b + e <= k),
+s AS (SELECT k, bm25, embedding, residual, CAST(coalesce(sum(n) FILTER (x <= bm25 OR y <= embedding OR z <= residual), 0) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS cases FROM t, r GROUP BY ALL) """
+
+
+def _lanes(spark, d):
+    return table(spark, d, "orders").selectExpr(
+        "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 83 + 1 END AS bm25", "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 31) % 67 + 1 END AS embedding",
+        "CASE WHEN o_orderstatus = 'F' THEN NULL ELSE (o_orderkey * 17) % 41 + 1 END AS residual")
+
+
+@query("lane_budget_sweep", _LANES + "SELECT k, bm25, embedding, residual, hits, cases FROM s")
+def lane_sweep(spark, d):
+    return grids.lane_budget_sweep(_lanes(spark, d), ["bm25", "embedding", "residual"], [1, 10, 40])
+
+
+@query("lane_budget_grid", _LANES + "SELECT k, bm25, embedding, residual, hits, cases FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY hits DESC, residual, embedding DESC, bm25) AS rn FROM s) WHERE rn = 1")
+def lane_grid(spark, d):
+    return grids.select_lane_budgets(_lanes(spark, d), ["bm25", "embedding", "residual"], [1, 10, 40])
+
+
 @query("disjunctive_match_join", sql("anchors", "truth") + """ SELECT anchor_id, min(truth_id) AS truth_id FROM anchors JOIN truth ON file = tfile AND (s = ts OR (ts IS NOT NULL AND te IS NOT NULL AND greatest(s, ts) <= least(e, te))) GROUP BY anchor_id""")
 def disjunctive(spark, d):
     b = fixture(spark, d, "truth").withColumnRenamed("tfile", "file")
