@@ -86,12 +86,19 @@ def _bounds(s: Column, e: Column, dialect: str) -> tuple[Column, Column, Column]
     raise ValueError(dialect)
 
 
-def _swept(cand: DataFrame, truth: DataFrame, file: list[str], dialect: str) -> DataFrame:
-    """Each distinct candidate span with the farthest end of truth that begins in time (_reach), the next beginning (_next), and flags.
+#: Lines of a range: a file is swept range by range, each in a task of its own.
+RANGE = 4096
+
+
+def _swept(cand: DataFrame, truth: DataFrame, file: list[str], dialect: str, following: bool = False) -> DataFrame:
+    """Each distinct candidate span with the farthest end of truth that begins in time (_reach), flags, and with ``following`` the next beginning (_next).
 
     Spans of a file are distinct first, so a file has as many rows as it has
-    different spans however often they repeat, and one sorted pass along the
-    file answers for all: no pairs.
+    different spans however often they repeat. A file is cut into ranges of
+    lines; what a range needs to know of those before and behind it is one
+    bound from each, carried along the ranges of the file. Within a range one
+    sorted pass (and one in reverse for ``following``) answers for all: no
+    pairs, and no file is one task.
     """
     c, t = cand.select(*file, "s", "e").distinct(), truth.select(*file, "ts", "te").distinct()
     for f in file:
@@ -102,11 +109,20 @@ def _swept(cand: DataFrame, truth: DataFrame, file: list[str], dialect: str) ->
     t = t.select(*file, lo.alias("_lo"), hi.alias("_hi"), every.alias("_all"), F.lit(0).alias("_kind"), lo.alias("_at"))
     t = t.where("_all OR _lo <= _hi")
     line = c.unionByName(t, allowMissingColumns=True)
-    along, whole = Window.partitionBy(*file).orderBy("_at", "_kind"), Window.partitionBy(*file)
+    line = line.withColumn("_range", F.coalesce(F.floor(F.col("_at") / RANGE), F.lit(-(1 << 62))))  # a span that meets nothing has no place
     is_truth = (F.col("_kind") == 0) & (F.col("_lo") <= F.col("_hi"))
-    line = line.withColumn("_reach", F.max(F.when(is_truth, F.col("_hi"))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    line = line.withColumn("_next", F.min(F.when(is_truth, F.col("_lo"))).over(along.rowsBetween(1, Window.unboundedFollowing)))
-    line = line.withColumn("_any", F.max(F.when(F.col("_kind") == 0, F.col("_all"))).over(whole))
+    end, begin = F.when(is_truth, F.col("_hi")), F.when(is_truth, F.col("_lo"))
+    ranges = line.groupBy(*file, "_range").agg(F.max(end).alias("_end"), F.min(begin).alias("_begin"), F.max(F.when(F.col("_kind") == 0, F.col("_all"))).alias("_any"))
+    of_file = Window.partitionBy(*file)  # one row for each range of a file
+    before = of_file.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    behind = of_file.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*file, "_range", F.max("_end").over(before).alias("_carried"), F.min("_begin").over(behind).alias("_ahead"), F.max("_any").over(of_file).alias("_any"))
+    line = line.join(ranges, [*file, "_range"])
+    along = Window.partitionBy(*file, "_range")
+    line = line.withColumn("_reach", F.greatest("_carried", F.max(end).over(along.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))))
+    if following:
+        back = along.orderBy(F.col("_at").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        line = line.withColumn("_next", F.least("_ahead", F.min(begin).over(back)))
     line = line.withColumn("_met", F.coalesce((F.col("_lo") <= F.col("_hi")) & (F.col("_reach") >= F.col("_lo")), F.lit(False)))
     return line.where("_kind = 1 AND _any IS NOT NULL")
 
@@ -131,7 +147,7 @@ def overlap_join(cand: DataFrame, truth: DataFrame, file: list[str], dialect: st
 
 def closest_truth(cand: DataFrame, truth: DataFrame, file: list[str]) -> DataFrame:
     """Candidates of files with truth, with ``exact`` (a span overlaps) and ``closest`` (lines to the nearest one, 0 if it overlaps)."""
-    near = _swept(cand, truth, file, "strict")
+    near = _swept(cand, truth, file, "strict", following=True)
     gap = F.when(F.col("_met"), 0).otherwise(F.least(F.col("_lo") - F.col("_reach"), F.col("_next") - F.col("_hi")))
     near = near.select(*_named(file), F.col("_met").alias("exact"), gap.alias("closest"))
     return cand.join(near, _same(file, cand)).drop(*[f"_of_{c}" for c in [*file, "s", "e"]])
@@ -165,6 +181,27 @@ def start_or_overlap(cand: DataFrame, truth: DataFrame, file: str, value: str) -
     return cand.join(both.groupBy(file, "s", "e").agg(F.min(value).alias(value)), [file, "s", "e"])
 
 
+def symbol_or_overlap(cand: DataFrame, truth: DataFrame, file: str, symbol: str, value: str) -> DataFrame:
+    """Candidates with the least ``value`` of the truth of their file that bears the same symbol, blank ones apart, or overlaps them.
+
+    ``truth`` has its symbol under the same name. Decided once for each distinct
+    span and symbol, by an equi-join for each of the two ways; symbols are
+    reduced to one row before they meet.
+    """
+    named = F.coalesce(F.btrim(symbol), F.lit("")) != ""
+    spans = cand.select(file, "s", "e", symbol).distinct()
+    same = truth.where(named).groupBy(file, symbol).agg(F.min(value).alias(value))
+    by_name = spans.where(named).join(same, [file, symbol]).select(file, "s", "e", symbol, value)
+    least = truth.groupBy(file, "ts", "te").agg(F.min(value).alias(value))
+    pairs = span_pairs(spans.select(file, "s", "e").distinct(), least, file).groupBy(file, "s", "e").agg(F.min(value).alias(value))
+    by_span = spans.join(pairs, [file, "s", "e"]).select(file, "s", "e", symbol, value)
+    best = by_name.unionByName(by_span).groupBy(*[F.col(c).alias(f"_of_{c}") for c in (file, "s", "e", symbol)]).agg(F.min(value).alias(value))
+    on = F.lit(True)
+    for c in (file, "s", "e", symbol):
+        on = on & cand[c].eqNullSafe(F.col(f"_of_{c}"))
+    return cand.join(best, on).select(*[cand[c] for c in cand.columns], value)
+
+
 def suffixes(path: Column) -> Column:
     """All whole-component suffixes of a path."""
     parts = F.split(path, "/")

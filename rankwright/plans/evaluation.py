@@ -123,6 +123,16 @@ def disjunctive(spark, d):
     return P.start_or_overlap(fixture(spark, d, "anchors"), b, "file", "truth_id").select("anchor_id", "truth_id")
 
 
+@query("symbol_or_overlap_join", sql("anchors", "truth") + """, a AS (SELECT anchor_id, file, s, e, CASE WHEN pos % 3 = 0 THEN ' ' WHEN pos % 3 = 1 THEN NULL ELSE concat('g', CAST(s % 60 AS VARCHAR)) END AS symbol FROM anchors),
+b AS (SELECT truth_id, tfile, ts, te, CASE WHEN truth_id % 4 = 0 THEN ' ' ELSE concat('g', CAST(truth_id % 60 AS VARCHAR)) END AS symbol FROM truth)
+SELECT anchor_id, min(truth_id) AS truth_id FROM a JOIN b ON file = tfile AND ((trim(a.symbol) <> '' AND a.symbol = b.symbol) OR (ts IS NOT NULL AND te IS NOT NULL AND greatest(s, ts) <= least(e, te))) GROUP BY anchor_id""")
+def symbol_join(spark, d):
+    a = fixture(spark, d, "anchors").withColumn("symbol", F.when(F.col("pos") % 3 == 0, " ").when(F.col("pos") % 3 == 2, F.concat(F.lit("g"), (F.col("s") % 60).cast("string"))))
+    b = fixture(spark, d, "truth").withColumnRenamed("tfile", "file")
+    b = b.withColumn("symbol", F.when(F.col("truth_id") % 4 == 0, " ").otherwise(F.concat(F.lit("g"), (F.col("truth_id") % 60).cast("string"))))
+    return P.symbol_or_overlap(a, b, "file", "symbol", "truth_id").select("anchor_id", "truth_id")
+
+
 @query("labelled_table_lookup", _R + """, u AS (SELECT identity_key, 'left' AS label, left_rank AS r FROM ranks WHERE identity_key % 3 > 0 UNION ALL SELECT identity_key, 'right', right_rank FROM ranks WHERE identity_key % 4 > 0)
 SELECT identity_key, count(*) FILTER (label = 'left') > 0 AS in_left, count(*) FILTER (label = 'right') > 0 AS in_right, count(*) FILTER (r <= 100) AS hits FROM u GROUP BY 1""")
 def labelled(spark, d):

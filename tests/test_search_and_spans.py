@@ -180,3 +180,42 @@ def test_residual_adapter(spark):
         out = [q[r.i][j] + 0.1 * (sum(w2[j][k] * h[k] for k in range(5)) + b2[j]) for j in range(8)]
         norm = math.sqrt(sum(x * x for x in out))
         assert r.v == pytest.approx([x / norm for x in out])
+
+
+@pytest.mark.parametrize("dialect", ["zero", "strict", "wildcard", "repair"])
+def test_sweep_over_many_ranges(spark, lines, dialect, monkeypatch):
+    """Bounds are carried from range to range, whatever the ranges are."""
+    monkeypatch.setattr(P, "RANGE", 16)
+    test_overlap_join(spark, lines, dialect)
+    if dialect == "strict":
+        test_closest_best_and_pairs(spark, lines)
+
+
+def test_sweep_of_one_file_takes_linear_time(spark):
+    """One file of distinct spans: four times as many take about four times as long, not sixteen times."""
+    import time
+
+    spent = []
+    for n in (250_000, 1_000_000):
+        c = spark.range(n, numPartitions=8).selectExpr("'f' AS file", "id * 3 % 900001 * 10 AS s", "id * 3 % 900001 * 10 + id % 4 AS e", "id")
+        t = spark.range(n, numPartitions=8).selectExpr("'f' AS file", "id * 7 % 900007 * 10 + 5 AS ts", "id * 7 % 900007 * 10 + 6 AS te")
+        began = time.perf_counter()
+        assert P.closest_truth(c, t, ["file"]).where("NOT exact").count() == n
+        assert P.overlap_join(c, t, ["file"]).count() == 0
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 8 * spent[0] + 5
+
+
+def test_symbol_or_overlap(spark, lines):
+    cand, truth = ([x for x in rows if None not in x and x[2] <= x[3]] for rows in lines)
+    names = ["a", "b", " ", "", None]
+    cand, truth = [(*x, names[x[0] % 5]) for x in cand], [(*x, names[x[0] % 4]) for x in truth]
+    c = spark.createDataFrame(cand + cand[:3], "id int, file string, s int, e int, symbol string")
+    t = spark.createDataFrame(truth, "tid int, file string, ts int, te int, symbol string")
+    rows = P.symbol_or_overlap(c, t, "file", "symbol", "tid").collect()
+    want = {}
+    for i, f, s, e, name in cand:
+        mine = [k for k, g, a, b, other in truth if f == g and ((name or "").strip() and name == other or max(s, a) <= min(e, b))]
+        if mine:
+            want[i] = min(mine)
+    assert {r.id: r.tid for r in rows} == want and len(rows) == len(want) + sum(x[0] in want for x in cand[:3])
