@@ -14,6 +14,7 @@ from rankwright.operators import review as V
 from rankwright.plans.fixtures import fixture, source_file, sql
 from rankwright.session import table
 from rankwright.sources.readers import nested
+from rankwright.streaming import leases
 from rankwright.streaming import ledger as E
 
 QUERIES, SQL = {}, {}
@@ -311,6 +312,21 @@ def lease_expiry(spark, d):
     return E.expired_leases(fixture(spark, d, "ledger"), "task_id", "at_ts", 3600.0).select("ord", F.round("late", 3).alias("late"))
 
 
+@query("lease_expirations", sql("ledger") + " SELECT task_id, epoch_us(at_ts) + 3600000000 AS expired_at FROM (SELECT task_id, at_ts, coalesce(lead(at_ts) OVER (PARTITION BY task_id ORDER BY at_ts), max(at_ts) OVER ()) AS nxt FROM ledger) WHERE epoch_us(at_ts) + 3600000000 < epoch_us(nxt)")
+def lease_expirations(spark, d):
+    return leases.lease_expirations(fixture(spark, d, "ledger"), "task_id", "at_ts", 3600).select("task_id", F.unix_micros("expired_at").alias("expired_at"))
+
+
+@query("lease_fold")
+def lease_fold(spark, d):
+    """Events as claims, heartbeats and finishes of three tasks a project by two owners; some events are of no project."""
+    e = table(spark, d, "events").select(
+        F.when(F.col("user_id") % 11 > 0, F.col("user_id")).alias("project"), F.concat_ws("/", "user_id", (F.col("event_id") % 3).cast("string")).alias("task"),
+        F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("owner"), F.expr("CASE event_type WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'other' ELSE 'heartbeat' END").alias("kind"),
+        "ts", F.col("event_id").alias("ord"))
+    return leases.fold_leases(e, 86400.0)
+
+
 @query("attempt_sequence", sql("ledger") + " SELECT ord, row_number() OVER (PARTITION BY task_id ORDER BY ord) AS attempt FROM ledger")
 def attempts(spark, d):
     return E.attempt_index(fixture(spark, d, "ledger"), "task_id", "ord").select("ord", "attempt")
