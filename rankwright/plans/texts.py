@@ -363,12 +363,42 @@ def lane_matrix(spark, d):
     return f.select("anchor_id", F.round(F.get("features", F.lit(2)), 9).alias("f3"), F.round(F.get("features", F.lit(16)), 9).alias("f17"))
 
 
+def _pool_sql(top: int) -> str:
+    return sql("anchors") + f""", u AS (SELECT case_id, anchor_id, max(score_a) AS score_a, max(score_b) AS score_b, bool_or(positive) AS positive FROM anchors GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score_a DESC, anchor_id) AS ra, row_number() OVER (PARTITION BY case_id ORDER BY score_b DESC, anchor_id) AS rb FROM u),
+c AS (SELECT * FROM k WHERE positive OR ra <= {top} OR rb <= {top}), o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY substr(sha256(concat('s', chr(0), CAST(case_id AS VARCHAR), chr(0), anchor_id)), 1, 16), anchor_id) AS rt FROM k ANTI JOIN c USING (case_id, anchor_id)),
+pool AS (SELECT case_id, anchor_id, positive FROM c UNION ALL SELECT case_id, anchor_id, positive FROM o WHERE rt <= 1)"""
+
+
+def _pool(spark, d, top):
+    best = [F.max(c).alias(c) for c in ("score_a", "score_b", "disc")]
+    a = fixture(spark, d, "anchors").groupBy("case_id", "anchor_id").agg(*best, F.bool_or("positive").alias("positive"))
+    return a, L.competitor_pool(a, "case_id", "anchor_id", "positive", ["score_a", "score_b"], top, 1, "s")
+
+
+@query("competitor_pool", _pool_sql(1) + " SELECT case_id, anchor_id, positive FROM pool")
+def pool(spark, d):
+    return _pool(spark, d, 1)[1]
+
+
+@query("competitor_pairs", _pool_sql(2) + """, good AS (SELECT case_id, anchor_id AS pos_id, row_number() OVER (PARTITION BY case_id ORDER BY anchor_id) - 1 AS at_pos FROM pool WHERE positive),
+bad AS (SELECT case_id, anchor_id AS neg_id, row_number() OVER (PARTITION BY case_id ORDER BY anchor_id) - 1 AS at_neg, count(*) OVER (PARTITION BY case_id) AS many FROM pool WHERE NOT positive),
+j AS (SELECT *, at_pos * many + at_neg AS pair FROM good JOIN bad USING (case_id)), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY substr(sha256(concat('s', chr(0), CAST(case_id AS VARCHAR), chr(0), CAST(pair AS VARCHAR))), 1, 16), pair) AS rn FROM j)
+SELECT r.case_id, pair, pos_id, neg_id, round(x.score_a - y.score_a, 4) AS d_a, round(x.score_b - y.score_b, 4) AS d_b FROM r JOIN u x ON x.case_id = r.case_id AND x.anchor_id = pos_id JOIN u y ON y.case_id = r.case_id AND y.anchor_id = neg_id WHERE rn <= 3""")
+def competitor_pairs(spark, d):
+    a, pool = _pool(spark, d, 2)
+    pairs = L.sampled_pairs(pool, "case_id", "anchor_id", "positive", 3, "s")
+    diffs = L.pair_differences(pairs, a.withColumn("x", F.array("score_a", "score_b")), "case_id", "anchor_id", "x")
+    return diffs.select("case_id", "pair", "pos_id", "neg_id", F.round(F.get("d", F.lit(0)), 4).alias("d_a"), F.round(F.get("d", F.lit(1)), 4).alias("d_b"))
+
+
 @query("pairwise_router_ranking")
 def router(spark, d):
-    a = fixture(spark, d, "anchors").withColumn("x", F.array(F.col("score_a") / 1e5, F.col("score_b") / 50, F.col("disc") * 10))
-    n = a.where("NOT positive").select("case_id", F.col("x").alias("nx"))
-    diffs = a.where("positive").join(n, "case_id").select(F.zip_with("x", "nx", lambda p, q: p - q).alias("d"))
-    w = L.train_pairwise(diffs, "d", 3, epochs=5)
+    """Trained on at most eight sampled pairs a case."""
+    a, pool = _pool(spark, d, 2)
+    a = a.withColumn("x", F.array(F.col("score_a") / 1e5, F.col("score_b") / 50, F.col("disc") * 10))
+    pairs = L.sampled_pairs(pool, "case_id", "anchor_id", "positive", 8, "s")
+    w = L.train_pairwise(L.pair_differences(pairs, a, "case_id", "anchor_id", "x"), "d", 3, epochs=5)
     r = R.rank(L.score(a, "x", w), ["case_id"], "router_score", "anchor_id")
     return r.groupBy("case_id").agg(F.min(F.when(F.col("positive"), F.col("rn"))).alias("first_rank"))
 
