@@ -8,7 +8,6 @@ those few.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -25,7 +24,6 @@ from rankwright.session import cut, ship, spread
 #: Postings (query, term) or vectors of queries that are broadcast at once: about 16 MB of either.
 BLOCK_POSTINGS = 500_000
 BLOCK_VECTORS = 2048
-_TOKEN = re.compile("[A-Za-z0-9_]+")
 
 
 class Best:
@@ -56,53 +54,88 @@ def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return out
 
 
-class Index:
-    """What a task needs to score documents against a block of queries by BM25."""
+def bm25_index(docs: DataFrame, doc_id: str, text: str, corpus: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written index of a corpus: documents (_doc, _corpus, _len and their terms with counts), document frequencies, sizes.
 
-    def __init__(self, postings: list, stats: dict[str, tuple[float, float]], df: dict[str, dict[str, float]]) -> None:
+    Texts are read for this alone: every block of queries is scored from the
+    index, a row for each document, so that no score has to be shuffled.
+    """
+    ship(docs.sparkSession)
+    kinds = f"_doc {dict(docs.dtypes)[doc_id]}, _corpus string, _len int, terms array<string>, tfs array<int>"
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [Counter(t) for t in b["_t"]]
+            yield pd.DataFrame({"_doc": b["_doc"], "_corpus": b["_corpus"], "_len": b["_t"].map(len).astype("int32"), "terms": [list(c) for c in found], "tfs": [list(c.values()) for c in found]})
+
+    name = F.coalesce(F.col(corpus).cast("string"), F.lit("")) if corpus else F.lit("")
+    rows = spread(docs.select(F.col(doc_id).alias("_doc"), name.alias("_corpus"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
+    index = cut(rows.select("_doc", "_corpus", tokens(F.col("_text")).alias("_t")).mapInPandas(count, kinds), "index")
+    df = index.select("_corpus", F.explode("terms").alias("term")).groupBy("_corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    size = index.groupBy("_corpus").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avgdl"))
+    return index, cut(df, "terms"), size
+
+
+class Block:
+    """A block of queries as arrays: for each of its terms the queries that ask for it, and its weight in each corpus."""
+
+    def __init__(self, postings: list, df: list, size: list) -> None:
         self.queries = sorted({q for q, *_ in postings})
         at = {q: k for k, q in enumerate(self.queries)}
-        by: dict[str, list] = {}
-        for q, term, qf in postings:
-            by.setdefault(term, []).append((at[q], qf))
-        self.terms = {t: (np.array([x for x, _ in p]), np.array([f for _, f in p], dtype=float)) for t, p in by.items()}
-        self.stats = stats
-        self.idf = {c: {t: np.log(1 + (stats[c][0] - n + 0.5) / (n + 0.5)) for t, n in d.items() if t in by} for c, d in df.items()}
-
-    def scores(self, text: str, corpus: str) -> np.ndarray:
-        found = [t.lower() for t in _TOKEN.findall(text)]
-        norm = K1 * ((1 - B) + B * len(found) / self.stats[corpus][1]) if found else 0.0
-        out, idf = np.zeros(len(self.queries)), self.idf.get(corpus, {})
-        for term, f in Counter(t for t in found if t in self.terms).items():
-            at, qf = self.terms[term]
-            out[at] += qf * (idf[term] * f * (K1 + 1) / (f + norm))
-        return out
+        self.terms = pd.Index(sorted({t for _, t, _ in postings}))
+        term = self.terms.get_indexer([t for _, t, _ in postings])
+        order = np.argsort(term, kind="stable")
+        self.asks = np.array([at[q] for q, *_ in postings], dtype=np.int64)[order]
+        self.qf = np.array([f for *_, f in postings], dtype=float)[order]
+        self.many = np.bincount(term, minlength=len(self.terms))
+        self.first = np.cumsum(self.many) - self.many
+        self.avgdl = {r["_corpus"]: r["avgdl"] for r in size}
+        self.idf = {c: np.zeros(len(self.terms)) for c in self.avgdl}
+        n = {r["_corpus"]: r["n"] for r in size}
+        for r in df:
+            self.idf[r["_corpus"]][self.terms.get_loc(r["term"])] = np.log(1 + (n[r["_corpus"]] - r["df"] + 0.5) / (r["df"] + 0.5))
+
+    def scores(self, part: pd.DataFrame, corpus: str) -> np.ndarray:
+        """(documents, queries): every count of a document meets the queries of its term at once."""
+        width = part["terms"].map(len).to_numpy()
+        doc, tf = np.repeat(np.arange(len(part)), width), np.concatenate([np.zeros(0), *part["tfs"]])
+        term = self.terms.get_indexer(np.concatenate([np.zeros(0, object), *part["terms"]]))
+        doc, tf, term = doc[term >= 0], tf[term >= 0], term[term >= 0]
+        norm = K1 * ((1 - B) + B * part["_len"].to_numpy() / (self.avgdl[corpus] or 1.0))
+        weight = self.idf[corpus][term] * tf * (K1 + 1) / (tf + norm[doc])
+        many = self.many[term]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        ask = np.repeat(self.first[term], many) + within
+        at = np.repeat(doc, many) * len(self.queries) + self.asks[ask]
+        return np.bincount(at, weights=np.repeat(weight, many) * self.qf[ask], minlength=len(part) * len(self.queries)).reshape(len(part), -1)
+
+
+#: Scores that a task holds at once.
+CELLS = 1 << 20
 
 
 def _bm25_scan(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, text: str, corpus: str | None, each: Callable[[DataFrame, object], DataFrame]) -> list[DataFrame]:
-    """``each`` over every block's index: (documents with _doc, _text and _corpus, the broadcast index)."""
+    """``each`` over every block: (the index's documents, the broadcast block)."""
     spark = docs.sparkSession
-    ship(spark)
     q = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("term"))
     q = cut(q.groupBy(query_id, "term").agg(F.count(F.lit(1)).cast("double").alias("qf")), "queries")
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), (F.coalesce(F.col(corpus).cast("string"), F.lit("")) if corpus else F.lit("")).alias("_corpus"))
-    rows, out = spread(rows), []
+    index, df, size = bm25_index(docs, doc_id, text, corpus)
+    size, out = size.collect(), []  # a row for each corpus
     for block in _blocks(q, query_id, BLOCK_POSTINGS):
-        asked = spark.createDataFrame([(t,) for t in {r.term for r in block} | {""}], "term string")  # at most a block's terms
-        toks = rows.select("_corpus", tokens(F.col("_text")).alias("_t"))
-        # the empty term stands for the document itself: one scan counts documents, lengths and document frequencies
-        each_term = toks.select("_corpus", F.size("_t").alias("_n"), F.explode(F.array_union(F.array(F.lit("")), F.col("_t"))).alias("term"))
-        counts = each_term.join(F.broadcast(asked), "term").groupBy("_corpus", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("_n").alias("len"))
-        stats, df = {}, {}
-        for r in counts.collect():  # a row for each corpus and term of the block
-            if r.term:
-                df.setdefault(r._corpus, {})[r.term] = float(r.df)
-            else:
-                stats[r._corpus] = (float(r.df), r.len / r.df)
-        out.append(each(rows, spark.sparkContext.broadcast(Index([tuple(r) for r in block], stats, df))))
+        asked = spark.createDataFrame([(t,) for t in {r.term for r in block}], "term string")  # at most a block's terms
+        known = df.join(F.broadcast(asked), "term").collect()  # a row for each corpus and term of the block
+        out.append(each(index, spark.sparkContext.broadcast(Block([tuple(r) for r in block], known, size))))
     return out
 
 
+def _parts(batch: pd.DataFrame, queries: int) -> Iterator[tuple[str, pd.DataFrame]]:
+    """Rows of one corpus, a bounded number of scores at a time."""
+    step = max(1, CELLS // max(1, queries))
+    for c, part in batch.groupby("_corpus", sort=False):
+        for at in range(0, len(part), step):
+            yield c, part.iloc[at : at + step]
+
+
 def bm25_top_k(queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, text: str, k: int, corpus: str | None = None) -> DataFrame:
     """The k best documents of every query (of every query and corpus): query_id, doc_id, [corpus], score, rn. Ties go to the smaller doc_id.
 
@@ -116,13 +149,11 @@ def bm25_top_k(queries: DataFrame, query_id: str, query_text: str, docs: DataFra
             index, best = shared.value, {}
             names = np.array(index.queries)
             for batch in batches:
-                for c, part in batch.groupby("_corpus", sort=False):
-                    for at in range(0, len(part), 512):
-                        some = part.iloc[at : at + 512]
-                        s = np.stack([index.scores(t, c) for t in some["_text"]])
-                        keep = best.setdefault(c, Best(len(names), k))
-                        i, j = keep.take(np.where(s > 0, np.round(s, R.SCORE_DIGITS), -np.inf))
-                        yield pd.DataFrame({query_id: names[j], doc_id: some["_doc"].to_numpy()[i], "_corpus": c, "score": s[i, j]})
+                for c, some in _parts(batch, len(names)):
+                    s = index.scores(some, c)
+                    keep = best.setdefault(c, Best(len(names), k))
+                    i, j = keep.take(np.where(s > 0, np.round(s, R.SCORE_DIGITS), -np.inf))
+                    yield pd.DataFrame({query_id: names[j], doc_id: some["_doc"].to_numpy()[i], "_corpus": c, "score": s[i, j]})
 
         return rows.mapInPandas(run, kinds)
 
@@ -141,8 +172,8 @@ def bm25_scored(queries: DataFrame, query_id: str, query_text: str, docs: DataFr
             index = shared.value
             n = np.zeros(len(index.queries), dtype=np.int64)
             for batch in batches:
-                for t, c in zip(batch["_text"], batch["_corpus"]):
-                    n += index.scores(t, c) != 0
+                for c, some in _parts(batch, len(index.queries)):
+                    n += (index.scores(some, c) != 0).sum(axis=0)
             yield pd.DataFrame({query_id: index.queries, "scored": n})
 
         return rows.mapInPandas(run, kinds)
