@@ -36,7 +36,7 @@ def strip_dots(p: Column) -> Column:
 
 def strip_root(p: Column, root: str) -> Column:
     p = F.regexp_replace(normalize_path(p), "^file://", "")
-    return F.when(F.startswith(p, F.lit(f"{root}/")), F.substring(p, len(root) + 2, 1 << 20)).otherwise(p)
+    return F.when(F.startswith(p, F.lit(f"{root}/")), F.substr(p, F.lit(len(root) + 2))).otherwise(p)
 
 
 def safe_int(x: Column) -> Column:
@@ -108,6 +108,32 @@ def canonical_hash(**fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
 
 
+def log_loss(score: Column, positive: Column) -> Column:
+    """-log of the sigmoid of the score, or of its complement: stable on both sides."""
+    z = F.when(positive, score).otherwise(-score)
+    return F.log1p(F.exp(-F.abs(z))) + F.greatest(-z, F.lit(0.0))
+
+
+def vulnerability_ids(*texts: Column) -> Column:
+    """Distinct CVE and GHSA ids of several texts, upper-cased and sorted; null texts hold none."""
+    pattern = F.lit(r"(?i)\b(CVE-\d{4}-\d{4,}|GHSA(?:-[0-9a-z]{4}){3})\b")
+    found = F.flatten(F.array(*[F.coalesce(F.regexp_extract_all(t, pattern, F.lit(1)), F.array().cast("array<string>")) for t in texts]))
+    return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
+
+
+def cwe_numbers(*texts: Column) -> Column:
+    """Distinct CWE ids of several texts by number."""
+    found = F.flatten(F.array(*[F.coalesce(F.regexp_extract_all(F.upper(t), F.lit(r"CWE[-_ ]?0*(\d+)"), F.lit(1)), F.array().cast("array<string>")) for t in texts]))
+    return F.transform(F.array_sort(F.array_distinct(F.transform(found, lambda n: n.cast("long")))), lambda n: F.concat(F.lit("CWE-"), n.cast("string")))
+
+
+def evidence_preview(t: Column, words: list[str], most: int = 3, limit: int = 600) -> Column:
+    """The first sentences with one of the words; sentences end in Latin or CJK marks before a blank."""
+    parts = F.split(t, r"(?<=[.!?。！？])\s+")
+    kept = F.filter(parts, lambda s: F.lower(s).rlike("|".join(words)))
+    return F.substring(F.array_join(F.slice(kept, 1, most), " "), 1, limit)
+
+
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
@@ -121,9 +147,19 @@ def candidate_text(symbol: Column, file: Column, start: Column, end: Column, bod
     return F.substring(F.concat_ws("\n", head, F.concat(F.lit("symbol: "), symbol), body), 1, limit)
 
 
-def numbered_snippet(text: Column, start: Column, end: Column) -> Column:
+def numbered_snippet(text: Column, start: Column, end: Column, limit: int = 0) -> Column:
+    """Lines with their numbers; with a limit, no more code points than that."""
     part = F.slice(lines(text), start, F.greatest(end - start + 1, F.lit(0)))
-    return F.array_join(F.transform(part, lambda x, i: F.concat_ws(": ", (i + start).cast("string"), x)), "\n")
+    out = F.array_join(F.transform(part, lambda x, i: F.concat_ws(": ", (i + start).cast("string"), x)), "\n")
+    return F.substring(out, 1, limit) if limit > 0 else out
+
+
+def stays_below(path: Column) -> Column:
+    """Whether a relative path stays below its root however its dots are followed."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", "."))
+    depth = F.aggregate(parts, F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda a, x: F.struct(
+        (a["now"] + F.when(x == "..", -1).otherwise(1)).alias("now"), F.least(a["least"], a["now"] + F.when(x == "..", -1).otherwise(1)).alias("least")))
+    return ~path.rlike(r"^([/\\\\]|[A-Za-z]:)") & (depth["least"] >= 0)
 
 
 def lines(t: Column) -> Column:

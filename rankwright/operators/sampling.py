@@ -13,11 +13,20 @@ def seeded_hash(seed: str, *parts: str) -> Column:
 
 
 def stratified(df: DataFrame, stratum: str, key: str, seed: str, total: int) -> DataFrame:
-    """Proportional targets (half to even, at least one a stratum), filled in seeded hash order."""
+    """Proportional targets that sum to ``total``, or to all rows if there are fewer, filled in seeded hash order.
+
+    Running totals of the strata, by name, are rounded half to even; a
+    stratum's target is the step of the rounded ones, so the last takes the
+    rest and none is asked for more than it has.
+    """
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    n = n.withColumn("_t", F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.lit(total) * F.col("_n") / F.sum("_n").over(Window.partitionBy()), 0).cast("long"))))
+    everything, so_far = F.sum("_n").over(Window.partitionBy()), F.sum("_n").over(Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, 0))  # a row for each stratum
+    upto = lambda c: F.bround(F.least(F.lit(total), everything) * c / everything, 0).cast("long")
+    n = n.select(stratum, "_n", (upto(so_far) - upto(so_far - F.col("_n"))).alias("_t"))
     w = Window.partitionBy(stratum).orderBy(seeded_hash(seed, key), key)
-    return df.withColumn("_rn", F.row_number().over(w)).join(n, stratum).where("_rn <= _t").drop("_rn", "_n", "_t")
+    ranked = df.withColumn("_rn", F.row_number().over(w)).withColumnRenamed(stratum, "_s")
+    ranked = ranked.join(F.broadcast(n), F.col("_s").eqNullSafe(n[stratum])).where("_rn <= _t")
+    return ranked.select(*[F.col("_s").alias(c) if c == stratum else c for c in df.columns])
 
 
 def round_robin(df: DataFrame, bucket: str, key: str, n: int) -> DataFrame:

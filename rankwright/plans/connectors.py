@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankwright.operators import ranking as R
 from rankwright.operators import retrieval as V
+from rankwright.sources import connectors as links
 from rankwright.sources import readers, sinks
 from rankwright.session import shared_folder, table
 
@@ -60,9 +61,12 @@ def jsonl_order(spark, d):
     return a.join(readers.read_jsonl_numbered(spark, path, "c_custkey long").select("c_custkey", "line_no"), "c_custkey")
 
 
-@query("jsonl_missing_file", "SELECT c_custkey, c_name FROM customer WHERE false")
+@query("jsonl_missing_file", "SELECT c_custkey, c_name FROM customer")
 def jsonl_missing(spark, d):
-    return readers.read_jsonl(spark, place(spark, "none"), "c_custkey long, c_name string", missing_ok=True).drop("ord")
+    """A file that is there beside one that is not, which adds no row."""
+    sinks.write_jsonl(customers(spark, d).select("c_custkey", "c_name"), path := place(spark, "there"))
+    both = [readers.read_jsonl(spark, p, "c_custkey long, c_name string", missing_ok=True).drop("ord") for p in (path, place(spark, "none"))]
+    return both[0].unionByName(both[1])
 
 
 @query("strict_json_rows", "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'repeated key' WHEN 2 THEN 'NaN' WHEN 3 THEN 'not an object' ELSE 'blank' END AS reason, count(*) AS n FROM supplier GROUP BY 1")
@@ -213,6 +217,19 @@ def lookup(spark, d):
     return readers.cached_lookup(c.select("c_custkey"), cache, "c_custkey", "value", lambda keys: [None if k % 3 == 0 else f"v{k}" for k in keys])
 
 
+@query("ordered_source_lookup", """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN 'a' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 2 = 0 AND c_custkey % 5 < 3 THEN 'b' || CAST(c_custkey AS VARCHAR) END AS value,
+CASE WHEN c_custkey % 7 = 0 THEN 'cache:seed' WHEN c_custkey % 3 = 0 THEN 'first' WHEN c_custkey % 2 = 0 AND c_custkey % 5 < 3 THEN 'second' ELSE 'unresolved' END AS origin,
+CASE WHEN c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 1 THEN 1 ELSE 2 END AS attempts FROM customer""")
+def ordered_lookup(spark, d):
+    """Two sources in turn over every customer that the cache does not answer; the second takes even keys alone."""
+    c = table(spark, d, "customer")
+    cache = c.where("c_custkey % 7 < 2").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.col("c_name")).alias("value"), F.lit("seed").alias("origin"))
+    reply = lambda name, has: lambda keys: [{"index": i, "value": f"{name}{k}" if has(k) else None} for i, k in reversed(list(enumerate(keys)))]
+    sources = [links.Source("first", reply("a", lambda k: k % 3 == 0)), links.Source("second", reply("b", lambda k: k % 5 < 3), lambda k: k % 2 == 0)]
+    found = links.lookup(c.select("c_custkey"), cache, "c_custkey", "value", sources)
+    return found.withColumn("attempts", F.size("attempts"))
+
+
 @query("query_catalog", "SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'lang=even' ELSE 'lang=odd' END AS language, 'id-' || CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'problem' END AS kind, CASE WHEN n_nationkey % 3 = 1 THEN '079' ELSE '022,079' END AS tags FROM nation WHERE n_nationkey % 3 > 0")
 def catalog(spark, d):
     k = F.col("n_nationkey").cast("string")

@@ -59,11 +59,11 @@ def precedence(spark, d):
     return J.precedence(c, rules, "missing_input").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("full_outer_backlog", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS judged, coalesce(b.n, 0) AS aligned FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48 GROUP BY 1) a FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48 GROUP BY 1) b ON a.k = b.k")
+@query("full_outer_backlog", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS judged, coalesce(b.n, 0) AS aligned FROM (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a FULL JOIN (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) b ON a.k = b.k")
 def full_outer(spark, d):
-    li = t(spark, d, "lineitem").where("l_quantity > 48").withColumnRenamed("l_suppkey", "k")
-    side = lambda f, n: li.where(F.col("l_returnflag") == f).groupBy("k").agg(F.count(F.lit(1)).alias(n))
-    return side("R", "judged").join(side("A", "aligned"), "k", "full_outer").fillna(0)
+    li = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "k")
+    side = lambda f, n: li.where(f).groupBy("k").agg(F.count(F.lit(1)).alias(n))
+    return side("l_returnflag = 'R'", "judged").join(side("l_returnflag <> 'R'", "aligned"), "k", "full_outer").fillna(0)
 
 
 @query("fallback_key_join", """WITH x AS (SELECT s_suppkey, s_nationkey, s_suppkey * 3 AS k1, s_nationkey AS k2 FROM supplier), c AS (SELECT c_custkey, c_nationkey, c_name FROM customer)
@@ -81,9 +81,9 @@ def source_chain(spark, d):
 
 
 @query("exploded_key_ambiguity", """SELECT k, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS matches, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN min(l_suppkey) END AS l_suppkey, CASE count(DISTINCT l_suppkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status
-FROM (SELECT p_partkey AS k FROM part) LEFT JOIN (SELECT l_partkey AS k, l_suppkey FROM lineitem WHERE l_quantity > 47) USING (k) GROUP BY k""")
+FROM (SELECT p_partkey AS k FROM part) LEFT JOIN (SELECT l_orderkey AS k, l_suppkey FROM lineitem) USING (k) GROUP BY k""")
 def ambiguity(spark, d):
-    li = t(spark, d, "lineitem").where("l_quantity > 47").select(F.col("l_partkey").alias("k"), "l_suppkey")
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_suppkey")
     return J.ambiguity(t(spark, d, "part").select(F.col("p_partkey").alias("k")), li, ["k"], "k", "l_suppkey")
 
 
@@ -284,7 +284,8 @@ def bucket_limit(spark, d):
     return G.per_bucket_limit(t(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"], 20).select("l_orderkey", "l_linenumber", "l_suppkey")
 
 
-@query("stratified_hash_sample", """WITH n AS (SELECT c_mktsegment AS s, greatest(1, least(count(*), CAST(round_even(200 * count(*) / (SELECT count(*) FROM customer), 0) AS BIGINT))) AS t FROM customer GROUP BY 1),
+@query("stratified_hash_sample", """WITH c AS (SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1), u AS (SELECT s, n, sum(n) OVER (ORDER BY s) AS upto, sum(n) OVER () AS everything FROM c),
+n AS (SELECT s, CAST(round_even(least(200, everything) * upto / everything, 0) - round_even(least(200, everything) * (upto - n) / everything, 0) AS BIGINT) AS t FROM u),
 r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(concat('seed7', chr(0), CAST(c_custkey AS VARCHAR))), c_custkey) AS rn FROM customer) SELECT c_custkey, c_mktsegment FROM r JOIN n ON s = c_mktsegment WHERE rn <= t""")
 def stratified(spark, d):
     return S.stratified(t(spark, d, "customer"), "c_mktsegment", "c_custkey", "seed7", 200).select("c_custkey", "c_mktsegment")

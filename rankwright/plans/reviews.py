@@ -373,17 +373,17 @@ def composite_keys(spark, d):
     return b.select("b_id", P.scoped_key(scope, ["cluster", "mechanism", "boundary"], parts).alias("key"), P.boundary_of(F.col("file")).alias("boundary"))
 
 
-@query("pending_mechanisms", r"""WITH t AS (SELECT source, lower(t) AS w, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS t FROM documents WHERE source IS NOT NULL) GROUP BY ALL),
+@query("pending_mechanisms", r"""WITH t AS (SELECT source, lower(t) AS w, count(*) AS n FROM (SELECT coalesce(source, 'none') AS source, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS t FROM documents) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS rn FROM t) SELECT concat('pending_mech_cluster_', lower(source)) AS mechanism_id, string_agg(w, ',' ORDER BY rn) AS keywords FROM r WHERE rn <= 12 GROUP BY source""")
 def pending(spark, d):
-    docs = table(spark, d, "documents").where("source IS NOT NULL").select("source", F.explode(X.tokens(F.col("text"))).alias("w"))
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.explode(X.tokens(F.col("text"))).alias("w"))
     p = P.pending_mechanisms(docs, "source", "w", 12)
     return p.select("mechanism_id", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("split_proposals", "SELECT c_custkey, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 1 THEN 'Split ' || c_mktsegment || '.' ELSE 'Merge ' || c_name END AS candidate FROM customer, (VALUES (1), (3)) p(pos) WHERE c_custkey % 4 = 0 AND (pos = 3 OR c_acctbal > 0)")
+@query("split_proposals", "SELECT c_custkey, CAST(pos AS INTEGER) AS pos, CASE pos WHEN 1 THEN 'Split ' || c_mktsegment || '.' ELSE 'Merge ' || c_name END AS candidate FROM customer, (VALUES (1), (3)) p(pos) WHERE pos = 3 OR c_acctbal > 0")
 def proposals(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 4 = 0")
+    c = table(spark, d, "customer")
     one = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("Split "), "c_mktsegment", F.lit(". Then the rest")))
     c = c.withColumn("suggestions", F.array(one, F.lit("  "), F.concat(F.lit(" Merge "), "c_name")))
     return P.proposals(c, "c_custkey", "suggestions").select("c_custkey", "pos", "candidate")

@@ -114,6 +114,19 @@ def sigmoid(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(X.sigmoid(F.col("s_acctbal") / 3000), 9).alias("p"))
 
 
+@query("log_loss", "SELECT s_suppkey, round(-ln(1 / (1 + exp(CASE WHEN s_nationkey % 2 = 0 THEN -s_acctbal ELSE s_acctbal END / 3000))), 9) AS loss FROM supplier")
+def log_loss(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", F.round(X.log_loss(F.col("s_acctbal") / 3000, F.col("s_nationkey") % 2 == 0), 9).alias("loss"))
+
+
+@query("vulnerability_harvest", "SELECT doc_id, 'CVE-2024-' || CAST(10000 + doc_id AS VARCHAR) || ',GHSA-AB12-CD34-' || lpad(CAST(doc_id % 9973 AS VARCHAR), 4, '0') AS ids FROM documents")
+def harvest(spark, d):
+    """From the text and what is told of it: ids in any case, repeated, and one that is none."""
+    a = F.concat(F.lit("see cve-2024-"), (F.col("doc_id") + 10000).cast("string"), F.lit(", CVE-1-2 and "), F.coalesce("text", F.lit("")))
+    b = F.concat(F.lit("https://x.y/Ghsa-ab12-CD34-"), F.lpad((F.col("doc_id") % 9973).cast("string"), 4, "0"), F.lit("#CVE-2024-"), (F.col("doc_id") + 10000).cast("string"))
+    return docs(spark, d).select("doc_id", F.array_join(X.vulnerability_ids(a, b, F.lit(None).cast("string")), ",").alias("ids"))
+
+
 @query("identifier_masking", r"SELECT doc_id, sha256(regexp_replace(text, '\.\s*[A-Za-z_][A-Za-z0-9_]*', '.MEMBER', 'g')) AS h FROM documents")
 def masking(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(F.regexp_replace("text", r"\.\s*[A-Za-z_][A-Za-z0-9_]*", ".MEMBER"), 256).alias("h"))
@@ -343,10 +356,10 @@ def token_totals(spark, d):
     return E.token_totals(table(spark, d, "events"), "user_id", "value").withColumn("tokens", F.round("tokens", 4))
 
 
-@query("terminal_state_markers", "SELECT user_id, coalesce(arg_min(m, p) FILTER (p > 0), 'unfinished') AS state FROM (SELECT user_id, m, list_position(['done', 'failed', 'timeout', 'skipped'], m) AS p FROM (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'log' END AS m FROM events WHERE value > 95)) GROUP BY 1")
+@query("terminal_state_markers", "SELECT user_id, coalesce(arg_min(m, p) FILTER (p > 0), 'unfinished') AS state FROM (SELECT user_id, m, list_position(['done', 'failed', 'timeout', 'skipped'], m) AS p FROM (SELECT user_id, CASE WHEN value <= 95 THEN 'log' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'failed' ELSE 'log' END AS m FROM events)) GROUP BY 1")
 def markers(spark, d):
-    m = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("log")
-    return E.terminal_state(table(spark, d, "events").where("value > 95").withColumn("m", m), "user_id", "m")
+    m = F.when(F.col("value") <= 95, "log").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("log")
+    return E.terminal_state(table(spark, d, "events").withColumn("m", m), "user_id", "m")
 
 
 @query("event_time_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -267,7 +267,7 @@ def query_catalog(spark: SparkSession, root: str, suffix: str, fields: dict[str,
 
     A file without a tag is no entry; ``require`` and ``exclude`` are parts of a path.
     """
-    files = source_tree(spark, root, [suffix], 1 << 24)
+    files = source_tree(spark, root, [suffix], 1 << 62)
     rest = F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     tags = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(tag), F.lit(1))))
     out = files.select("path", F.get(F.split(rest, "/"), F.lit(0)).alias("language"), *[F.nullif(F.regexp_extract("text", p, 1), F.lit("")).alias(k) for k, p in fields.items()], tags.alias("tags"))

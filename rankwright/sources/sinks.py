@@ -67,14 +67,23 @@ def verify_manifest(expected: DataFrame, found: DataFrame) -> DataFrame:
     return j.select("path", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def _small(summary: DataFrame, limit: int) -> list:
+    """All rows of a summary; more than ``limit`` are an error, never a shorter report."""
+    rows = summary.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the summary has more than {limit} rows: aggregate it further, raise the limit, or write it as a table")
+    return rows
+
+
 def json_document(summary: DataFrame, limit: int = 1000) -> str:
-    """A small summary as one document with sorted keys."""
-    rows = [r.asDict(recursive=True) for r in summary.limit(limit).collect()]
+    """A summary of at most ``limit`` rows as one document with sorted keys."""
+    rows = [r.asDict(recursive=True) for r in _small(summary, limit)]
     return json.dumps(rows, sort_keys=True, indent=2, default=str) + "\n"
 
 
 def markdown(summary: DataFrame, title: str, limit: int = 200) -> str:
-    rows = summary.limit(limit).collect()
+    """A summary of at most ``limit`` rows as a table."""
+    rows = _small(summary, limit)
     head = summary.columns
     body = ["| " + " | ".join("n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
     return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *body, ""])

@@ -185,3 +185,39 @@ def test_function_extraction():
     text = 'int a(int x) {\n  if (x) { /* } */ s("}"); }\n  return 1;\n}\n// int no() {\nvoid b()\n{\n}\n'
     assert code.functions_of("x.c", text) == [("a", "function", 1, 4), ("b", "function", 6, 8)]
     assert len(code.blank_noise(text)) == len(text) and code.functions_in("") == []
+
+
+def test_small_scalars(spark):
+    from rankwright.functions import text as X
+
+    rows = [("a/../b", "CWE-79 cwe_0022 CWE-79", "One. Risk here! 风险 risk。 Next risk? And risk. Last risk.", 800.0), ("../x", None, None, -800.0), ("/etc", "none", "", 0.0), ("a/b/../../..", "x", "no", 1.0), ("c:\\x", "x", "no", -2.0), ("./a\\..\\b", "x", "no", 3.0)]
+    df = spark.createDataFrame(rows, "p string, c string, t string, s double")
+    got = df.select(X.stays_below(df.p).alias("below"), X.cwe_numbers(df.c, df.c).alias("cwe"), X.evidence_preview(df.t, ["risk"]).alias("e"), X.log_loss(df.s, F.lit(True)).alias("l")).collect()
+    assert [r.below for r in got] == [True, False, False, False, False, True]
+    assert got[0].cwe == ["CWE-22", "CWE-79"] and got[1].cwe == []
+    assert got[0].e == "Risk here! 风险 risk。 Next risk?" and got[2].e == "" and got[1].e is None
+    assert got[0].l == 0.0 and got[1].l == 800.0 and abs(got[2].l - 0.6931471805599453) < 1e-15
+    ids = df.select(X.vulnerability_ids(F.lit("x CVE-2020-12345, ghsa-aaaa-bbbb-cccc"), F.lit("cve-2020-12345 CVE-20-1"), F.lit(None).cast("string")).alias("i")).first().i
+    assert ids == ["CVE-2020-12345", "GHSA-AAAA-BBBB-CCCC"]
+    assert df.limit(1).select(X.numbered_snippet(F.lit("a\nbb\nccc"), F.lit(2), F.lit(3), 7).alias("x")).first().x == "2: bb\n3"
+
+
+def test_summaries_are_never_cut(spark):
+    from rankwright.sources import sinks
+
+    df = spark.range(11)
+    assert sinks.json_document(df, 11).count("id") == 11
+    for report in (lambda: sinks.json_document(df, 10), lambda: sinks.markdown(df, "t", 10)):
+        with pytest.raises(ValueError, match="more than 10 rows"):
+            report()
+
+
+@pytest.mark.parametrize("total", [0, 1, 7, 10, 23, 40, 99])
+def test_stratified_totals(spark, total):
+    from rankwright.operators import sampling as S
+
+    rows = [(i, "a") for i in range(20)] + [(i, "b") for i in range(20, 37)] + [(i, None) for i in range(37, 40)]
+    got = S.stratified(spark.createDataFrame(rows, "k int, s string"), "s", "k", "seed", total).collect()
+    assert len(got) == min(total, 40) == len({r.k for r in got})
+    for s, n in (("a", 20), ("b", 17), (None, 3)):
+        assert abs(sum(r.s == s for r in got) - min(total, 40) * n / 40) < 1.0001
