@@ -62,11 +62,11 @@ def targets(sources: DataFrame) -> DataFrame:
     sources = sources.withColumn("_w", w.cast("long")).withColumn("_cap", CAP * F.col("source_size"))
     order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(0, Window.unboundedFollowing)
     all_rows = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = SHARE * F.sum("source_size").over(all_rows)
     left = total - F.coalesce(F.sum("_cap").over(before), F.lit(0))
-    sources = sources.withColumn("_full", F.col("_cap") * F.sum("_w").over(rest) <= F.col("_w") * left)
+    rest = F.sum("_w").over(all_rows) - F.coalesce(F.sum("_w").over(before), F.lit(0))  # a total less a prefix: linear in the sources
+    sources = sources.withColumn("_full", F.col("_cap") * rest <= F.col("_w") * left)
     spent = F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(all_rows), F.lit(0))
     level = (total - spent) / F.sum(F.when(~F.col("_full"), F.col("_w"))).over(all_rows)
     return sources.withColumn(
@@ -74,30 +74,27 @@ def targets(sources: DataFrame) -> DataFrame:
     ).drop("_w", "_cap", "_full")
 
 
-def tilt(slim: DataFrame, sources: DataFrame, bounded: bool, total: int) -> DataFrame:
-    """Add ``lambda`` and ``rate`` to ``sources``: Newton on the dual over the documents ``slim``, started from no tilt.
+def tilt(sources: DataFrame) -> DataFrame:
+    """Add ``lambda`` and ``rate`` to ``sources`` (source_size, target): Newton on the dual, started from no tilt.
 
-    With the tilted tokens ``m = sum(size * exp(lambda))`` of a source the
-    gradient is ``m - target`` and the Hessian ``m``. Sources without words or
-    target have no constraint and rate 0.
+    With the tilted tokens ``m = source_size * exp(lambda)`` the gradient is
+    ``m - target`` and the Hessian ``m``. Sources without words or target have
+    no constraint and rate 0.
     """
-    open_ = (F.col("source_size") > 0) & (F.col("target") > 0)
-    state = cut(sources.withColumn("lambda", F.when(open_, F.lit(0.0))), "dual")
-    for _ in range(NEWTON_STEPS):
-        now = state.where("lambda IS NOT NULL").select("source", "lambda", "_rows")
-        rows = _meet(slim.select("source", "size"), now, ["lambda"], bounded, total)
-        sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.exp("lambda")).alias("_m")).withColumnRenamed("source", "_s")
-        step = state.join(F.broadcast(sums) if bounded else sums, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        step = step.withColumn("_off", F.abs(F.col("_m") / F.col("target") - 1)).withColumn("lambda", F.col("lambda") - 1 + F.col("target") / F.col("_m"))
-        state = cut(step.drop("_m"), "dual")
-        worst = state.agg(F.max("_off")).first()[0]
-        state = state.drop("_off")
-        if worst is None or worst <= TOLERANCE:
-            break
-    else:
-        raise ArithmeticError(f"constraints are off by {worst} after {NEWTON_STEPS} steps")
-    # the order in which tasks' sums meet shows in the last digits alone: reruns agree
-    return state.withColumn("lambda", F.round("lambda", 12)).withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
+    size, target = F.col("source_size").cast("double"), F.col("target")
+    open_ = (F.col("source_size") > 0) & (target > 0)
+
+    def step(a: Column, _: Column) -> Column:
+        m = size * F.exp(a["lambda"])
+        met = a["off"] <= TOLERANCE
+        return F.struct(F.when(met, a["lambda"]).otherwise(a["lambda"] - 1 + target / m).alias("lambda"), F.when(met, a["off"]).otherwise(F.abs(m / target - 1)).alias("off"))
+
+    start = F.struct(F.lit(0.0).alias("lambda"), F.lit(float("inf")).alias("off"))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)
+    state = sources.withColumn("_x", F.when(open_, solved))
+    failed = F.raise_error(F.concat(F.lit("a constraint is off by "), F.col("_x.off").cast("string"), F.lit(f" after {NEWTON_STEPS} steps"))).cast("double")
+    state = state.withColumn("lambda", F.when(F.col("_x.off") <= TOLERANCE, F.round("_x.lambda", 12)).when(open_, failed)).drop("_x")
+    return state.withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0)))
 
 
 def _meet(rows: DataFrame, sources: DataFrame, columns: list[str], bounded: bool, total: int) -> DataFrame:
@@ -121,7 +118,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool, int]:
     total = slim.count()
     sums = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), "sums")
     bounded = sums.count() <= BROADCAST_SOURCES
-    src = tilt(slim, targets(sums), bounded, total)
+    src = cut(tilt(targets(sums)), "dual")
     src = src.withColumn("_base", F.floor(F.col("rate") + 1e-9).cast("long")).withColumn(
         "_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_base") * F.col("source_size"))
     )

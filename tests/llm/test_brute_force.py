@@ -54,14 +54,29 @@ def test_exact_dedup_in_parts(spark, monkeypatch, bits):
 
 def test_newton_meets_every_constraint(spark):
     rows = [("a", 1000, 2000.0), ("b", 10, 0.001), ("c", 5, 0.0), (None, 7, 9.5), ("d", 0, 0.0)]
-    slim = spark.createDataFrame([(s, n // 5) for s, n, _ in rows for _ in range(5)], "source string, size long")
-    src = spark.createDataFrame([(s, n, 5, t) for s, n, t in rows], "source string, source_size long, _rows long, target double")
-    for bounded in (True, False):
-        got = {r.source: r for r in mixing.tilt(slim, src, bounded, 25).collect()}
-        for s, n, t in rows:
-            n = n // 5 * 5
-            assert got[s].rate * n == pytest.approx(t, rel=1e-8, abs=1e-12)
-            assert (got[s]["lambda"] is None) == (not n or not t)
+    got = {r.source: r for r in mixing.tilt(spark.createDataFrame(rows, "source string, source_size long, target double")).collect()}
+    for s, n, t in rows:
+        assert got[s].rate * n == pytest.approx(t, rel=1e-8, abs=1e-12)
+        assert (got[s]["lambda"] is None) == (not n or not t)
+
+
+def test_an_unmet_constraint_is_no_answer(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 3)
+    with pytest.raises(Exception, match="off by"):
+        mixing.tilt(spark.createDataFrame([("a", 1000, 0.001)], "source string, source_size long, target double")).collect()
+
+
+def test_targets_of_many_sources_take_linear_time(spark):
+    import time
+
+    spent = []
+    for n in (20_000, 80_000):
+        src = spark.range(n).selectExpr("CAST(id AS STRING) AS source", "id * 37 % 1009 AS source_size")
+        began = time.perf_counter()
+        total = src.agg({"source_size": "sum"}).first()[0]
+        assert mixing.targets(src).agg({"target": "sum"}).first()[0] == pytest.approx(1.5 * total)
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 8 * spent[0] + 3
 
 
 # chat
