@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankwright.functions import text as X
+from rankwright.operators import adapter as AD
 from rankwright.operators import learned as L
 from rankwright.operators import lexicon as P
 from rankwright.operators import masking as M
@@ -430,6 +432,23 @@ def adapter(spark, d):
     return e.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("adapted"))
 
 
+@query("adapter_training")
+def adapter_training(spark, d):
+    """Every vector as a query: four vectors of its label are its positives, four of the next label its competition; the margin before and after."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("q"), "label")
+    first = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    pool = e.withColumn("_rn", first).where("_rn <= 4").groupBy("label").agg(F.array_sort(F.collect_list("q")).alias("bag"))  # four rows a label
+    labels = F.lit(e.agg(F.max("label")).first()[0] + 1)
+    rows = e.join(pool.withColumnRenamed("bag", "p"), "label").withColumn("_next", (F.col("label") + 1) % labels)
+    rows = rows.join(pool.select(F.col("label").alias("_next"), F.col("bag").alias("c")), "_next")
+    s = AD.Settings(rate=0.01, epochs=3, scale=0.5)
+    w, _ = AD.train_adapter(rows, "vec_id", "q", "p", "c", AD.start_weights(64, 8, 5), s)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
+    mean = lambda q, bag: F.aggregate(F.transform(bag, lambda v: dot(F.col(q), v)), F.lit(0.0), lambda n, x: n + x) / F.size(bag)
+    out = L.residual_adapter(rows.withColumn("old", F.col("q")), "q", *w, scale=s.scale)
+    return out.select("vec_id", F.round(mean("old", "p") - mean("old", "c"), 5).alias("before"), F.round(mean("q", "p") - mean("q", "c"), 5).alias("after"))
+
+
 @query("embedder_protocol", """WITH w AS (SELECT doc_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents)),
 b AS (SELECT doc_id, h % 64 AS pos, sum(CASE WHEN h >= 2147483648 THEN 1e0 ELSE -1e0 END) AS v FROM w GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY 1)
 SELECT doc_id, pos, round(v / norm, 6) AS value FROM b JOIN n USING (doc_id) WHERE v <> 0""")
