@@ -9,8 +9,11 @@ shuffle and never a wrong result.
 
 A filter of more than BROADCAST_BITS bits is built and probed in parts: the
 hashes, written once, are split by ranges into folders as they are written,
-and each part has a filter of its own that is broadcast. So however many rows
-there are, only possible repeats shuffle. The stage that returns whole rows
+and each part has a filter of its own that is broadcast; its rows are probed
+and written before the next one is built. So however many rows there are, only
+possible repeats shuffle, and one filter at a time is held. What counts the
+cells is 16 bytes a row: bitmaps of single tasks would be sparse, 4 KB for each
+bucket that a task hits, and more to move. The stage that returns whole rows
 then probes them with a filter of the *repeated* hashes alone, which takes
 further scans of the rows only where more than BROADCAST_BITS / BITS_PER_ROW
 texts are repeated.
@@ -108,8 +111,11 @@ def _probed(slim: DataFrame, total: int) -> DataFrame:
     """The rows of ``_hashed`` with ``_again``: whether their text may repeat."""
     parts = parts_of(total)
     bits = min(_bits(total), BROADCAST_BITS)
-    each = [slim.where(F.col("_part") == p) if parts > 1 else slim for p in range(parts)]
-    return _union([probe(x, "_key", cut(bitmaps_of(x, "_key", bits, 2), "bloom"), bits) for x in each])
+    if parts == 1:
+        return probe(slim, "_key", cut(bitmaps_of(slim, "_key", bits, 2), "bloom"), bits)
+    # a part is probed and written before the next filter is built: one broadcast is alive at a time
+    each = [slim.where(F.col("_part") == p) for p in range(parts)]
+    return _union([cut(probe(x, "_key", cut(bitmaps_of(x, "_key", bits, 2), "bloom"), bits), "probed") for x in each])
 
 
 def copy_groups(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import fold_ascii, matches, table, whole_text
+from rankwright.llm.common import fold_ascii, matches, spread, table, whole_text
 
 #: label, keywords (one of them begins a word of every match), name (a regex over words), SPDX id as words, address as words
 LICENSES = [
@@ -477,7 +477,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return scan(spread(table(spark, sf_dir, "documents")).select("doc_id", "text")).drop("text")
 
 
 QUERIES = {"op10_licenses": op10_licenses}

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import cut, matches, table, whole_text
+from rankwright.llm.common import cut, matches, spread, table, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The four patterns with possessive loops, which cannot back up and need no deep stack. A start inside a run of the
@@ -215,7 +215,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest(find(spread(table(spark, sf_dir, "documents")).select("doc_id", "text")))
 
 
 QUERIES = {"op7_pii": op7_pii}
