@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     order = cut(neighbours(cut(fingerprints(docs), "fingerprints")), "order")
     texts = docs.select(row_key("doc_id", F.sha2(whole_text(), 256)).alias("_k"), whole_text().alias("_text"))
     half = lambda c: F.floor(c / 2).cast("int")

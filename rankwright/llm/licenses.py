@@ -477,7 +477,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spread(table(spark, sf_dir, "documents")).select("doc_id", "text")).drop("text")
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
 
 
 QUERIES = {"op10_licenses": op10_licenses}

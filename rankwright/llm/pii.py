@@ -215,7 +215,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find(spread(table(spark, sf_dir, "documents")).select("doc_id", "text")))
+    return digest(find(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 QUERIES = {"op7_pii": op7_pii}

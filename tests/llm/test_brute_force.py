@@ -278,3 +278,36 @@ def test_disclosure_against_counts(spark):
         want = {(m.start(), m.end(), told[m[0].lower()]) for m in re.finditer(r"[^\W\d_]+", text[x.doc_id]) if m[0].lower() in told}
         want = {w for w in want if not any(s < w[1] and w[0] < e for s, e in taken)}
         assert {(s.s, s.e, s.v) for s in x._term} == want
+
+
+# fingerprints
+
+
+def test_likeness_falls_with_edits(spark):
+    """Words replaced at random from none to half of them: the mean likeness falls at every step, from one to next to nothing."""
+    r = random.Random(21)
+    rows = []
+    for k in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        for share in (0, 2, 5, 10, 20, 50):
+            edited = list(words)
+            for i in r.sample(range(200), 2 * share):
+                edited[i] = f"e{r.randrange(10**6)}"
+            rows.append((k, share, " ".join(words), " ".join(edited)))
+    df = spark.createDataFrame(rows, "k int, share int, a string, b string")
+    one = fingerprints.sketch(df, F.col("a"), ["k", "share"]).select("k", "share", F.col("_entries").alias("x"))
+    two = fingerprints.sketch(df, F.col("b"), ["k", "share"]).select("k", "share", F.col("_entries").alias("y"))
+    got = one.join(two, ["k", "share"]).groupBy("share").agg(F.avg(fingerprints.likeness(F.col("x"), F.col("y"))).alias("n")).orderBy("share").collect()
+    means = [x.n for x in got]
+    assert means[0] == 1.0 and all(a > b + 0.03 for a, b in zip(means, means[1:])) and means[-1] < 0.05
+
+
+def test_order_counts_and_not_only_the_sets(spark):
+    """Two texts of the same k-mers in another order: blocks of words swapped keep almost all k-mers, and lose entries."""
+    r = random.Random(22)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    swapped = words[150:] + words[:150]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(swapped))], "k int, t string")
+    e = {x.k: x._entries for x in fingerprints.sketch(df, F.col("t"), ["k"]).collect()}
+    same = sum(a == b for a, b in zip(e[1], e[2])) / len(e[1])
+    assert 0.2 < same < 0.8
