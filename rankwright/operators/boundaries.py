@@ -179,7 +179,7 @@ def work_items(clusters: DataFrame, patterns: DataFrame, cluster: str) -> DataFr
     claimed = own.groupBy(cluster).agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("_claimed"))
     any_ = patterns.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
     rest = clusters.join(claimed, cluster, "left").join(any_, cluster, "left")
-    left = F.filter("members", lambda x: ~F.array_contains(F.coalesce("_claimed", F.array().cast("array<bigint>")), x))
+    left = F.array_except("members", F.coalesce("_claimed", F.array().cast("array<bigint>")))  # by hash; members are a set
     rest = rest.withColumn("_left", left).where((F.size("_left") > 0) | F.col("_n").isNull())
     rest = rest.select(
         cluster, F.coalesce("name", F.concat(F.lit("cluster_"), F.col(cluster).cast("string"))).alias("name"),

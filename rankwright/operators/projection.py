@@ -212,25 +212,31 @@ def scorecard(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def forbidden_paths(df: DataFrame, column: str, parts: list[str]) -> DataFrame:
-    """Add ``paths``: every key, at any depth of the JSON documents in ``column``, whose name contains a forbidden part; documents that don't parse have none."""
+    """Add ``paths``: every key, at any depth of the JSON documents in ``column``, whose name contains a forbidden part.
+
+    In the order of the document. Texts that are no JSON have none; a document
+    nested too deeply to be read has null, since its keys are not known.
+    """
     ship(df.sparkSession)
 
-    def walk(value, path: str) -> Iterator[str]:
-        if isinstance(value, dict):
-            for key, child in value.items():
-                here = f"{path}.{key}" if path else key
-                if any(p in key.lower() for p in parts):
-                    yield here
-                yield from walk(child, here)
-        elif isinstance(value, list):
-            for k, child in enumerate(value):
-                yield from walk(child, f"{path}[{k}]")
-
-    def found(text: str | None) -> list[str]:
+    def walk(document) -> Iterator[str]:
+        stack = [("", None, document)]
+        while stack:
+            path, key, value = stack.pop()
+            if key is not None and any(p in key.lower() for p in parts):
+                yield path
+            if isinstance(value, dict):
+                stack += [(f"{path}.{k}" if path else k, k, v) for k, v in reversed(value.items())]
+            elif isinstance(value, list):
+                stack += [(f"{path}[{i}]", None, value[i]) for i in range(len(value) - 1, -1, -1)]
+
+    def found(text: str | None) -> list[str] | None:
         try:
-            return list(walk(json.loads(text or "null"), ""))
+            return list(walk(json.loads(text or "null")))
         except ValueError:
             return []
+        except RecursionError:
+            return None
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

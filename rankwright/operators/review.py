@@ -23,9 +23,10 @@ def validate(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
     return df.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
-def actionability(filled: list[Column]) -> Column:
-    """Share of required fields that are filled."""
-    return sum((c.cast("int") for c in filled), F.lit(0)) / F.lit(float(len(filled)))
+def actionability(filled: list[Column], text_only: Column | None = None) -> Column:
+    """Share of required fields that are filled; null, not 0, for a row of text alone, which has no such fields."""
+    share = sum((c.cast("int") for c in filled), F.lit(0)) / F.lit(float(len(filled)))
+    return share if text_only is None else F.when(~text_only, share)
 
 
 def claims(df: DataFrame, key: str, rates: list[str], least: float) -> DataFrame:

@@ -296,6 +296,29 @@ def grouping_sets(spark, d):
 _L, _G = "coalesce(left_rank <= 200, false)", "coalesce(right_rank <= 200, false)"
 
 
+_RANKS = sql("ranks")
+
+
+@query("rank_metric_summary", _RANKS + """ SELECT track, count(*) AS n, round(count(*) FILTER (left_rank <= 50) / count(*), 9) AS r_at_50, round(sum(coalesce(1e0 / left_rank, 0)) / count(*), 9) AS mrr,
+min(left_rank) AS first_min, round(quantile_cont(left_rank, 0.5), 6) AS first_median, max(left_rank) AS first_max, round(min(left_rank / candidate_count), 9) AS norm_min, round(quantile_cont(left_rank / candidate_count, 0.5), 9) AS norm_median, round(max(left_rank / candidate_count), 9) AS norm_max FROM ranks GROUP BY track""")
+def rank_summary(spark, d):
+    """Misses stay in the rates; the distributions are of the ranks that are there."""
+    n, rank = F.count(F.lit(1)), F.col("left_rank")
+    norm = rank / F.col("candidate_count")
+    return fixture(spark, d, "ranks").groupBy("track").agg(
+        n.alias("n"), F.round(F.count_if(rank <= 50) / n, 9).alias("r_at_50"), F.round(F.sum(F.coalesce(1.0 / rank, F.lit(0.0))) / n, 9).alias("mrr"),
+        F.min(rank).alias("first_min"), F.round(F.percentile(rank, 0.5), 6).alias("first_median"), F.max(rank).alias("first_max"),
+        F.round(F.min(norm), 9).alias("norm_min"), F.round(F.percentile(norm, 0.5), 9).alias("norm_median"), F.round(F.max(norm), 9).alias("norm_max"))
+
+
+@query("paired_rescue_rows", _RANKS + " SELECT identity_key, CASE WHEN coalesce(right_rank <= 50, false) THEN 'rescued' ELSE 'regressed' END AS side, left_rank, right_rank FROM ranks WHERE coalesce(left_rank <= 50, false) <> coalesce(right_rank <= 50, false)")
+def rescue_rows(spark, d):
+    """The cases that one side alone hits, as rows and not as counts."""
+    hit = lambda c: F.coalesce(F.col(c) <= 50, F.lit(False))
+    r = fixture(spark, d, "ranks").where(hit("left_rank") != hit("right_rank"))
+    return r.select("identity_key", F.when(hit("right_rank"), "rescued").otherwise("regressed").alias("side"), "left_rank", "right_rank")
+
+
 @query("paired_rescue_regression", _R + f" SELECT track, count(*) FILTER ({_L} AND {_G}) AS both, count(*) FILTER ({_L} AND NOT {_G}) AS left_only, count(*) FILTER (NOT {_L} AND {_G}) AS right_only, count(*) FILTER (NOT {_L} AND NOT {_G}) AS neither FROM ranks GROUP BY track")
 def paired(spark, d):
     return fixture(spark, d, "ranks").groupBy("track").agg(*M.paired("left_rank", "right_rank", 200))

@@ -207,10 +207,10 @@ def validation(spark, d):
     return v.select("o_orderkey", F.array_join("errors", ",").alias("errors"))
 
 
-@query("actionability_score", "SELECT p_partkey, round(((p_size > 10)::INT + (p_retailprice > 1000)::INT + (p_brand = 'Brand#2')::INT) / 3e0, 6) AS score FROM part")
+@query("actionability_score", "SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN round(((p_size > 10)::INT + (p_retailprice > 1000)::INT + (p_brand = 'Brand#2')::INT) / 3e0, 6) END AS score FROM part")
 def actionability(spark, d):
     c = [F.col("p_size") > 10, F.col("p_retailprice") > 1000, F.col("p_brand") == "Brand#2"]
-    return table(spark, d, "part").select("p_partkey", F.round(V.actionability(c), 6).alias("score"))
+    return table(spark, d, "part").select("p_partkey", F.round(V.actionability(c, F.col("p_size") % 7 == 0), 6).alias("score"))
 
 
 @query("claim_boundaries", _R + ", m AS (SELECT track, " + ", ".join(f"round(count(*) FILTER (right_rank <= {k}) / count(*) - count(*) FILTER (left_rank <= {k}) / count(*), 6) AS d{k}" for k in (50, 100, 200)) + " FROM ranks GROUP BY track) SELECT * FROM (UNPIVOT m ON d50, d100, d200 INTO NAME budget VALUE delta_rate) WHERE delta_rate >= 0.05")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankwright.operators.spans import suffixes as path_ends
 from rankwright.session import ship
 
 
@@ -152,7 +153,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def source_tree(spark: SparkSession, root: str, suffixes: list[str], max_bytes: int, exclude: list[str] = (), max_files: int | None = None, first: DataFrame | None = None) -> DataFrame:
     """Files of a tree: suffix allow-list, excluded directories, byte cap; a file cap cuts in path order.
 
-    ``first`` (column ``suffix``): files that end in one of these come first.
+    ``first`` (column ``suffix``): files whose path ends in one of these, by whole components, come first: an equi-join on the ends of a path.
     """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     low = F.lower("path")
@@ -164,7 +165,8 @@ def source_tree(spark: SparkSession, root: str, suffixes: list[str], max_bytes:
     df = df.where(keep & (F.col("length") <= max_bytes)).select("path", "length", F.decode("content", "UTF-8").alias("text"))
     df = df.withColumn("prio", F.lit(1))
     if first is not None:
-        hit = df.select("path").join(F.broadcast(first), F.endswith("path", "suffix"), "left_semi").withColumn("_hit", F.lit(0))
+        ends = df.select("path", F.explode(path_ends(F.col("path"))).alias("suffix"))
+        hit = ends.join(first, "suffix", "left_semi").select("path").distinct().withColumn("_hit", F.lit(0))
         df = df.join(hit, "path", "left").withColumn("prio", F.coalesce("_hit", "prio")).drop("_hit")
     return df.orderBy("prio", "path").limit(max_files) if max_files else df
 

@@ -20,16 +20,24 @@ MARKERS = ["done", "failed", "timeout", "skipped"]
 
 
 def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Append every batch of a ledger stream; the batch number makes a replayed batch overwrite itself."""
+    """Append the last row of each key of every batch of a ledger stream; the batch number makes a replayed batch overwrite itself."""
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _last(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def folded(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
     """The ledger as it stands: last row of each key."""
-    df = spark.read.parquet(path).drop("batch")
+    return _last(spark.read.parquet(path).drop("batch"), key, order)
+
+
+def compact(spark: SparkSession, path: str, into: str, key: str, order: str) -> None:
+    """The ledger as one batch of a fresh folder, for when its batches have become many; the old one stays until it is dropped."""
+    folded(spark, path, key, order).write.mode("errorifexists").parquet(f"{into}/batch=-1")
+
+
+def _last(df: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 

@@ -221,3 +221,26 @@ def test_stratified_totals(spark, total):
     assert len(got) == min(total, 40) == len({r.k for r in got})
     for s, n in (("a", 20), ("b", 17), (None, 3)):
         assert abs(sum(r.s == s for r in got) - min(total, 40) * n / 40) < 1.0001
+
+
+def test_forbidden_paths_of_deep_documents(spark):
+    from rankwright.operators import projection as P
+
+    deep = '{"a":' * 200 + '{"secret_key":[{"x":1,"Secret":2}]}' + "}" * 200
+    rows = [(0, '{"secret":{"b":[1,{"my_secret":3}],"c":1},"z":{"secrets":0}}'), (1, deep), (2, "[" * 100_000 + "]" * 100_000), (3, "{"), (4, None)]
+    got = {r.i: r.paths for r in P.forbidden_paths(spark.createDataFrame(rows, "i int, t string"), "t", ["secret"]).collect()}
+    assert got[0] == ["secret", "secret.b[1].my_secret", "z.secrets"] and got[3] == got[4] == []
+    assert len(got[1]) == 2 and got[1][0].endswith(".a.secret_key") and got[1][1].endswith(".a.secret_key[0].Secret")
+    assert got[2] is None
+
+
+def test_ledger_batches_and_compaction(spark, tmp_path):
+    rows = [[("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], [("a", 2, "late"), ("b", 9, "new")]]
+    for n, batch in enumerate(rows):
+        spark.createDataFrame(batch, "k string, ord int, v string").write.json(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema("k string, ord int, v string").json(f"{tmp_path}/in/*")
+        E.upsert_stream(stream, f"{tmp_path}/out", "k", "ord", f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4  # one row a key and batch
+    E.compact(spark, f"{tmp_path}/out", f"{tmp_path}/new", "k", "ord")
+    for path in ("out", "new"):
+        assert {(r.k, r.ord, r.v) for r in E.folded(spark, f"{tmp_path}/{path}", "k", "ord").collect()} == {("a", 3, "y"), ("b", 9, "new")}
