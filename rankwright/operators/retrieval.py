@@ -46,3 +46,35 @@ def cached_vectors(queries: DataFrame, cache: DataFrame, query_id: str, cache_id
     c = cache.withColumnRenamed("fingerprint", "_f")
     rows = queries.join(c, queries[query_id] == c[cache_id], "left")
     return rows.withColumn("state", F.when(F.col(cache_id).isNull(), "missing").when(~F.col("fingerprint").eqNullSafe(F.col("_f")), "stale").otherwise("ok")).drop("_f")
+
+
+def vector_state(vector: Column, fingerprint: Column, expected: Column, size: int) -> Column:
+    """The first check that a cached vector fails, in this order: miss, stale, bad_shape, bad_value, bad_norm; else hit."""
+    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return (
+        F.when(vector.isNull(), "miss").when(~fingerprint.eqNullSafe(expected), "stale").when(F.size(vector) != size, "bad_shape")
+        .when(~sound, "bad_value").when(F.abs(F.sqrt(dot(vector, vector)) - 1) > 1e-4, "bad_norm").otherwise("hit")
+    )
+
+
+def first_hit(wanted: DataFrame, caches: list[DataFrame], key: str, expected: str, size: int) -> DataFrame:
+    """Each wanted key with the vector of the first cache that has a sound one: place (from 1; null without), vector, and states of all caches in order.
+
+    ``wanted`` (key, fingerprint expected), caches (key, fingerprint, embedding).
+    The caches meet the keys in one aggregation, a row for each cache and key.
+    """
+    rows = wanted.select(key, F.col(expected).alias("_e"), F.lit(0).alias("_at"), F.lit(None).cast("string").alias("_f"), F.lit(None).cast("array<double>").alias("_v"))
+    for at, cache in enumerate(caches, 1):
+        rows = rows.unionByName(cache.select(key, F.lit(None).cast("string").alias("_e"), F.lit(at).alias("_at"), F.col("fingerprint").alias("_f"), F.col("embedding").cast("array<double>").alias("_v")))
+    met = rows.groupBy(key).agg(F.max("_e").alias("_e"), F.bool_or(F.col("_at") == 0).alias("_w"), *[F.max_by(F.struct("_f", "_v"), F.when(F.col("_at") == at, F.coalesce("_f", F.lit("")))).alias(f"_c{at}") for at in range(1, len(caches) + 1)])
+    states = F.array(*[vector_state(F.col(f"_c{at}._v"), F.col(f"_c{at}._f"), F.col("_e"), size) for at in range(1, len(caches) + 1)])
+    met = met.where("_w").withColumn("states", states).withColumn("place", F.nullif(F.array_position("states", F.lit("hit")).cast("int"), F.lit(0)))
+    vectors = F.array(*[F.col(f"_c{at}._v") for at in range(1, len(caches) + 1)])
+    return met.select(key, "place", F.get(vectors, F.col("place") - 1).alias("vector"), "states")
+
+
+def query_vectors(queries: DataFrame, cache: DataFrame, text: str, vector: str) -> DataFrame:
+    """Queries with the unit vector of their text; a text that the cache does not hold ends the query with an error."""
+    known = cache.groupBy(text).agg(F.max(vector).alias("_v"))
+    guard = F.raise_error(F.concat(F.lit("no vector for the text: "), F.substring(F.coalesce(text, F.lit("null")), 1, 80))).cast("array<double>")
+    return queries.join(known, text, "left").withColumn(vector, F.when(F.col("_v").isNull(), guard).otherwise(l2_normalize(F.col("_v")))).drop("_v")

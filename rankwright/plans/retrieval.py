@@ -296,6 +296,29 @@ def grouping_sets(spark, d):
 _L, _G = "coalesce(left_rank <= 200, false)", "coalesce(right_rank <= 200, false)"
 
 
+@query("vector_cache_fallback", """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+s AS (SELECT vec_id, n, CASE WHEN (vec_id + n) % 7 = 0 THEN 'miss' WHEN vec_id % 3 = n % 3 THEN 'stale' WHEN (vec_id + n) % 7 = 1 THEN 'bad_shape' WHEN (vec_id + n) % 7 = 2 THEN 'bad_norm' WHEN abs(sqrt(list_dot_product(v, v)) - 1) > 1e-4 THEN 'bad_norm' ELSE 'hit' END AS state FROM e, range(1, 4) t(n))
+SELECT vec_id, CAST(min(n) FILTER (state = 'hit') AS INTEGER) AS place, string_agg(state, ',' ORDER BY n) AS states FROM s GROUP BY vec_id""")
+def cache_fallback(spark, d):
+    """Three caches with gaps, old fingerprints, short and long vectors; the first sound one answers."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    caches = []
+    for n in (1, 2, 3):
+        form = (F.col("vec_id") + n) % 7
+        v = F.when(form == 1, F.slice("embedding", 1, 63)).when(form == 2, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding"))
+        print_ = F.when(F.col("vec_id") % 3 == n % 3, "old").otherwise(F.col("vec_id").cast("string"))
+        caches.append(e.where(form > 0).select("vec_id", print_.alias("fingerprint"), v.alias("embedding")))
+    wanted = e.select("vec_id", F.col("vec_id").cast("string").alias("expected"))
+    return V.first_hit(wanted, caches, "vec_id", "expected", 64).select("vec_id", "place", F.array_join("states", ",").alias("states"))
+
+
+@query("query_vectors_by_text", "SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]) / sqrt(list_dot_product([CAST(x AS DOUBLE) FOR x IN embedding], [CAST(x AS DOUBLE) FOR x IN embedding])), 6) AS total FROM embeddings")
+def vectors_by_text(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("text of "), F.col("vec_id").cast("string")).alias("text"), F.transform("embedding", lambda x: x.cast("double") * 3).alias("embedding"))
+    q = V.query_vectors(e.select("vec_id", "text"), e.select("text", "embedding"), "text", "embedding")
+    return q.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x), 6).alias("total"))
+
+
 _RANKS = sql("ranks")
 
 

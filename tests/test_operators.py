@@ -244,3 +244,21 @@ def test_ledger_batches_and_compaction(spark, tmp_path):
     E.compact(spark, f"{tmp_path}/out", f"{tmp_path}/new", "k", "ord")
     for path in ("out", "new"):
         assert {(r.k, r.ord, r.v) for r in E.folded(spark, f"{tmp_path}/{path}", "k", "ord").collect()} == {("a", 3, "y"), ("b", 9, "new")}
+
+
+def test_vector_checks_in_order(spark):
+    from rankwright.operators import retrieval as V
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, "f", [0.6, 0.8]), (1, "f", None), (2, "old", [nan]), (3, "f", [1.0]), (4, "f", [1.0, inf]), (5, "f", [1.0, None]), (6, "f", [1.0, nan]), (7, "f", [1.0, 1.0]), (8, None, [0.6, 0.8]), (9, "f", [0.60005, 0.8])]
+    df = spark.createDataFrame(rows, "k int, fingerprint string, embedding array<double>")
+    got = [r.s for r in df.orderBy("k").select(V.vector_state(df.embedding, df.fingerprint, F.lit("f"), 2).alias("s")).collect()]
+    assert got == ["hit", "miss", "stale", "bad_shape", "bad_value", "bad_value", "bad_value", "bad_norm", "stale", "hit"]
+    wanted = spark.createDataFrame([(0, "f"), (3, "f"), (99, "f")], "k int, e string")
+    found = {r.k: (r.place, r.vector, r.states) for r in V.first_hit(wanted, [df.where("k > 0"), df.selectExpr("k", "fingerprint", "IF(k = 3, array(0.0D, 1.0D), embedding) AS embedding")], "k", "e", 2).collect()}
+    assert found == {0: (2, [0.6, 0.8], ["miss", "hit"]), 3: (2, [0.0, 1.0], ["bad_shape", "hit"]), 99: (None, None, ["miss", "miss"])}
+    q = spark.createDataFrame([("a",), ("b",)], "t string")
+    cache = spark.createDataFrame([("a", [3.0, 4.0])], "t string, v array<double>")
+    assert V.query_vectors(q.where("t = 'a'"), cache, "t", "v").first().v == [0.6, 0.8]
+    with pytest.raises(Exception, match="no vector for the text: b"):
+        V.query_vectors(q, cache, "t", "v").collect()
