@@ -171,11 +171,26 @@ def source_tree(spark: SparkSession, root: str, suffixes: list[str], max_bytes:
     return df.orderBy("prio", "path").limit(max_files) if max_files else df
 
 
-def first_receipts(spark: SparkSession, glob: str, schema, key: str) -> DataFrame:
-    """First receipt of each identity in path order, with the number found."""
-    df = spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("path", F.col("_metadata.file_path"))
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), "path").alias("_r"), F.count(F.lit(1)).alias("found")).select(key, "_r.*", "found")
+def first_receipts(spark: SparkSession, glob: str, schema, key: str, lines: bool = False) -> DataFrame:
+    """First receipt of each identity in path order, with the number found; no file that matches, no rows.
+
+    A file is one receipt, or with ``lines`` a batch of them, one a line, in
+    the order of its lines. Many receipts belong into batches: a file for each
+    costs more to open than to read.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        df = spark.createDataFrame([], kind).withColumns({"path": F.lit(None).cast("string"), "_at": F.lit(0)})
+    elif lines:
+        rows = spark.read.text(glob).where(F.trim("value") != "")
+        # a split is read in order by one task, so the ids that grow there are the order of its lines
+        at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        df = rows.select(F.from_json("value", _kind(spark, schema)).alias("_r"), at.alias("_at")).select("_r.*", F.col("_at.path").alias("path"), "_at")
+    else:
+        df = spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("path", F.col("_metadata.file_path")).withColumn("_at", F.col("path"))
+    rest = [c for c in df.columns if c not in (key, "_at")]
+    return df.groupBy(key).agg(F.min_by(F.struct(*rest), "_at").alias("_r"), F.count(F.lit(1)).alias("found")).select(key, "_r.*", "found")
 
 
 def read_shards(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
