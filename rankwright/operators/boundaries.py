@@ -158,14 +158,18 @@ def sidecar(propagation: DataFrame, texts: DataFrame, assigned: DataFrame, cases
     """One row an identity with the guideline texts of its group's allowed boundaries, in the order of ``ord``, each once.
 
     Boundaries without text or without assignments, and identities that are no
-    case, fall away.
+    case, fall away. Texts meet groups, not identities: they are put together
+    once for every set of groups that some identity has.
     """
     chosen = propagation.where(F.col("status").isin(allowed)).join(texts.where("coalesce(text, '') <> ''"), [group, label])
-    rows = chosen.join(assigned.select("identity", group).distinct(), group).join(cases.select("identity").distinct(), "identity", "left_semi")
-    once = rows.groupBy("identity", "text").agg(F.min("ord").alias("_o"))
-    out = once.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("_o", "text"))).alias("_t"))
-    labels = rows.groupBy("identity").agg(F.countDistinct(group, label).alias("boundaries"))
-    return out.select("identity", F.array_join(F.transform("_t", lambda x: x["text"]), "\n\n").alias("guideline")).join(labels, "identity")
+    once = chosen.groupBy(group, "text").agg(F.min("ord").alias("_o"))
+    labels = chosen.groupBy(group).agg(F.countDistinct(label).alias("_n"))
+    own = assigned.select("identity", group).join(cases.select("identity"), "identity", "left_semi").groupBy("identity").agg(F.array_sort(F.collect_set(group)).alias("_set"))
+    sets = own.select("_set").distinct().select("_set", F.explode("_set").alias(group))
+    found = sets.join(once, group).groupBy("_set", "text").agg(F.min("_o").alias("_o"))
+    found = found.groupBy("_set").agg(F.array_sort(F.collect_list(F.struct("_o", "text"))).alias("_t"))
+    found = found.join(sets.join(labels, group).groupBy("_set").agg(F.sum("_n").alias("boundaries")), "_set")
+    return own.join(found, "_set").select("identity", F.array_join(F.transform("_t", lambda x: x["text"]), "\n\n").alias("guideline"), "boundaries")
 
 
 def work_items(clusters: DataFrame, patterns: DataFrame, cluster: str) -> DataFrame:
