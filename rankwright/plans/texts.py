@@ -391,9 +391,12 @@ def _pool(spark, d, top):
     return a, L.competitor_pool(a, "case_id", "anchor_id", "positive", ["score_a", "score_b"], top, 1, "s")
 
 
+_POOL = ("case_id", "anchor_id", "positive", ["score_a", "score_b"])
+
+
 @query("competitor_pool", _pool_sql(1) + " SELECT case_id, anchor_id, positive FROM pool")
 def pool(spark, d):
-    return _pool(spark, d, 1)[1]
+    return L.competitor_pool(fixture(spark, d, "anchors"), *_POOL, 1, 1, "s")
 
 
 @query("competitor_pairs", _pool_sql(2) + """, good AS (SELECT case_id, anchor_id AS pos_id, row_number() OVER (PARTITION BY case_id ORDER BY anchor_id) - 1 AS at_pos FROM pool WHERE positive),
