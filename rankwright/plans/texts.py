@@ -404,9 +404,7 @@ bad AS (SELECT case_id, anchor_id AS neg_id, row_number() OVER (PARTITION BY cas
 j AS (SELECT *, at_pos * many + at_neg AS pair FROM good JOIN bad USING (case_id)), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY substr(sha256(concat('s', chr(0), CAST(case_id AS VARCHAR), chr(0), CAST(pair AS VARCHAR))), 1, 16), pair) AS rn FROM j)
 SELECT r.case_id, pair, pos_id, neg_id, round(x.score_a - y.score_a, 4) AS d_a, round(x.score_b - y.score_b, 4) AS d_b FROM r JOIN u x ON x.case_id = r.case_id AND x.anchor_id = pos_id JOIN u y ON y.case_id = r.case_id AND y.anchor_id = neg_id WHERE rn <= 3""")
 def competitor_pairs(spark, d):
-    a, pool = _pool(spark, d, 2)
-    pairs = L.sampled_pairs(pool, "case_id", "anchor_id", "positive", 3, "s")
-    diffs = L.pair_differences(pairs, a.withColumn("x", F.array("score_a", "score_b")), "case_id", "anchor_id", "x")
+    diffs = L.competitor_pairs(fixture(spark, d, "anchors"), *_POOL, 2, 1, 3, "s", F.array("score_a", "score_b"))
     return diffs.select("case_id", "pair", "pos_id", "neg_id", F.round(F.get("d", F.lit(0)), 4).alias("d_a"), F.round(F.get("d", F.lit(1)), 4).alias("d_b"))
 
 

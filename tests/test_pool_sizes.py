@@ -42,6 +42,6 @@ def test_a_large_case_is_not_one_group(spark):
 
 def test_small_cases_are_shuffled_once(spark, sf):
     """Each further shuffle of all rows is written to disk."""
-    for query in (texts.pool,):
+    for query in (texts.pool, texts.competitor_pairs):
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
