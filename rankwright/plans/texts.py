@@ -385,12 +385,6 @@ c AS (SELECT * FROM k WHERE positive OR ra <= {top} OR rb <= {top}), o AS (SELEC
 pool AS (SELECT case_id, anchor_id, positive FROM c UNION ALL SELECT case_id, anchor_id, positive FROM o WHERE rt <= 1)"""
 
 
-def _pool(spark, d, top):
-    best = [F.max(c).alias(c) for c in ("score_a", "score_b", "disc")]
-    a = fixture(spark, d, "anchors").groupBy("case_id", "anchor_id").agg(*best, F.bool_or("positive").alias("positive"))
-    return a, L.competitor_pool(a, "case_id", "anchor_id", "positive", ["score_a", "score_b"], top, 1, "s")
-
-
 _POOL = ("case_id", "anchor_id", "positive", ["score_a", "score_b"])
 
 
@@ -411,10 +405,9 @@ def competitor_pairs(spark, d):
 @query("pairwise_router_ranking")
 def router(spark, d):
     """Trained on at most eight sampled pairs a case."""
-    a, pool = _pool(spark, d, 2)
-    a = a.withColumn("x", F.array(F.col("score_a") / 1e5, F.col("score_b") / 50, F.col("disc") * 10))
-    pairs = L.sampled_pairs(pool, "case_id", "anchor_id", "positive", 8, "s")
-    w = L.train_pairwise(L.pair_differences(pairs, a, "case_id", "anchor_id", "x"), "d", 3, epochs=5)
+    rows, x = fixture(spark, d, "anchors"), F.array(F.col("score_a") / 1e5, F.col("score_b") / 50, F.col("disc") * 10)
+    w = L.train_pairwise(L.competitor_pairs(rows, *_POOL, 2, 1, 8, "s", x, ["disc"]), "d", 3, epochs=5)
+    a = L.best_rows(rows, "case_id", "anchor_id", "positive", ["score_a", "score_b", "disc"]).withColumn("x", x)
     r = R.rank(L.score(a, "x", w), ["case_id"], "router_score", "anchor_id")
     return r.groupBy("case_id").agg(F.min(F.when(F.col("positive"), F.col("rn"))).alias("first_rank"))
 
