@@ -1,7 +1,8 @@
 """How far the sources of a language lie apart: term audit with upper bounds, pair sums from postings.
 
-Counts: every text is cut into its words, and one shuffle with map-side sums
-gives the occurrences and the documents of each (lang, source, term). Terms in
+Counts: every text is cut into its words and counted in the task that reads it
+(in Arrow batches), and one shuffle with map-side sums gives the occurrences and
+the documents of each (lang, source, term). Terms in
 too few documents of their language go; what is left, with the source's
 probability p and the language's q, is the *postings* table.
 
@@ -35,6 +36,8 @@ not read.
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankwright.llm.common import attach_groups, cut, fold_ascii, scratch, ship, spread, table, whole_text
+from rankwright.llm.common import attach_groups, cut, scratch, ship, small_batches, spread, table, whole_text
 
 #: ASCII letters and everything beyond ASCII.
 WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,6 +55,8 @@ LEAST_DOCUMENTS, TOP, UNIT = 10, 10, 1_000_000_000
 FINE = 8
 #: Buckets of a group opened in the first round; each later round opens GROWTH times as many.
 FIRST, GROWTH = 4, 4
+#: Terms of groups that a task counts before it hands them on.
+ENTRIES = 200_000
 #: Sources of a tile.
 TILE = 512
 #: Parts into which the probabilities of a language are dealt.
@@ -70,13 +75,41 @@ def probability(n: Column, total: Column, terms: Column) -> Column:
     return F.when(terms > 0, 1 + F.call_function("div", up, (total + 2 * terms).cast("decimal(20,0)")))
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From lang, source and text as UTF-8 to the occurrences n and documents d of each term in its group, summed up until ENTRIES are held.
+
+    In UTF-8 the bytes below 128 are ASCII alone, and ``bytes.lower`` folds A-Z alone.
+    """
+    find, counts, held = re.compile(WORD.encode()).findall, defaultdict(lambda: (Counter(), Counter())), 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, d) in counts.items():
+            columns = [pa.array([lang] * len(n), pa.binary()), pa.array([source] * len(n), pa.binary()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*GROUP, "term", "n", "d"])
+        counts.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "text"))):
+            words = find(text.lower())
+            if not words:
+                continue
+            n, d = counts[lang, source]
+            held -= len(n)
+            n.update(words)
+            d.update(set(words))
+            held += len(n)
+            if held >= ENTRIES:
+                yield from flush()
+                held = 0
+    yield from flush()
+
+
 def term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """lang, source, term, n of the kept terms, with n_lang (of the language) and first (one row for each term of a language)."""
-    words = spread(docs.select(*_names(), whole_text().alias("_t"))).select(*GROUP, F.regexp_extract_all(fold_ascii(F.col("_t")), F.lit(WORD), F.lit(0)).alias("_w"))
-    one = lambda n, d: lambda w: F.struct(w.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    # a term of a document: a row for each occurrence, and one that counts the document
-    rows = words.select(*GROUP, F.explode(F.concat(F.transform("_w", one(1, 0)), F.transform(F.array_distinct("_w"), one(0, 1)))).alias("_x"))
-    counts = rows.groupBy(*GROUP, F.col("_x.term").alias("term")).agg(F.sum("_x.n").alias("n"), F.sum("_x.d").alias("d"))
+    small_batches(docs.sparkSession)
+    texts = spread(docs.select(*_names(), whole_text().alias("text"))).select(*[F.col(c).cast("binary") for c in (*GROUP, "text")])
+    rows = texts.mapInArrow(counted, "lang binary, source binary, term binary, n long, d long").select(*[F.col(c).cast("string") for c in (*GROUP, "term")], "n", "d")
+    counts = rows.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     w = Window.partitionBy("lang", "term")  # a row for each source
     counts = counts.withColumn("_d", F.sum("d").over(w)).withColumn("n_lang", F.sum("n").over(w)).withColumn("first", F.min("source").over(w) == F.col("source"))
     return counts.where(F.col("_d") >= least).select(*GROUP, "term", "n", "n_lang", "first")
